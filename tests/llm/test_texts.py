@@ -1,0 +1,109 @@
+"""Media columns, license scans and token counts against plain versions."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tidewell.llm import license_scan as L
+from tidewell.llm import media as M
+from tidewell.llm.token_count import compose_scan, token_counts
+
+from .corpus import empty, rows, table
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_media_round_trip(spark):
+    out = {r.doc_id: r for r in M.media_column(table(spark)).collect()}
+    assert len(out) == len(rows())
+    for doc_id, text, *_ in rows():
+        raw = (text or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
+        r = out[doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(padded[-64:]) and M.decode(r.media) == padded
+        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media) == len(padded) + 44
+        assert r.landmarks == sorted(r.landmarks) and len(r.landmarks) == r.n_peaks_pairs
+    by_text = {}
+    for doc_id, text, *_ in rows():
+        assert by_text.setdefault(text or "", out[doc_id].feature) == out[doc_id].feature
+    assert M.media_column(empty(spark)).count() == 0
+
+
+def test_peaks_match_plain_search():
+    rng = np.random.default_rng(5)
+    samples = rng.integers(0, 256, 12800).astype(np.uint8)
+    m = M._magnitudes(samples, 0, 1 + -(-(len(samples) - M.FRAME) // M.HOP))
+    want = []
+    for f in range(m.shape[0]):
+        for b in range(m.shape[1]):
+            box = m[max(0, f - M.NEAR_FRAMES) : f + M.NEAR_FRAMES + 1, max(0, b - M.NEAR_BINS) : b + M.NEAR_BINS + 1]
+            if m[f, b] > 0 and m[f, b] == box.max():
+                want.append((f, b))
+    assert list(zip(*map(list, M.peaks(samples)))) == want
+
+
+def test_peaks_do_not_depend_on_chunks(monkeypatch):
+    samples = np.random.default_rng(6).integers(0, 256, 40_000).astype(np.uint8)
+    whole = M.landmarks(samples)
+    monkeypatch.setattr(M, "CHUNK", 50)
+    assert np.array_equal(whole, M.landmarks(samples))
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_license_scan_base(spark):
+    out = {r.doc_id: r for r in L.license_scan(table(spark)).collect()}
+    found = 0
+    for doc_id, text, *_ in rows():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = [(i, label) for i in range(len(words)) for p, label in L.BASE.items() if words[i : i + len(p.split())] == p.split()]
+        r = out[doc_id]
+        assert (r.n_words, r.n_base) == (len(words), len(places)), text
+        assert (r.first_word, r.last_word) == (min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+        found += len(places)
+        if text and "SPDX" in text:
+            assert r.labels == "bsd,gpl,mit" and r.score == 1 and r.freedom == 1.0 and r.expressions == ["MIT GPL-2.0 or BSD-3-Clause and"]
+    assert found and L.license_scan(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text, postfix, freedom", [
+    ("MIT", "MIT", 1.0), ("MIT OR GPL-2.0-only AND Apache-2.0", "MIT GPL-2.0-only Apache-2.0 and or", 1.0),
+    ("(MIT OR GPL-2.0-only) AND GPL-3.0", "MIT GPL-2.0-only or GPL-3.0 and", 0.3), ("GPL-2.0 WITH Classpath-exception-2.0", "GPL-2.0 Classpath-exception-2.0 with", 0.6),
+    ("lgpl-2.1+ or odd-1", "lgpl-2.1+ odd-1 or", 0.5),
+])
+def test_expressions(text, postfix, freedom):
+    assert " ".join(L.to_postfix(text)) == postfix
+    assert L.evaluate(L.to_postfix(text))[0] == pytest.approx(freedom)
+
+
+@pytest.mark.parametrize("text", ["", "MIT OR", "OR MIT", "MIT GPL", "(MIT", "MIT)", "MIT & X", "()"])
+def test_bad_expressions(text):
+    assert L.to_postfix(text) is None
+
+
+def test_token_counts_equal_library(spark):
+    odd = ["it's 'tis I'll we've 're 'x '", "a  b   c\n\n d \t", "<|endoftext|> x<|endoftext|><|endoftext|>  ", "日本語 ٣٤ ½x é́ 　z", "x" * 3000, " " * 500, "'" * 99, "\u0000\x85​", "don'T 'LL"]
+    own = [*rows(), *((10_000 + i, t, *[None] * 6) for i, t in enumerate(odd))]
+    out = {r.doc_id: r for r in token_counts(table(spark, own), VOCABULARY, limit=50).collect()}
+    library = Tokenizer.from_file(VOCABULARY)
+    for doc_id, text, *_ in own:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        assert (out[doc_id].n_tokens, out[doc_id].over_limit, out[doc_id].n_bytes) == (n, n > 50, len((text or "").encode())), text
+    assert token_counts(empty(spark), VOCABULARY).count() == 0
+
+
+def test_scan_composes_in_order():
+    maps = np.random.default_rng(1).integers(0, 5, (37, 5)).astype(np.uint8)
+    out, now = compose_scan(maps), np.arange(5)
+    for i in range(37):
+        now = maps[i][now]
+        assert np.array_equal(out[i], now)

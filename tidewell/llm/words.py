@@ -49,10 +49,11 @@ class Words:
     first: np.ndarray
 
 
-def split_words(block: Block) -> Words:
+def split_words(block: Block, space: np.ndarray = SPACE) -> Words:
+    """space: of each byte value, whether it stands between words."""
     n, rows = len(block.data), len(block.offsets) - 1
     solid = np.zeros(n + 2, bool)
-    np.logical_not(SPACE[block.data], out=solid[1:-1])
+    np.logical_not(space[block.data], out=solid[1:-1])
     opens = solid[1:-1] & ~solid[:-2]
     shuts = solid[1:-1] & ~solid[2:]
     inner = block.offsets[1:-1]
