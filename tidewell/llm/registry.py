@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from .license_scan import license_scan
 from .media import media_column
+from .mixing import mix
+from .sharding import extendible_shards
+from .sharding import oracle as sharding_oracle
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
+#: Greatest bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,11 +29,19 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES, carry=["doc_id"])
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +61,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op3_sharding": op3_sharding,
         "op4_license_scan": op4_license_scan,
+        "op5_mixing": op5_mixing,
         "op6_token_count": op6_token_count,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
@@ -55,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sharding": sharding_oracle(SHARD_BYTES)}
