@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, quality
+from .decontaminate import leaks
 from .license_scan import license_scan
 from .media import media_column
 from .mixing import mix
@@ -29,6 +31,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES, carry=["doc_id"])
 
@@ -48,6 +54,16 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.quality_model(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs), spans=False)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -61,10 +77,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op2_decontaminate": op2_decontaminate,
         "op3_sharding": op3_sharding,
         "op4_license_scan": op4_license_scan,
         "op5_mixing": op5_mixing,
         "op6_token_count": op6_token_count,
+        "op7_quality": op7_quality,
+        "op8_language": op8_language,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
     }

@@ -134,3 +134,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     classes = stash(reps.join(labels, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     discard(found, reps)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of docs, with all columns, of which doc_id names its component: one document of each group.
+
+    Repeated rows of such a document stay once. Rows with a null doc_id stay only as the sole members of their component, once.
+    """
+    found = near_duplicates(docs, shingle)
+    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    lone = found.groupBy("component_id").agg(F.max("doc_id").alias("any"), F.min("fp").alias("fp")).where("any is null").select("fp")
+    columns = docs.columns
+    named = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    kept = named.where("__id is not null").join(heads.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
+    kept = kept.dropDuplicates(["__id"]).select(*columns)
+    nameless = named.where("__id is null")
+    return kept if nameless.isEmpty() else kept.unionByName(_nameless(nameless.drop("__id"), lone, shingle))
+
+
+def _nameless(docs: DataFrame, fps: DataFrame, shingle: int) -> DataFrame:
+    """One row without doc_id for each of fps."""
+    run = _fingerprints(shingle)
+    numbered = stash(docs.withColumn("__n", F.monotonically_increasing_id()))
+    prints = numbered.select(F.col("__n").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    first = prints.join(fps, "fp").groupBy("fp").agg(F.min("doc_id").alias("__n")).select("__n")
+    return numbered.join(first, "__n", "left_semi").select(*docs.columns)
