@@ -56,7 +56,7 @@ _page("filter_src", " and src_addr = '10.0.1.7'", 1000, src_addr="10.0.1.7")
 _page("filter_dst", " and dst_addr = '198.51.100.203'", 1000, dst_addr="198.51.100.203")
 _page("filter_protocol", " and protocol = 6", 200, protocol=6)
 _page("filter_protocol_zero", " and protocol = 0", 200, protocol=0)
-_page("filter_all", " and exporter_id = 4 and src_addr = '10.0.3.35' and dst_addr = '198.51.100.203' and protocol = 6", 100, exporter_id=4, src_addr="10.0.3.35", dst_addr="198.51.100.203", protocol=6)
+_page("filter_all", " and exporter_id = 6 and src_addr = '10.0.1.105' and dst_addr = '198.51.100.237' and protocol = 6", 100, exporter_id=6, src_addr="10.0.1.105", dst_addr="198.51.100.237", protocol=6)
 _page("page_next", " and (received_at < timestamp '2024-01-20 12:00:00' or received_at = timestamp '2024-01-20 12:00:00' and seq < 500)", 50, cursor=Q.encode_cursor(_us(2024, 1, 20, 12), 500))
 
 

@@ -33,8 +33,10 @@ def decoded(messages: DataFrame) -> DataFrame:
 
     Unknown fields are passed over. received_at is the message's, else the transport's time, never the reader's clock.
     """
-    m = messages.withColumn("m", F.from_json("value", MESSAGE, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
-    f = lambda name: F.col(f"m.{name}")
+    # a generator keeps each message's parse apart from the many expressions that use its fields
+    parsed = F.array(F.from_json("value", MESSAGE, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
+    m = messages.select("*", F.inline_outer(parsed).alias(*(f"m_{c.split(' ')[0]}" for c in MESSAGE.split(", "))))
+    f = lambda name: F.col(f"m_{name}")
     at = F.coalesce(_time(f("received_at")), F.col("timestamp").cast("timestamp"))
     numbers = {n: F.coalesce(f(n), F.lit(0)) for n in UNSIGNED}
     outside = F.lit(False)
@@ -52,7 +54,7 @@ def decoded(messages: DataFrame) -> DataFrame:
         bad_address = bad_address | ((F.coalesce(f(name), F.lit("")) != "") & F.col(parsed).isNull())
     bad_time = (f("received_at").isNotNull() & _time(f("received_at")).isNull()) | (f("first_switched").isNotNull() & first.isNull()) | (f("last_switched").isNotNull() & last.isNull())
     reason = (
-        F.when(F.col("m").isNull() | f("_corrupt").isNotNull(), "not a message").when(bad_address | bad_time | outside, "malformed field")
+        F.when(F.col("value").isNull() | f("_corrupt").isNotNull(), "not a message").when(bad_address | bad_time | outside, "malformed field")
         .when(F.col("__exporter").isNull(), "exporter_addr is required").when(~known_flow_type(f("flow_type")), "unknown flow_type")
         .when(F.col("__src").isNull() | F.col("__dst").isNull(), "src_addr and dst_addr are required")
         .when(first.isNull() | last.isNull(), "first_switched and last_switched are required").when(at.isNull(), "no received_at and no transport time")
@@ -65,7 +67,8 @@ def decoded(messages: DataFrame) -> DataFrame:
     key = N.natural_key(values["exporter_addr"], F.unix_micros(first), values["src_addr"], values["dst_addr"], values["src_port"], values["dst_port"], values["protocol"])
     values["dedup_key"] = key
     keep = [c for c in messages.columns if c not in values]
-    return out.select(*keep, *(values[n].alias(n) for n in DECODED), reason.alias("reason"))
+    # a generator again: filters on what comes out are not expanded into all of the above
+    return out.select(*keep, F.inline_outer(F.array(F.struct(*(values[n].alias(n) for n in DECODED), reason.alias("reason")))))
 
 
 def good(messages: DataFrame) -> DataFrame:
