@@ -90,4 +90,5 @@ def encoded(records: DataFrame) -> DataFrame:
         "src_port", "dst_port", "protocol", "tcp_flags", u64(F.col("packets")).alias("packets"), u64(F.col("bytes")).alias("bytes"), "sampling_rate", "input_iface", "output_iface", "src_as", "dst_as", text("next_hop"),
     ]
     flat = records.select(F.col("received_at").alias("__at"), F.struct(*shown).alias("r"))
-    return flat.select(F.col("r.exporter_addr").alias("key"), F.to_json("r", {"ignoreNullFields": "false"}).alias("value"), F.col("__at").alias("timestamp"))
+    message = F.struct(F.col("r.exporter_addr").alias("key"), F.to_json("r", {"ignoreNullFields": "false"}).alias("value"), F.col("__at").alias("timestamp"))
+    return flat.select(F.inline_outer(F.array(message)))
