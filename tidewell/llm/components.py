@@ -42,4 +42,5 @@ def components(links: DataFrame) -> DataFrame:
         now = after
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
-    return now.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
+    named = now.select(F.col("b").alias("node"), "a").unionAll(now.select(F.col("a").alias("node"), "a"))
+    return named.groupBy("node").agg(F.min("a").alias("component"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_scan import LOWER, NOT_WORD
-from .shared import Block, text_blocks
+from .shared import Block, bound_batches, text_blocks
 from .words import U, run_hashes, split_words, word_hashes
 
 K1, B = 1.2, 0.75
@@ -214,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word: each item that a row's text holds, its best passage."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for index in indexes(items):
         sent = spark.sparkContext.broadcast(index)
@@ -246,5 +246,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                     keep[block.start + search(block, sent.value)[:, 0].astype(np.int64)] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bound_batches(docs).mapInArrow(run, docs.schema)
     return docs

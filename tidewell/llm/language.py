@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import crc_remainder, sample_texts
-from .shared import Block, text_blocks
+from .shared import Block, bound_batches, text_blocks
 from .words import split_words
 
 BUCKETS = 1 << 16
@@ -38,7 +38,7 @@ MOST_TRAINING = 8000
 SMOOTHING = 0.5
 SWITCH = 14.0
 STRIDE = 64
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 UNDETERMINED = "und"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -138,7 +138,7 @@ def train(texts: pa.Array, labels: list[str]) -> Model:
 
 def fit(docs: DataFrame, each: int = MOST_A_LANGUAGE, most: int = MOST_TRAINING, seed: int = 9) -> Model:
     """Learns from documents with a language whose crc32(doc_id) mod 5 is not 0."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label")).where(F.col("label").isNotNull() & (crc_remainder("doc_id", 5) != 0))
+    known = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label")).where(F.col("label").isNotNull() & (crc_remainder("doc_id", 5) != 0))
     counts = known.groupBy("label").agg(F.count("*").alias("n"))
     # a uniform hash under each / n keeps about `each` rows of a language without ordering any group
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -225,6 +225,6 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score, and with `spans` the labelled spans of words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, lang_pred string, score double" + (", spans array<struct<lang string, first_word long, n_words long>>" if spans else "")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_identify(sent, spans), schema)
+    out = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_identify(sent, spans), schema)
     held = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), *out.columns[1:])

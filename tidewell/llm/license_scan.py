@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_blocks
+from .shared import bound_batches, text_blocks
 from .substring_dedup import _kept_bytes
 from .words import split_words
 
@@ -144,7 +144,7 @@ def _scan(batches):
             raw = block.data
             block.data = LOWER[raw]
             words = split_words(block, NOT_WORD)
-            joined, bounds = _kept_bytes(block, words, np.ones(len(words.start), bool))
+            joined, bounds = _kept_bytes(block, words, np.ones(len(words.start), bool), NOT_WORD)
             rows = len(bounds) - 1
             count = np.diff(words.first)
             # each row as " word word \\n": no phrase runs on into the next row
@@ -196,4 +196,4 @@ def _scan(batches):
 def license_scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: words, base places, labels, score, the tags' expressions in postfix order, and their freedom (0 to 1, null without)."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, freedom double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, schema)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, schema)

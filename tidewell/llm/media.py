@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 PAD = 64
 RATE = 8000
 FRAME, HOP = 256, 128
@@ -151,4 +153,4 @@ def _media(keep: bool):
 def media_column(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """Per row of docs: doc_id, sizes and digests of payload and file, the features; with keep_media also media and landmarks."""
     schema = SCHEMA + (", media binary, landmarks array<long>" if keep_media else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_media(keep_media), schema)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_media(keep_media), schema)

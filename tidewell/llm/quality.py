@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import crc_remainder, sample_texts
-from .shared import Block, text_blocks
+from .shared import Block, bound_batches, text_blocks
 from .words import U, mix, run_hashes, split_words, word_hashes
 
 BUCKETS = 1 << 16
@@ -145,7 +145,7 @@ def _score(model):
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(sent), "doc_id long, score double")
+    out = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(sent), "doc_id long, score double")
     held = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -159,4 +159,4 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
             score = [sent.value.scores(block) for block in text_blocks(batch["text"])]
             yield batch.filter(pa.array(np.concatenate(score) >= threshold)) if score else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(run, docs.schema)

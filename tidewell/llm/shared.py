@@ -12,7 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a vectorised operator works on (at least one document).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+
+
+#: Bytes of rows that Spark hands to a Python worker at once, in place of its default of 10,000 rows of any size.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session set to hand texts over in batches bounded by bytes."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
 
 
 def shared_folder(spark: SparkSession) -> str:

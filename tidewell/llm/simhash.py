@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, stash, text_blocks
+from .shared import bound_batches, discard, stash, text_blocks
 from .substring_dedup import NO_ID, _kept_bytes
 from .words import split_words
 
@@ -84,7 +84,7 @@ def majority(h: np.ndarray) -> np.uint64:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Per row of docs: doc_id and fp, the 64 bits of its fingerprint as a bigint."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def _meet(batches):

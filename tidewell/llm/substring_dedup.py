@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitfilter
-from .shared import discard, stash, text_blocks
-from .words import BASES, U, _powers, mix, run_hashes, split_words, word_hashes
+from .shared import bound_batches, discard, stash, text_blocks
+from .words import BASES, SPACE, U, _powers, mix, run_hashes, split_words, word_hashes
 
 GRAM = 5
 NO_ID = (1 << 63) - 1
@@ -40,25 +40,23 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch["doc_id"].cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _kept_bytes(block, words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kept words of each row joined by one space, end to end, and the rows' bounds."""
+def _kept_bytes(block, words, keep: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each row joined by one space, end to end, and the rows' bounds.
+
+    The byte before a word that isn't its row's first stands between words, so it serves as the space.
+    """
     start, end, row = words.start[keep], words.end[keep], words.row[keep]
     rows = len(block.offsets) - 1
-    step = np.zeros(len(block.data) + 1, np.int8)
-    step[start] += 1
-    step[end] -= 1
-    solid = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
-    joined = block.data[solid]
-    size = end - start
     bounds = np.zeros(rows + 1, np.int64)
     if not len(start):
-        return joined, bounds
-    inner = np.ones(len(start), np.int64)  # a space goes before each word but a row's first
-    inner[np.r_[True, row[1:] != row[:-1]]] = 0
-    at = np.cumsum(size + inner) - size  # where each word goes
-    out = np.full(int(at[-1] + size[-1]), 0x20, np.uint8)
-    out[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(joined))] = joined
-    bounds[1:] = np.cumsum(np.bincount(row, size + inner, rows)).astype(np.int64)
+        return np.zeros(0, np.uint8), bounds
+    inner = np.r_[0, row[1:] == row[:-1]]
+    step = np.zeros(len(block.data) + 1, np.int8)
+    step[end] -= 1
+    step[start - inner] += 1
+    out = block.data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    out[space[out]] = 0x20
+    np.cumsum(np.bincount(row, end - start + inner, rows).astype(np.int64), out=bounds[1:])
     return out, bounds
 
 
@@ -211,7 +209,7 @@ def _without(window: int):
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """Rows doc_id, th, spans: where the edges of each document repeat a document with a smaller doc_id (whole copies aside)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     edge = "key long, verify long, doc_id long, th long, first int, windows int"
     shared = stash(
         docs.select("text").mapInArrow(_minimizers(window), "m long, th long, path int").groupBy("m")
@@ -237,7 +235,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (the words left, joined by one space; null where all or none went), kept_sha256."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = stash(docs.mapInArrow(_profile, "doc_id long, th long, n_words long, sha string"))
     sources = stash(profile.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sha", F.lit(True).alias("source")))
     spans = repeated_spans(docs, window)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_blocks
+from .shared import bound_batches, text_blocks
 
 CHUNK = 256
 #: Transitions and pieces that a worker keeps compiled.
@@ -313,5 +313,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit of every row. vocabulary: path on the driver of a byte-level BPE tokenizer.json (some MB; it is broadcast)."""
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(sent), "doc_id long, n_bytes long, n_tokens long")
+    out = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(sent), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

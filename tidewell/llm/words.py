@@ -65,13 +65,21 @@ def split_words(block: Block, space: np.ndarray = SPACE) -> Words:
     return Words(start, end, np.repeat(np.arange(rows), np.diff(first)), first)
 
 
-def word_hashes(block: Block, words: Words, family: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from differences of a running polynomial."""
-    n = max(1 << 21, 1 << int(len(block.data)).bit_length())
-    up, down, symbols = _powers(n, BASES[family])
-    run = np.zeros(len(block.data) + 1, U)
-    np.cumsum(symbols[block.data] * up[: len(block.data)], out=run[1:])
-    return mix((run[words.end] - run[words.start]) * down[words.start] + (words.end - words.start).astype(U))
+def word_hashes(block: Block, words: Words, family: int = 0, stretch: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, from differences of a running polynomial over stretches of the block."""
+    out = np.empty(len(words.start), U)
+    at = 0
+    while at < len(out):
+        base = words.start[at]
+        to = max(at + 1, int(np.searchsorted(words.end, base + stretch, "right")))
+        start, end = words.start[at:to] - base, words.end[at:to] - base
+        n = int(end[-1])
+        up, down, symbols = _powers(max(stretch, 1 << n.bit_length()), BASES[family])
+        run = np.zeros(n + 1, U)
+        np.cumsum(symbols[block.data[base : base + n]] * up[:n], out=run[1:])
+        out[at:to] = mix((run[end] - run[start]) * down[start] + (end - start).astype(U))
+        at = to
+    return out
 
 
 def run_hashes(h: np.ndarray, k: int, family: int = 0) -> np.ndarray:
