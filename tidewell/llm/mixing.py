@@ -133,7 +133,7 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], block: int, seed: int, rep
         .select("rank", "shard", "blocks", "passes", "drawn", "start")
     )
     order = Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("end", F.sum(F.col("size") * F.col("n")).over(order)).join(_small(quotas), ["rank", "shard"])
+    placed = dealt.withColumn("end", F.sum(F.col("size") * F.col("n")).over(order)).join(quotas, ["rank", "shard"])
     discard(shards)
     return placed.withColumn("begin", F.col("end") - F.col("size") * F.col("n"))
 
@@ -163,4 +163,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block
     times = F.when(F.col("size") == 0, 1).otherwise(F.least(F.lit(repeats), F.round(taken / (F.col("size") * F.col("n"))))).cast("int")
     copies = stash(placed.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), times.alias("__times")).where("__times > 0"))
     same = F.col("__id").eqNullSafe(F.col("k_id")) & F.col("__source").eqNullSafe(F.col("k_source")) & (F.col("__size") == F.col("k_size"))
-    return sized.join(_small(copies), same).withColumn("__time", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
+    # by shuffle at every size, as copies has a row per document
+    return sized.join(copies.hint("merge"), same).withColumn("__time", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)

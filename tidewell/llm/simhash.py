@@ -116,11 +116,12 @@ def _meet(batches):
 def links(reps: DataFrame) -> DataFrame:
     """Links a < b between rows (rep, fp) with distinct fingerprints: enough to connect every two at distance RADIUS or less."""
     n = reps.count()
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (len(NEAR) + len(FAR) // 2) // TASK_VARIANTS))
+    reps = reps.repartition(parts, "fp")
     odd = F.expr("bit_count(fp) % 2 = 1")
     masks = lambda of: F.array(*(F.lit(_signed(m)) for m in of))
     near = reps.select("rep", F.explode(masks(NEAR)).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "rep", F.lit(False).alias("far"))
     two = reps.where(odd).select("rep", F.explode(masks(FAR)).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "rep", F.lit(True).alias("far"))
-    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (len(NEAR) + len(FAR) // 2) // TASK_VARIANTS))
     return near.unionByName(two).repartition(parts, "variant").mapInArrow(_meet, "a long, b long").distinct()
 
 
@@ -142,12 +143,15 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Repeated rows of such a document stay once. Rows with a null doc_id stay only as the sole members of their component, once.
     """
     found = near_duplicates(docs, shingle)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    heads = stash(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
     lone = found.groupBy("component_id").agg(F.max("doc_id").alias("any"), F.min("fp").alias("fp")).where("any is null").select("fp")
     columns = docs.columns
     named = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    kept = named.where("__id is not null").join(heads.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
-    kept = kept.dropDuplicates(["__id"]).select(*columns)
+    # by shuffle at every size, as heads has a row per component
+    kept = named.join(heads.hint("merge"), "__id")
+    if not heads.where("__rows > 1").isEmpty():
+        kept = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["__id"]))
+    kept = kept.select(*columns)
     nameless = named.where("__id is null")
     return kept if nameless.isEmpty() else kept.unionByName(_nameless(nameless.drop("__id"), lone, shingle))
 
