@@ -135,3 +135,31 @@ def test_mixed_documents_keep_columns(spark):
     taken = {r.doc_id: r for r in mixing.mix(docs).collect()}
     for d, r in taken.items():
         assert times[d] == (1 if r.size == 0 else min(3, int(r.taken / r.size + 0.5)))
+
+
+def test_whole_documents_meet_the_targets(spark):
+    """Long documents of sources whose targets are far from a whole multiple of their size."""
+    own = []
+    for k, (source, long) in enumerate((("a", 60), ("b", 40), ("c", 20), (None, 30))):
+        own += [(k * 1000 + i, f"w{k}x{i} " * (200 + 37 * i % 900), "en", source, None, "x", "y", "z") for i in range(long)]
+        own += [(k * 1000 + 500 + i, f"s{k}x{i} " * (1 + i % 60), "en", source, None, "x", "y", "z") for i in range(90)]
+    own += [own[3]] * 4 + [(None, f"null{i} id" + " more" * 40, "en", "a", None, "x", "y", "z") for i in range(9)] + [(7777 + i, "", "en", "a", None, "x", "y", "z") for i in range(3)]
+    sizes, rows_of = collections.Counter(), collections.Counter(own)
+    for _, t, _, s, *_ in own:
+        sizes[s] += len(t.split())
+    target = plain_targets(sizes)
+    import corpus_pipeline as P
+
+    out = P.mix_sources(spark, table(spark, own), "")
+    assert out.columns == SCHEMA.names
+    got = collections.Counter(map(tuple, out.collect()))
+    words = collections.Counter()
+    for r, times in got.items():
+        assert times <= 3 * rows_of[r]
+        words[r[3]] += times * len(r[1].split())
+    for s in sizes:
+        assert abs(words[s] - target[s]) <= 64, (s, words[s], target[s])
+    assert all(got[r] == n for r, n in rows_of.items() if not r[1])
+    again = mixing.whole_documents(table(spark, own[::-1]).repartition(3))
+    assert collections.Counter(map(tuple, again.collect())) == got
+    assert mixing.whole_documents(empty(spark)).count() == 0

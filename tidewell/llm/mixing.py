@@ -13,11 +13,14 @@
 No group is unbounded: sources are aggregated, a shelf has SHELF shards, a shard about SHARD_WORDS words and SHARD_ROWS
 rows. Repeated rows are counted first and parted again at the end. Defined cases: null and empty texts have size 0
 and are taken 0 times; a null source is a source; rows with a null doc_id are repeated rows if size and source agree; an empty
-table gives an empty result; other columns are ignored by mix() and kept by mixed_documents().
+table gives an empty result; other columns are ignored by mix() and kept by mixed_documents() and whole_documents(). The
+latter tells rows apart by all their columns, and chooses whole copies against the shards' quotas in place of blocks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,16 +110,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _taken(docs: DataFrame, weights: tuple[int, ...], block: int, seed: int, repeats: int) -> DataFrame:
-    """Per distinct (doc_id, source, size): n rows, first word in the shard, and the shard's draw. docs: doc_id, source, size."""
-    each = stash(docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+def _dealt(docs: DataFrame, weights: tuple[int, ...], block: int, seed: int, repeats: int, key: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows of docs (source, size and key) with n and their place among the shards, and the shards' quotas and draws."""
+    each = stash(docs.groupBy(*key, "source", "size").agg(F.count("*").alias("n")))
     totals = each.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"))
     sources = stash(_source_seats(_targets(totals, weights, repeats), block))
     count = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS)).cast("long")
     same = each["source"].eqNullSafe(sources["source"])
     dealt = each.join(_small(sources), same).select(
-        each["doc_id"], each["source"], "size", "n", "rank", "source_size", "target", "seats",
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), count).alias("shard"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("order"),
+        *(each[k] for k in key), each["source"], "size", "n", "rank", "source_size", "target", "seats",
+        F.pmod(F.xxhash64(*key, F.lit(seed)), count).alias("shard"), F.xxhash64(*key, F.lit(seed + 1)).alias("order"),
     )
     shards = dealt.groupBy("rank", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("votes"), F.first("seats").alias("seats")).withColumn("shelf", F.expr(f"shard div {SHELF}"))
     shards = stash(shards)
@@ -130,11 +133,17 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], block: int, seed: int, rep
         .withColumn("passes", F.when(F.col("votes") > 0, F.expr("words div votes")).otherwise(0))
         .withColumn("drawn", F.when(F.col("votes") > 0, F.least(F.col("blocks"), F.round((F.col("words") - F.col("passes") * F.col("votes")) / block))).otherwise(0).cast("long"))
         .withColumn("start", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("rank", "shard", F.lit(seed + 2)), F.col("blocks"))).otherwise(0))
-        .select("rank", "shard", "blocks", "passes", "drawn", "start")
+        .select("rank", "shard", "words", "votes", "blocks", "passes", "drawn", "start")
     )
-    order = Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("end", F.sum(F.col("size") * F.col("n")).over(order)).join(quotas, ["rank", "shard"])
     discard(shards)
+    return dealt, quotas
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], block: int, seed: int, repeats: int) -> DataFrame:
+    """Per distinct (doc_id, source, size): n rows, first word in the shard, and the shard's draw. docs: doc_id, source, size."""
+    dealt, quotas = _dealt(docs, weights, block, seed, repeats)
+    order = Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.withColumn("end", F.sum(F.col("size") * F.col("n")).over(order)).join(quotas.drop("words", "votes"), ["rank", "shard"])
     return placed.withColumn("begin", F.col("end") - F.col("size") * F.col("n"))
 
 
@@ -155,7 +164,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = 32,
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = 32, seed: int = 11, repeats: int = REPEATS) -> DataFrame:
-    """docs with each row as often as its taken words make it up, rounded; rows with a size that round to 0 go, others stay once."""
+    """docs with each row as often as its taken words make it up, rounded; rows with a size that round to 0 go, others stay once.
+
+    Rounding by the row doesn't meet the targets of its source, as long documents all round alike; whole_documents() does.
+    """
     keys = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": word_count()}
     sized = docs.select("*", *(c.alias(k) for k, c in keys.items()))
     placed = _taken(docs.select(keys["__id"].alias("doc_id"), keys["__source"].alias("source"), keys["__size"].alias("size")), weights, block, seed, repeats)
@@ -165,3 +177,54 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block
     same = F.col("__id").eqNullSafe(F.col("k_id")) & F.col("__source").eqNullSafe(F.col("k_source")) & (F.col("__size") == F.col("k_size"))
     # by shuffle at every size, as copies has a row per document
     return sized.join(copies.hint("merge"), same).withColumn("__time", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
+
+
+def _whole(repeats: int):
+    """Copies of a shard's rows: its words are owed evenly along its rows, and what a row takes over or under is carried on."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        size, n, order, digest = (shard[c].to_numpy() for c in ("size", "n", "order", "digest"))
+        words, votes = shard["words"][0].as_py(), shard["votes"][0].as_py()
+        copies = n.copy()
+        sizable = np.flatnonzero(size > 0)
+        # longest first, in seeded order within a power of two: short rows even out what long ones leave
+        sizable = sizable[np.lexsort((size[sizable], digest[sizable], order[sizable], -np.frexp(size[sizable])[1]))]
+        place = given = 0
+        for i in sizable.tolist():
+            each, rows = int(size[i]), int(n[i])
+            place += each * rows
+            # one of 2^20 steps of a copy decides by seed, so no length is rounded away
+            owed = (((words * place // votes - given) << 20) + each * (int(order[i]) & 0xFFFFF)) // (each << 20)
+            copies[i] = min(max(owed, 0), repeats * rows)
+            given += each * int(copies[i])
+        # what is left at the end goes to the longest rows that bring the sum nearer
+        for i in sizable.tolist():
+            each, rows = int(size[i]), int(n[i])
+            now = min(max(int(copies[i]) + (2 * (words - given) + each) // (2 * each), 0), repeats * rows)
+            given += each * (now - int(copies[i]))
+            copies[i] = now
+        return pa.table({"doc_id": shard["doc_id"], "source": shard["source"], "size": shard["size"], "digest": shard["digest"], "n": shard["n"], "copies": copies})
+
+    return run
+
+
+def whole_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = 32, seed: int = 11, repeats: int = REPEATS) -> DataFrame:
+    """docs with each row 0 to `repeats` times, so that the words of each source come near its target; rows of size 0 stay once.
+
+    A shard's rows add up to its quota as nearly as one pass over them can bring it; repeated rows have their copies together.
+    """
+    told = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # maps and variants have no hash
+    keys = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "size": word_count(), "digest": F.xxhash64(*(F.col(f"`{c}`") for c in told))}
+    dealt, quotas = _dealt(docs.select(*(c.alias(k) for k, c in keys.items())), weights, block, seed, repeats, key=("doc_id", "digest"))
+    shards = dealt.select("doc_id", "source", "size", "digest", "n", "order", "rank", "shard").join(quotas.select("rank", "shard", "words", "votes"), ["rank", "shard"])
+    chosen = shards.groupBy("rank", "shard").applyInArrow(_whole(repeats), "doc_id long, source string, size long, digest long, n long, copies long")
+    chosen = stash(chosen.where("copies > 0").select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("n").alias("__n"), F.col("copies").alias("__copies")))
+    sized = docs.select("*", *(c.alias(f"__{k}") for k, c in keys.items()))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"__{k}").eqNullSafe(F.col(f"__k_{k}"))
+    # by shuffle at every size, as chosen has a row per document
+    joined = sized.join(chosen.hint("merge"), same)
+    if not chosen.where("__n > 1").isEmpty():
+        joined = joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates([f"__{k}" for k in keys]))
+    return joined.withColumn("__time", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
