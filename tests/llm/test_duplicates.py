@@ -94,6 +94,27 @@ def test_simhash(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_simhash_of_shared_and_null_ids(spark):
+    """Null-id texts near two documents don't merge them, nor do different texts under one doc_id; each clean text stays."""
+    from .corpus import SCHEMA as schema
+
+    rng = random.Random(12)
+    text = lambda k=400: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    five, nine, shared, other, lone, lost = (text() for _ in range(6))
+
+    def near(t):
+        more = (t + "".join(f" end{i}x{j}" for j in range(1 + i % 6)) for i in range(99))
+        return next(x for x in more if 0 < (brute_simhash([(0, x)])[0] ^ brute_simhash([(0, t)])[0]).bit_count() <= 3)
+
+    own = [(5, five), (9, nine), (None, near(five)), (None, near(nine)), (20, shared), (20, other), (30, near(other)), (None, lone), (None, lost), (None, lost)]
+    docs = spark.createDataFrame([(d, t, *[None] * 6) for d, t in own], schema)
+    component = dict.fromkeys([five, own[2][1]], 5) | dict.fromkeys([nine, own[3][1]], 9) | dict.fromkeys([shared, other, own[6][1]], 20) | dict.fromkeys([lone, lost], S.NO_ID)
+    want = sorted(((d, p, component[t]) for (d, t), p in zip(own, brute_simhash(own))), key=str)
+    assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str) == want
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, five), (9, nine), (20, shared), (20, other), (None, lone), (None, lost)], key=str)
+
+
 def test_ball_links_reach_every_distance(spark):
     """Random words with planted neighbours at 1 to 4 bits: the links' components are those of all pairs at 3 or less."""
     rng = random.Random(4)

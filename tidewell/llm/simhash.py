@@ -14,7 +14,8 @@ Spark joins; each round's links are a table in the shared folder.
 Defined cases: words are [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case; null, empty and wordless texts have
 fingerprint 0 and link like any other; fewer than `shingle` words make one shingle; a bit with exactly half the shingles
 is 0; repeated rows each get a row; a null doc_id gets the class of its fingerprint but never names one (2^63-1 stands
-for it where nothing else is in the class); other columns are ignored; an empty table gives an empty result.
+for it where nothing else is in the class); different texts under one doc_id are linked by their fingerprints alone, so two
+classes may bear one name; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,41 +126,58 @@ def links(reps: DataFrame) -> DataFrame:
     return near.unionByName(two).repartition(parts, "variant").mapInArrow(_meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, fp, component_id (the least doc_id reachable over links) and n_links of its fingerprint."""
-    prints = stash(fingerprints(docs, shingle))
-    reps = stash(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")))
-    found = stash(links(reps))
+def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per fingerprint: fp, least (its doc_id), root (a number of its component), n_links; per component: root, and the doc_id and fp that come first, null last."""
+    # nodes are numbers of the fingerprints, unique whatever the doc_ids are, in an order that doesn't depend on the arrangement
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).orderBy(F.col("least").asc_nulls_last(), "fp")
+    reps = stash(least.withColumn("rep", F.monotonically_increasing_id()))
+    found = stash(links(reps.select("rep", "fp")))
     ends = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     labels = components(found)
-    classes = stash(reps.join(labels, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    joined = reps.join(labels, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")
+    classes = stash(joined.select("fp", "least", F.coalesce("component", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     discard(found, reps)
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "n_links")
+    first = F.min(F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("doc_id"), "fp"))
+    heads = stash(classes.groupBy("root").agg(first.alias("head")).select("root", "head.doc_id", "head.fp"))
+    return classes, heads
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """Per row of docs: doc_id, fp, component_id (the least doc_id reachable over links) and n_links of its fingerprint."""
+    prints = stash(fingerprints(docs, shingle))
+    classes, heads = _classes(prints)
+    named = stash(classes.join(heads.select("root", F.coalesce("doc_id", F.lit(NO_ID)).alias("component_id")), "root").select("fp", "component_id", "n_links"))
+    discard(classes, heads)
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of docs, with all columns, of which doc_id names its component: one document of each group.
+    """One row of docs, with all columns, of each component: the first by doc_id and fingerprint, null last.
 
-    Repeated rows of such a document stay once. Rows with a null doc_id stay only as the sole members of their component, once.
+    Of repeated rows, and of rows alike in doc_id and fingerprint, one stays.
     """
-    found = near_duplicates(docs, shingle)
-    heads = stash(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
-    lone = found.groupBy("component_id").agg(F.max("doc_id").alias("any"), F.min("fp").alias("fp")).where("any is null").select("fp")
+    prints = stash(fingerprints(docs, shingle))
+    _, heads = _classes(prints)
+    rows = prints.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    heads = stash(heads.join(rows.hint("merge"), heads["doc_id"].eqNullSafe(rows["doc_id"])).select(heads["doc_id"].alias("__id"), heads["fp"].alias("__fp"), "rows"))
     columns = docs.columns
     named = docs.withColumn("__id", F.col("doc_id").cast("long"))
     # by shuffle at every size, as heads has a row per component
-    kept = named.join(heads.hint("merge"), "__id")
-    if not heads.where("__rows > 1").isEmpty():
-        kept = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["__id"]))
-    kept = kept.select(*columns)
-    nameless = named.where("__id is null")
-    return kept if nameless.isEmpty() else kept.unionByName(_nameless(nameless.drop("__id"), lone, shingle))
-
-
-def _nameless(docs: DataFrame, fps: DataFrame, shingle: int) -> DataFrame:
-    """One row without doc_id for each of fps."""
-    run = _fingerprints(shingle)
+    kept = named.join(heads.where("rows = 1 and __id is not null").select("__id").hint("merge"), "__id").select(*columns)
+    # rows that their doc_id doesn't tell apart are told by their fingerprints
+    many = heads.where("rows > 1 and __id is not null").select("__id").distinct()
+    alike = [] if many.isEmpty() else [named.join(many.hint("merge"), "__id", "left_semi").select(*columns)]
+    alike += [] if heads.where("__id is null").isEmpty() else [named.where("__id is null").select(*columns)]
+    for more in alike:
+        kept = kept.unionByName(_first_rows(more, heads.select("__id", "__fp"), shingle))
+    return kept
+
+
+def _first_rows(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
+    """One row of docs for each doc_id and fingerprint of heads (__id, __fp) that it holds."""
     numbered = stash(docs.withColumn("__n", F.monotonically_increasing_id()))
-    prints = numbered.select(F.col("__n").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
-    first = prints.join(fps, "fp").groupBy("fp").agg(F.min("doc_id").alias("__n")).select("__n")
+    prints = fingerprints(numbered.select(F.col("__n").alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "__n")
+    ids = numbered.select("__n", F.col("doc_id").cast("long").alias("__own"))
+    told = prints.join(ids, "__n")
+    first = told.join(heads, told["__own"].eqNullSafe(heads["__id"]) & (told["fp"] == heads["__fp"])).groupBy("__own", "fp").agg(F.min("__n").alias("__n")).select("__n")
     return numbered.join(first, "__n", "left_semi").select(*docs.columns)
