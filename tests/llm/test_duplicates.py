@@ -137,6 +137,20 @@ def test_ball_links_reach_every_distance(spark):
     assert [label.get(i, i) for i in ids] == brute_classes(ids, [by[i] for i in ids])
 
 
+def test_links_are_verified_and_named(spark, monkeypatch):
+    """A pair that is too far apart isn't a link, wherever it comes from; the column says which links it counts."""
+    import pyarrow as pa
+
+    def far_too(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([1, 1] * (b.num_rows > 0), pa.int64()), pa.array([2, 3] * (b.num_rows > 0), pa.int64())], ["a", "b"])
+
+    monkeypatch.setattr(simhash, "_meet", far_too)
+    reps = spark.createDataFrame([(1, 0), (2, 7), (3, 15)], "rep long, fp long")
+    assert [tuple(r) for r in simhash.links(reps).collect()] == [(1, 2)]
+    assert simhash.near_duplicates(empty(spark)).columns == ["doc_id", "fp", "component_id", "n_spanning_links"]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 500 + i) for i in range(1, 90)] + [(700, 700), (900, 901), (901, 900)]

@@ -8,7 +8,7 @@ the same half of the word, so only two-bit variants within one half are needed:
 Variants are shuffled. Whatever meets in a variant is at distance 3 or less from any member that has the variant in its
 ball of radius 1 (1 + 2 bits at most), so the least such member gets a link from each other one: no pair within a group is
 emitted but with that hub, no hot group grows as its square, and each link is a true one. A variant has at most 1 + 64 +
-2016 members. Links are verified by their distance, deduplicated, and merged into components by star contraction with
+2016 members. Links are deduplicated, verified by their fingerprints' distance, and merged into components by star contraction with
 Spark joins; each round's links are a table in the shared folder.
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case; null, empty and wordless texts have
@@ -118,24 +118,26 @@ def links(reps: DataFrame) -> DataFrame:
     """Links a < b between rows (rep, fp) with distinct fingerprints: enough to connect every two at distance RADIUS or less."""
     n = reps.count()
     parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (len(NEAR) + len(FAR) // 2) // TASK_VARIANTS))
+    ends = {side: reps.select(F.col("rep").alias(side), F.col("fp").alias(f"fp_{side}")) for side in "ab"}
     reps = reps.repartition(parts, "fp")
     odd = F.expr("bit_count(fp) % 2 = 1")
     masks = lambda of: F.array(*(F.lit(_signed(m)) for m in of))
     near = reps.select("rep", F.explode(masks(NEAR)).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "rep", F.lit(False).alias("far"))
     two = reps.where(odd).select("rep", F.explode(masks(FAR)).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "rep", F.lit(True).alias("far"))
-    return near.unionByName(two).repartition(parts, "variant").mapInArrow(_meet, "a long, b long").distinct()
+    met = near.unionByName(two).repartition(parts, "variant").mapInArrow(_meet, "a long, b long").distinct()
+    return met.join(ends["a"], "a").join(ends["b"], "b").where(F.expr(f"bit_count(fp_a ^ fp_b) <= {RADIUS}")).select("a", "b")
 
 
 def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per fingerprint: fp, least (its doc_id), root (a number of its component), n_links; per component: root, and the doc_id and fp that come first, null last."""
+    """Per fingerprint: fp, least (its doc_id), root (a number of its component), n_spanning_links; per component: root, and the doc_id and fp that come first, null last."""
     # nodes are numbers of the fingerprints, unique whatever the doc_ids are, in an order that doesn't depend on the arrangement
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).orderBy(F.col("least").asc_nulls_last(), "fp")
     reps = stash(least.withColumn("rep", F.monotonically_increasing_id()))
     found = stash(links(reps.select("rep", "fp")))
-    ends = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    ends = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_spanning_links"))
     labels = components(found)
     joined = reps.join(labels, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")
-    classes = stash(joined.select("fp", "least", F.coalesce("component", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    classes = stash(joined.select("fp", "least", F.coalesce("component", "rep").alias("root"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links")))
     discard(found, reps)
     first = F.min(F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("doc_id"), "fp"))
     heads = stash(classes.groupBy("root").agg(first.alias("head")).select("root", "head.doc_id", "head.fp"))
@@ -143,12 +145,15 @@ def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, fp, component_id (the least doc_id reachable over links) and n_links of its fingerprint."""
+    """Per row of docs: doc_id, fp, component_id (the least doc_id reachable over links) and n_spanning_links of its fingerprint.
+
+    The latter counts the links to and from hubs that connect a component, not all fingerprints within RADIUS.
+    """
     prints = stash(fingerprints(docs, shingle))
     classes, heads = _classes(prints)
-    named = stash(classes.join(heads.select("root", F.coalesce("doc_id", F.lit(NO_ID)).alias("component_id")), "root").select("fp", "component_id", "n_links"))
+    named = stash(classes.join(heads.select("root", F.coalesce("doc_id", F.lit(NO_ID)).alias("component_id")), "root").select("fp", "component_id", "n_spanning_links"))
     discard(classes, heads)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "n_spanning_links")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
