@@ -91,6 +91,15 @@ def test_slices_of_the_index(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in D.leaks(table(spark, own), items_table(spark, texts)).collect()) == [(i, i) for i in range(20)]
 
 
+def test_short_and_nameless_items(spark):
+    """Items of one to four words are found word for word, and an item without item_id as any other."""
+    items = spark.createDataFrame([(1, "Zebra quagga okapi."), (2, "Why? Because."), (3, "xylem"), (None, "one two three four five six seven"), (4, " .")], "item_id long, text string")
+    texts = ["so a zebra, quagga OKAPI came", "zebra okapi quagga", "and why because", "because of that, why", "the xylem", "zero one two three four five six seven eight", "none of it"]
+    docs = spark.createDataFrame([(i, t, *[None] * 6) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()), key=str) == [(0, 1), (2, 2), (4, 3), (5, None)]
+    assert sorted(r.doc_id for r in D.clean(docs, items).collect()) == [1, 3, 6]
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = Q.quality_model(docs, labels)

@@ -11,11 +11,11 @@ of the index, so each place where an item could stand lies whole in one.
   and block, and only blocks that reach RETRIEVE - FREE are scored, term by term. No item above the threshold is missed.
 * A retrieved item is verified on its five-word shingles: at least OVERLAP of the question's and of the answer's must be in
   the passage. The answer is what follows the last sentence end, line or `?` inside the item; an item of one sentence is its
-  own question and answer. A part of under five words is one shingle.
+  own question and answer. A part of under five words is one shingle, and so is an item of under five words as a whole.
 
 The index of a slice of items goes to all executors; a slice has at most SLICE_BYTES of item text, further slices are scans
-of their own. Defined cases: null and empty texts hold no passages; items with fewer than SHORTEST words can't be told from chance
-and are left out; equal items each match; rows repeat as they come; a null doc_id stays null in the result; other
+of their own. Defined cases: null and empty texts hold no passages; items without a word (SHORTEST) are left out; equal items
+each match; rows repeat as they come; a null doc_id or item_id stays null in the result; other
 columns are kept by clean() and ignored by leaks(); empty tables give empty results.
 """
 
@@ -37,7 +37,7 @@ from .words import U, run_hashes, split_words, word_hashes
 K1, B = 1.2, 0.75
 RETRIEVE, FREE = 0.5, 0.2
 OVERLAP = 0.8
-SHINGLE, SHORTEST, BLOCK, STRIDE = 5, 5, 2, 64
+SHINGLE, SHORTEST, BLOCK, STRIDE = 5, 1, 2, 64
 MOST_BLOCKS = 2048
 SLICE_BYTES = 8 << 20
 SENTENCE_END = re.compile(rb"[.!?\n]\s+")
@@ -59,6 +59,7 @@ class Index:
     """Postings by term: terms (sorted hashes) from begin[t] to begin[t + 1] in item, impact; the same by block in block_*."""
 
     ids: np.ndarray
+    nameless: np.ndarray
     parts: list[tuple[np.ndarray, int, np.ndarray, int]]
     stride: int
     terms: np.ndarray
@@ -74,8 +75,9 @@ class Index:
     size: int
 
 
-def build(ids: np.ndarray, texts: pa.Array) -> Index | None:
-    """The index of a slice of items; None without any that is long enough."""
+def build(ids: np.ndarray, texts: pa.Array, nameless: np.ndarray | None = None) -> Index | None:
+    """The index of a slice of items, of which `nameless` have no id; None without any that is long enough."""
+    nameless = np.zeros(len(ids), bool) if nameless is None else nameless
     kept, bags, parts = [], [], []
     for block in text_blocks(texts):
         words, h = tokens(block)
@@ -87,11 +89,11 @@ def build(ids: np.ndarray, texts: pa.Array) -> Index | None:
             cuts = [m.end() + block.offsets[r] for m in SENTENCE_END.finditer(raw)]
             places = np.unique(np.searchsorted(words.start[a:b], cuts))
             places = places[(places > 0) & (places < b - a)]
-            cut = int(places[-1]) if len(places) else 0
+            cut = int(places[-1]) if len(places) and b - a >= SHINGLE else 0
             question, answer = (h[a : a + cut], h[a + cut : b]) if cut else (h[a:b], h[a:b])
             parts.append((_shingles(question), min(SHINGLE, len(question)), _shingles(answer), min(SHINGLE, len(answer))))
             bags.append(np.unique(h[a:b], return_counts=True))
-            kept.append(ids[block.start + r])
+            kept.append(block.start + r)
     if not kept:
         return None
     n, length = len(kept), np.array([c.sum() for _, c in bags])
@@ -119,7 +121,7 @@ def build(ids: np.ndarray, texts: pa.Array) -> Index | None:
     filter_ = np.zeros(1 << 20, bool)
     filter_[(terms >> U(44)).astype(np.int64)] = True
     return Index(
-        np.array(kept), parts, max(STRIDE, int(length.max())), terms, begin, item, impact, opening,
+        ids[kept], nameless[kept], parts, max(STRIDE, int(length.max())), terms, begin, item, impact, opening,
         np.searchsorted(pair // blocks, np.arange(len(terms) + 1)), pair % blocks, bound, filter_, blocks, size,
     )
 
@@ -197,14 +199,15 @@ def search(block: Block, index: Index):
 
 def indexes(items: DataFrame) -> list[Index]:
     """One index per slice of items. items: item_id, text."""
-    sized = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    sized = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-total // SLICE_BYTES)
     out = []
     for i in range(slices):
         part = sized if slices == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
         table = part.toArrow().sort_by("item_id")
-        built = build(table["item_id"].to_numpy(), table["text"])
+        named = table["item_id"].combine_chunks()
+        built = build(named.fill_null(0).to_numpy(), table["text"], np.asarray(named.is_null()))
         if built:
             out.append(built)
     return out
@@ -225,7 +228,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     found = search(block, sent.value)
                     row, item = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].slice(block.start).take(pa.array(row)), pa.array(sent.value.ids[item]), *(pa.array(np.round(found[:, c], 9)) for c in (2, 3, 4)), pa.array(found[:, 5].astype(np.int64))],
+                        [batch["doc_id"].slice(block.start).take(pa.array(row)), pa.array(sent.value.ids[item], mask=sent.value.nameless[item]), *(pa.array(np.round(found[:, c], 9)) for c in (2, 3, 4)), pa.array(found[:, 5].astype(np.int64))],
                         ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],
                     )
 
