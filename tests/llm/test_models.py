@@ -91,6 +91,21 @@ def test_slices_of_the_index(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in D.leaks(table(spark, own), items_table(spark, texts)).collect()) == [(i, i) for i in range(20)]
 
 
+def test_slices_score_like_one_index(spark, monkeypatch):
+    """Scores and passages don't depend on how many slices the items make."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(6, 120))) for _ in range(30)]
+    own = [(i, " ".join(rng.choice(vocabulary) for _ in range(150)) + f" {t} tail" if i % 2 else " ".join(t.split()[:-1]), *[None] * 6) for i, t in enumerate(texts)]
+    found = lambda: sorted(map(tuple, D.leaks(spark.createDataFrame(own, SCHEMA), items_table(spark, texts)).collect()))
+    whole = found()
+    monkeypatch.setattr(D, "SLICE_BYTES", 3000)
+    assert len(D.indexes(items_table(spark, texts))) > 2
+    sliced = found()
+    assert len(whole) >= 25 and [r[:2] + r[3:] for r in sliced] == [r[:2] + r[3:] for r in whole]
+    assert [r[2] for r in sliced] == pytest.approx([r[2] for r in whole], abs=1e-8) and min(r[2] for r in whole) < 1
+
+
 def test_short_and_nameless_items(spark):
     """Items of one to four words are found word for word, and an item without item_id as any other."""
     items = spark.createDataFrame([(1, "Zebra quagga okapi."), (2, "Why? Because."), (3, "xylem"), (None, "one two three four five six seven"), (4, " .")], "item_id long, text string")

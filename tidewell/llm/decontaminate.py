@@ -14,7 +14,7 @@ of the index, so each place where an item could stand lies whole in one.
   own question and answer. A part of under five words is one shingle, and so is an item of under five words as a whole.
 
 The index of a slice of items goes to all executors; a slice has at most SLICE_BYTES of item text, further slices are scans
-of their own. Defined cases: null and empty texts hold no passages; items without a word (SHORTEST) are left out; equal items
+of their own, under the weights and the stride of all items together. Defined cases: null and empty texts hold no passages; items without a word (SHORTEST) are left out; equal items
 each match; rows repeat as they come; a null doc_id or item_id stays null in the result; other
 columns are kept by clean() and ignored by leaks(); empty tables give empty results.
 """
@@ -75,8 +75,38 @@ class Index:
     size: int
 
 
-def build(ids: np.ndarray, texts: pa.Array, nameless: np.ndarray | None = None) -> Index | None:
-    """The index of a slice of items, of which `nameless` have no id; None without any that is long enough."""
+@dataclass
+class Totals:
+    """What weights depend on over all items: how many, their words, the longest's words, and each term's items."""
+
+    n: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def totals(texts: pa.Array) -> Totals:
+    length, terms = [], []
+    for block in text_blocks(texts):
+        words, h = tokens(block)
+        for a, b in zip(words.first[:-1], words.first[1:]):
+            if b - a >= SHORTEST:
+                length.append(int(b - a))
+                terms.append(np.unique(h[a:b]))
+    found, df = np.unique(np.concatenate(terms), return_counts=True) if terms else (np.zeros(0, U), np.zeros(0, np.int64))
+    return Totals(len(length), sum(length), max(length, default=0), found, df)
+
+
+def _together(a: Totals, b: Totals) -> Totals:
+    terms, place = np.unique(np.concatenate([a.terms, b.terms]), return_inverse=True)
+    df = np.bincount(place, np.concatenate([a.df, b.df]), len(terms)).astype(np.int64)
+    return Totals(a.n + b.n, a.words + b.words, max(a.longest, b.longest), terms, df)
+
+
+def build(ids: np.ndarray, texts: pa.Array, nameless: np.ndarray | None = None, over: Totals | None = None) -> Index | None:
+    """The index of a slice of items, of which `nameless` have no id; None without any that is long enough. over: of all slices."""
+    over = over or totals(texts)
     nameless = np.zeros(len(ids), bool) if nameless is None else nameless
     kept, bags, parts = [], [], []
     for block in text_blocks(texts):
@@ -100,9 +130,10 @@ def build(ids: np.ndarray, texts: pa.Array, nameless: np.ndarray | None = None)
     term = np.concatenate([t for t, _ in bags])
     tf = np.concatenate([c for _, c in bags]).astype(float)
     item = np.repeat(np.arange(n), [len(t) for t, _ in bags])
-    terms, number, df = np.unique(term, return_inverse=True, return_counts=True)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    weight = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+    terms, number = np.unique(term, return_inverse=True)
+    df = over.df[np.searchsorted(over.terms, terms)]
+    idf = np.log(1 + (over.n - df + 0.5) / (df + 0.5))
+    weight = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / (over.words / over.n)))
     impact = weight / np.bincount(item, weight)[item]
     order = np.lexsort((item, number))
     number, item, impact = number[order], item[order], impact[order]
@@ -121,7 +152,7 @@ def build(ids: np.ndarray, texts: pa.Array, nameless: np.ndarray | None = None)
     filter_ = np.zeros(1 << 20, bool)
     filter_[(terms >> U(44)).astype(np.int64)] = True
     return Index(
-        ids[kept], nameless[kept], parts, max(STRIDE, int(length.max())), terms, begin, item, impact, opening,
+        ids[kept], nameless[kept], parts, max(STRIDE, over.longest), terms, begin, item, impact, opening,
         np.searchsorted(pair // blocks, np.arange(len(terms) + 1)), pair % blocks, bound, filter_, blocks, size,
     )
 
@@ -202,12 +233,16 @@ def indexes(items: DataFrame) -> list[Index]:
     sized = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-total // SLICE_BYTES)
+
+    def part(i: int) -> pa.Table:
+        return (sized if slices == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i)).toArrow().sort_by("item_id")
+
+    over = reduce(_together, (totals(part(i)["text"]) for i in range(slices))) if slices > 1 else None
     out = []
     for i in range(slices):
-        part = sized if slices == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
-        table = part.toArrow().sort_by("item_id")
+        table = part(i)
         named = table["item_id"].combine_chunks()
-        built = build(named.fill_null(0).to_numpy(), table["text"], np.asarray(named.is_null()))
+        built = build(named.fill_null(0).to_numpy(), table["text"], np.asarray(named.is_null()), over)
         if built:
             out.append(built)
     return out
