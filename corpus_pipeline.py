@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least doc_id."""
+    """Of each SimHash component, by the 3 bits of op10, the document with the least doc_id; the README tells what stays."""
     return simhash.keep_one(docs)
 
 
