@@ -221,3 +221,48 @@ def test_keep_one_of_each_component(spark):
     kept = [r.doc_id for r in simhash.keep_one(table(spark, own)).collect()]
     assert sorted(x for x in kept if x is not None) == sorted({r.component_id for r in found})
     assert kept.count(None) == 1
+
+
+def test_pipeline_equals_plain(spark):
+    """run() against a plain version, given the classifier's choice: the documents that come out, and each source's words against its target."""
+    import collections
+
+    import corpus_pipeline as P
+
+    from .test_allocation import check_shards, plain_targets
+    from .test_duplicates import brute_classes, brute_simhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = [(r.doc_id, r.text, r.source) for r in P.keep_quality(spark, docs, SF).collect()]
+    heads = brute_classes([r[0] for r in own], brute_simhash(own))
+    own = [r for r, head in zip(own, heads) if r[0] == head]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text]
+    cut = lambda x: [m.end() for m in re.finditer(r"[.!?\n]\s+", x) if words(x[: m.end()]) and words(x[m.end() :])]
+    halves = [(x[: cut(x)[-1]], x[cut(x)[-1] :]) if cut(x) else (x, x) for x in items]
+    shingles = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    parts = [[(len(w[:5]), shingles(w, len(w[:5]))) for w in map(words, pair)] for pair in halves]
+    stride = max(64, *(len(words(x)) for x in items))
+
+    def leaks(text):
+        w = words(text)
+        for p in range(max(1, -(-len(w) // stride) - 1)):
+            have = {k: shingles(w[p * stride : (p + 2) * stride], k) for k in range(1, 6)}
+            if any(all(len(s & have[k]) >= 0.8 * len(s) for k, s in pair) for pair in parts):
+                return True
+        return False
+
+    clean = {r[0]: (len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")), r[2]) for r in own if not leaks(r[1])}
+    out = P.run(spark, SF).collect()
+    check_shards(out, P.SHARD_BYTES)
+    times = collections.Counter(r.doc_id for r in out)
+    assert set(times) <= set(clean) and max(times.values()) <= 3 and all(times[d] == 1 for d, (n, _) in clean.items() if not n)
+    sizes, got = collections.Counter(), collections.Counter()
+    for d, (n, source) in clean.items():
+        sizes[source] += n
+        got[source] += n * times[d]
+    target = plain_targets(sizes)
+    # no copy of a document more or less brings its source nearer, but for the block that a quota is rounded to
+    for d, (n, source) in clean.items():
+        off = got[source] - target[source]
+        for step in [-1] * (times[d] > 0) + [1] * (times[d] < 3):
+            assert not n or abs(off + step * n) >= abs(off) - 64, (source, off, n)
