@@ -5,12 +5,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tidewell.llm import bitfilter, simhash
+from tidewell.llm import bitfilter, joins, simhash
 from tidewell.llm import substring_dedup as S
 from tidewell.llm.components import components
+from tidewell.llm.shared import text_blocks
+from tidewell.llm.words import split_words, word_hashes
 
 from .corpus import SCHEMA, empty, rows, table
 
@@ -50,12 +53,72 @@ def test_substring_dedup(spark, case):
     assert sum(1 for x in want if 0 < x[2] < x[1]) > 5
 
 
-def test_substring_dedup_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(bitfilter, "slices", lambda n: 3)
+@pytest.mark.parametrize("setting", ["useless filters", "every key hot", "nothing glued"])
+def test_substring_dedup_is_alike_at_every_setting(spark, monkeypatch, setting):
+    """Neither a filter that spares nothing nor salts on every key change a row."""
+    if setting == "useless filters":
+        monkeypatch.setattr(bitfilter, "filter_bits", lambda n: 64)
+    elif setting == "every key hot":
+        monkeypatch.setattr(joins, "HOT", 1 << 20)
+    else:
+        monkeypatch.setattr(bitfilter, "filter_bits", lambda n: 1 << 22)
     got = S.substring_dedup(table(spark)).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted(map(tuple, got.collect()), key=str) == brute_substrings(rows())
 
 
+def plain_paths(own, window=13):
+    """The nonbranching paths over candidate edges, by a plain walk: document's place, first word, edges."""
+    texts = [WORDS.findall(t or "") for _, t, *_ in own]
+    pieces = []
+    for d, w in enumerate(texts):
+        block = next(text_blocks(pa.array([" ".join(w)])))
+        split = split_words(block)
+        _, first, count, least = S._pieces(split, word_hashes(block, split), window)
+        pieces += [(d, f, c, m) for f, c, m in zip(first.tolist(), count.tolist(), least.tolist())]
+    where = {}
+    for d, _, _, m in pieces:
+        where.setdefault(m, set()).add(tuple(texts[d]))
+    edges = {(d, f + i) for d, f, c, m in pieces if len(where[m]) > 1 for i in range(c)}
+    node = lambda d, p: tuple(texts[d][p : p + window - 1])
+    word = lambda d, p: texts[d][p] if 0 <= p < len(texts[d]) else None
+    into, out = {}, {}
+    for d, p in {(d, p + i) for d, p in edges for i in (0, 1)}:
+        into.setdefault(node(d, p), set()).add(word(d, p - 1))
+        out.setdefault(node(d, p), set()).add(word(d, p + window - 1))
+    found = {}
+    for d, p in sorted(edges):
+        glued = (d, p - 1) in edges and len(into[node(d, p)]) == len(out[node(d, p)]) == 1
+        start = start if glued else p  # noqa: F821
+        found[d, start] = p - start + 1
+    return sorted((d, p, n) for (d, p), n in found.items())
+
+
+def test_compacted_paths_equal_a_plain_walk(spark):
+    own = [(i, t, *r) for i, (_, t, *r) in enumerate(rows())]
+    docs = table(spark, own).selectExpr("doc_id", "xxhash64(doc_id, text) as jid", "text")
+    profile = docs.mapInArrow(S._profile(13), "doc_id long, jid long, th long, n_words long, sha string, ms array<long>")
+    got = S.compacted_paths(docs, profile).collect()
+    assert sorted((r.doc_id, r["first"], r.windows) for r in got) == plain_paths(own)
+    for r in got:
+        assert bytes(r.path) == hashlib.sha256(" ".join(WORDS.findall(own[r.doc_id][1])[r["first"] : r["first"] + r.windows + 12]).encode()).digest()
+    assert max(r.windows for r in got) > 40
+
+
+def test_substring_dedup_of_long_looping_and_nameless_texts(spark):
+    """A text of over 2 MB, loops in the graph, one line that most documents repeat, and many rows without doc_id."""
+    rng = random.Random(31)
+    make = lambda k: " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randrange(99)) for _ in range(k))
+    line = make(14)
+    long = " ".join(make(2000) for _ in range(250))
+    assert len(long) > 2 << 20
+    texts = [(9, long), (3, long[1_000_000:1_004_000]), (5, "la " * 400), (4, "x la la " + "la " * 30), (6, "pim pam " * 50), (7, "pam pim " * 20 + "end")]
+    texts += [(100 + i, f"{make(3)} {line} {make(2)} {line} {line}") for i in range(60)] + [(None, f"{make(20)} {line}") for _ in range(60)] + [(None, texts[1][1])]
+    own = [(d, t, *[None] * 6) for d, t in texts]
+    out = S.substring_dedup(table(spark, own))
+    got = sorted(map(tuple, out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    assert got == brute_substrings(own)
+
+
 def test_substring_dedup_empty(spark):
     assert S.substring_dedup(empty(spark)).count() == 0
 

@@ -1,7 +1,8 @@
 """A Bloom filter of fixed greatest size, built by Spark and broadcast to Python workers.
 
 It only spares rows that can't matter from a shuffle: a false positive is a wasted row, never a wrong result. Its size
-is bounded by MOST_BITS whatever the data; for more keys than it serves well the caller deals the keys into slices.
+is bounded by MOST_BITS whatever the data are; beyond the keys it serves well it spares fewer rows, and the exact join
+that follows takes more.
 """
 
 from __future__ import annotations
@@ -23,11 +24,6 @@ def filter_bits(n_keys: int) -> int:
     return min(MOST_BITS, max(1 << 16, 1 << int(n_keys * BITS_PER_KEY - 1).bit_length() if n_keys else 0))
 
 
-def slices(n_keys: int) -> int:
-    """Into how many slices (by key) to deal n_keys so that a filter of MOST_BITS serves each."""
-    return max(1, -(-n_keys * BITS_PER_KEY // MOST_BITS))
-
-
 def _positions(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
     return mix(keys + U(0x632BE59BD9B4E019 * (probe + 1) % (1 << 64))) & U(bits - 1)
 

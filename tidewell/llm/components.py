@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import split_join
 from .shared import discard, stash
 
 MOST_ROUNDS = 100
 
 
-def _star(arcs: DataFrame, ends: DataFrame) -> DataFrame:
-    """Links each arc's far end to the least node next to its near end. arcs: u, v; ends: u, least."""
-    return arcs.join(ends, "u").where("v != least").select(F.col("v").alias("b"), F.col("least").alias("a"))
+def _star(arcs: DataFrame, ends: DataFrame, rows: int) -> DataFrame:
+    """Links each arc's far end to the least node next to its near end. arcs: u, v; ends: u, least, n (arcs of u); rows: all arcs."""
+    return split_join(arcs, ends, "u", rows, F.col("v")).where("v != least").select(F.col("v").alias("b"), F.col("least").alias("a"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node of its component) of every node in links (a, b); self links and repeats are allowed.
 
     A large star links every greater neighbour of a node to the least of its neighbourhood, a small star every smaller
-    one; repeated, each component becomes a star around its least node. A round is two aggregations and two joins; a hub's
-    rows are split by adaptive execution, as both sides of each join are plain shuffles. Rounds end when the links don't change.
+    one; repeated, each component becomes a star around its least node. A round is two aggregations and two joins, which
+    deal a hub's rows over salts. Rounds end when the links don't change.
     """
     now = stash(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
@@ -30,15 +31,15 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        ends = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-        large = _star(both.where("v > u"), ends).distinct()
-        middle = stash(large)
+        ends = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count("*").alias("n")))
+        middle = stash(_star(both.where("v > u"), ends, 2 * state[0]).distinct())
+        discard(ends)
         # small star: each node's smaller neighbours, and the node itself, to the least of them
         down = middle.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        ends = down.groupBy("u").agg(F.min("v").alias("least"))
-        small = _star(down, ends).unionAll(ends.select(F.col("u").alias("b"), F.col("least").alias("a")))
+        ends = stash(down.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")))
+        small = _star(down, ends, middle.count()).unionAll(ends.select(F.col("u").alias("b"), F.col("least").alias("a")))
         after = stash(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        discard(now, middle)
+        discard(now, middle, ends)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

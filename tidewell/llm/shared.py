@@ -38,14 +38,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, fixes a plan's estimates."""
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+#: Frees a query's shuffle files once it has ended, where Spark knows the setting.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, fixes a plan's estimates.
+
+    The shuffle files behind it go as soon as it is written. Tables that a lazy result still reads stay until the
+    application ends, when its whole folder is deleted; others are discarded by their users.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewell-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    folder = f"{shared_folder(spark)}/tidewell-{spark.sparkContext.applicationId}"
+    fs, p = _path(spark, folder)
+    fs.deleteOnExit(p)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -54,9 +72,8 @@ def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes stashed tables that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, p = _path(df.sparkSession, df._stash_path)
+        fs.delete(p, True)
 
 
 @dataclass
