@@ -1,4 +1,4 @@
-"""The conformance suite's records, made by rule."""
+"""Records for the tests of storage: office and lab traffic of two routers, told apart by a running number."""
 
 import datetime as dt
 
@@ -7,8 +7,8 @@ from pyspark.sql.types import _parse_datatype_string
 from tidewell.functions.network import parse_ip
 from tidewell.schema import DECODED, RECORD_DDL
 
-BASE = dt.datetime(2026, 9, 19, 12, tzinfo=dt.UTC)
-A, B = "192.0.2.1", "192.0.2.2"
+BASE = dt.datetime(2026, 3, 4, 10, 30, tzinfo=dt.UTC)
+A, B = "172.20.0.9", "172.20.0.10"
 HOUR = 3_600_000_000
 
 
@@ -17,18 +17,23 @@ def us(t):
 
 
 WINDOW = {"start": us(BASE) - HOUR, "end": us(BASE) + HOUR}
+#: What a record's kind decides: its format, transport, addresses' prefixes and next hop. Two of three are the first kind.
+OFFICE = {"flow_type": "netflow5", "protocol": 6, "tcp_flags": 18, "src": "172.30.4.{}", "dst": "10.99.7.{}", "next_hop": "172.20.0.1"}
+LAB = {"flow_type": "ipfix", "protocol": 17, "tcp_flags": 0, "src": "fd00:1ab::{}", "dst": "fd00:1ab:2::7", "next_hop": None}
 
 
 def record(i, exporter=A, at=None, keyed=True):
+    kind = LAB if i % 3 == 2 else OFFICE
     at = at or BASE + dt.timedelta(microseconds=i)
-    six = i % 3 == 1
-    r = {
-        "received_at": at, "exporter_addr": parse_ip(exporter), "flow_type": "ipfix" if six else "netflow5", "first_switched": at - dt.timedelta(seconds=2), "last_switched": at - dt.timedelta(milliseconds=500),
-        "src_addr": parse_ip(f"2001:db8::{i + 1:x}" if six else f"203.0.113.{i % 256}"), "dst_addr": parse_ip("2001:db8:ffff::1" if six else f"198.51.100.{200 + i % 50}"), "src_port": 40000 + i, "dst_port": 443,
-        "protocol": 17 if six else 6, "tcp_flags": 0 if six else 24, "packets": 10 + i, "bytes": 1000 * (i + 1), "sampling_rate": 1000, "input_iface": 3, "output_iface": 7, "src_as": 64500, "dst_as": 64501,
-        "next_hop": None if six else parse_ip("198.51.100.1"), "dedup_key": b"dedup-%010d" % i if keyed else None,
+    values = {
+        "received_at": at, "exporter_addr": parse_ip(exporter), "flow_type": kind["flow_type"],
+        "first_switched": at - dt.timedelta(seconds=9), "last_switched": at - dt.timedelta(seconds=1),
+        "src_addr": parse_ip(kind["src"].format(1 + i % 250)), "dst_addr": parse_ip(kind["dst"].format(1 + i % 11)),
+        "src_port": 40000 + i, "dst_port": 8080, "protocol": kind["protocol"], "tcp_flags": kind["tcp_flags"],
+        "packets": 3 * i + 2, "bytes": 77 * i + 640, "sampling_rate": 64, "input_iface": 11, "output_iface": 12, "src_as": 65010, "dst_as": 65020,
+        "next_hop": kind["next_hop"] and parse_ip(kind["next_hop"]), "dedup_key": f"flow {i}".encode() if keyed else None,
     }
-    return tuple(r[c] for c in DECODED)
+    return tuple(values[c] for c in DECODED)
 
 
 def frame(spark, rows):
@@ -36,5 +41,5 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, _parse_datatype_string(", ".join(f"{c} {kinds[c]}" for c in DECODED)))
 
 
-def batch(spark, n, keyed=True, first=0):
-    return frame(spark, [record(i, keyed=keyed) for i in range(first, first + n)])
+def batch(spark, n, keyed=True, first=0, at=None):
+    return frame(spark, [record(i, keyed=keyed, at=at) for i in range(first, first + n)])

@@ -27,17 +27,17 @@ class Param:
 def _time(text: str) -> int:
     m = re.fullmatch(r"(\d{4}-\d\d-\d\d)[Tt](\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?([Zz]|[+-]\d\d:\d\d)", text)
     if not m:
-        raise ValueError("must be an RFC 3339 timestamp")
+        raise ValueError("is not an RFC 3339 time")
     try:
         whole = dt.datetime.fromisoformat(f"{m[1]}T{m[2]}{'+00:00' if m[4] in 'Zz' else m[4]}")
     except ValueError:
-        raise ValueError("must be an RFC 3339 timestamp") from None
+        raise ValueError("is not an RFC 3339 time") from None
     return (whole - EPOCH) // dt.timedelta(microseconds=1) + int((m[3] or "").ljust(6, "0")[:6])
 
 
 def _int(text: str) -> int:
     if not re.fullmatch(r"[+-]?\d+", text) or not -(1 << 63) <= int(text) < 1 << 63:
-        raise ValueError("must be an integer")
+        raise ValueError("is not a whole number")
     return int(text)
 
 
@@ -45,7 +45,7 @@ def _ip(text: str) -> bytes:
     try:
         return parse_ip(text)
     except ValueError:
-        raise ValueError("must be an IPv4 or IPv6 address") from None
+        raise ValueError("is not an IP address") from None
 
 
 _WHEN, _ADDRESS, _INTEGER = {"type": "string", "format": "date-time"}, {"type": "string"}, {"type": "integer"}
@@ -71,7 +71,7 @@ def bind(query: str, params: list[Param]) -> dict:
     """The parameters' values. Unknown names (sorted) and what doesn't parse are reported first, then what is out of bounds."""
     given = parse_qs(query, keep_blank_values=True)
     known = {p.name: p for p in params}
-    wrong = [{"field": n, "message": "is not a known parameter"} for n in sorted(set(given) - set(known))]
+    wrong = [{"field": n, "message": "is no parameter of this path"} for n in sorted(set(given) - set(known))]
     values = {}
     for p in params:
         if given.get(p.name, [""])[0] == "":
@@ -84,13 +84,13 @@ def bind(query: str, params: list[Param]) -> dict:
         for p in params:
             v = values.get(p.name)
             if v is None:
-                wrong += [{"field": p.name, "message": "is required"}] * p.required
+                wrong += [{"field": p.name, "message": "has to be given"}] * p.required
             elif p.least is not None and v < p.least:
-                wrong.append({"field": p.name, "message": f"must be at least {p.least}"})
+                wrong.append({"field": p.name, "message": f"is below {p.least}"})
             elif p.most is not None and v > p.most:
-                wrong.append({"field": p.name, "message": f"must be at most {p.most}"})
+                wrong.append({"field": p.name, "message": f"is above {p.most}"})
         if "start" in values and "end" in values and values["end"] <= values["start"]:
-            wrong.append({"field": "end", "message": "must be after start"})
+            wrong.append({"field": "end", "message": "has to be later than start"})
     if wrong:
         raise Invalid(wrong)
     return values

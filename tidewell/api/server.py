@@ -5,6 +5,7 @@ from __future__ import annotations
 import hmac
 import json
 import logging
+import re
 import secrets
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import wait as wait_all
@@ -19,6 +20,8 @@ from .params import PARAMS, Invalid, bind
 
 log = logging.getLogger(__name__)
 READY_SECONDS = 2.0
+#: A percent sign without two hexadecimal digits, or a semicolon, which separates nothing.
+MALFORMED = re.compile(r"%(?![0-9A-Fa-f]{2})|;")
 TIME = "%Y-%m-%dT%H:%M:%S.%fZ"
 
 
@@ -31,7 +34,7 @@ class Failure(Exception):
 def shown_flow(r) -> dict:
     """A row as readers see it: no seq, no key, addresses as text, unsigned counters, six digits of a second."""
     r = r.asDict()
-    out = {k: v for k, v in r.items() if k not in ("seq", "dedup_key", "dt", "ingest_batch")}
+    out = {k: v for k, v in r.items() if k not in ("seq", "dedup_key", "dt", "source", "ingest_batch")}
     for k in ("received_at", "first_switched", "last_switched"):
         out[k] = out[k].strftime(TIME)
     for k in ("exporter_addr", "src_addr", "dst_addr", "next_hop"):
@@ -63,10 +66,15 @@ class Service:
             log.warning("refused a key", extra={"fields": {"prefix": key[:6]}})
             raise Failure("unauthorized", "a valid API key is required")
 
+    def bound(self, query: str, params: list) -> dict:
+        if MALFORMED.search(query):
+            raise Failure("bad_request", "the query string is malformed")
+        return bind(query, params)
+
     def flows(self, query: str) -> dict:
         if self.store is None:
             raise Failure("backend_unavailable", "no storage is configured")
-        values = bind(query, PARAMS)
+        values = self.bound(query, PARAMS)
         try:
             if "cursor" in values:
                 Q.decode_cursor(values["cursor"])
@@ -81,7 +89,7 @@ class Service:
         return {"data": [shown_flow(r) for r in page.rows], "meta": meta}
 
     def exporters(self, query: str) -> dict:
-        bind(query, [])
+        self.bound(query, [])
         for name in sorted(self.stores):
             if hasattr(self.stores[name], "list_exporters"):
                 try:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import logging
 import signal
 import sys
 import threading
@@ -11,7 +13,8 @@ import urllib.request
 from . import config
 from .api import openapi
 
-VERSION = "0.1.0"
+VERSION = "0.2.0"
+log = logging.getLogger(__name__)
 
 
 def _split(address: str) -> tuple[str, int]:
@@ -19,53 +22,99 @@ def _split(address: str) -> tuple[str, int]:
     return host.strip("[]") or "0.0.0.0", int(port)
 
 
-def run(settings: config.Config) -> int:
-    """Lands datagrams, ingests what landed, and serves reads until told to stop."""
+def _stores(settings: config.Config, spark) -> dict:
+    from .sinks.messages import KafkaSink, MessageFolder
+    from .sinks.table import FlowTable
+
+    made = {"table": lambda: FlowTable(spark, settings.table_path), "folder": lambda: MessageFolder(settings.folder_path), "bus": lambda: KafkaSink(list(settings.bus_brokers), settings.bus_topic)}
+    stores = {name: made[name]() for name in settings.sinks}
+    for s in stores.values():
+        if hasattr(s, "migrate"):
+            s.migrate()
+    return stores
+
+
+def _template_log(settings: config.Config, spark):
+    """Reads the shared templates, and the sink that adds to them; (None, None) without the setting."""
+    from .sources import bus
+    from .sinks.messages import EnvelopeFolder, EnvelopeTopic
+
+    if settings.template_topic:
+        brokers = list(settings.bus_brokers)
+        return lambda: bus.kafka_table(spark, brokers, settings.template_topic), EnvelopeTopic(brokers, settings.template_topic)
+    if settings.template_path:
+        return lambda: bus.folder_table(spark, settings.template_path), EnvelopeFolder(settings.template_path)
+    return None, None
+
+
+def run(settings: config.Config, spark=None, stop: threading.Event | None = None, metrics=None) -> int:
+    """Lands datagrams, ingests what arrives, keeps the table in order, and serves reads until told to stop."""
     from pyspark.sql import SparkSession
 
     from .api.server import Service, serve
     from .obs import Metrics, log_to_stderr
-    from .sinks.messages import KafkaSink, MessageFolder
-    from .sinks.table import FlowTable
-    from .sources import bus, wire
+    from .session import ship
+    from .sources import bus
     from .sources.landing import Landing
-    from .streaming import ingest
+    from .streaming import ingest, templated
     from .streaming.datagrams import records_of
 
     log_to_stderr(settings.log_level)
-    spark = SparkSession.builder.appName("tidewell").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    metrics, stop, stores = Metrics(), threading.Event(), {}
-    for name in settings.sinks:
-        stores[name] = {"table": lambda: FlowTable(spark, settings.table_path), "folder": lambda: MessageFolder(settings.folder_path), "bus": lambda: KafkaSink(list(settings.bus_brokers), settings.bus_topic)}[name]()
-    for s in stores.values():
-        if hasattr(s, "migrate"):
-            s.migrate()
-    sinks = {n: s.write_batch for n, s in stores.items()}
+    spark = spark or SparkSession.builder.appName("tidewell").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(spark)
+    metrics, stop, seconds, own = metrics or Metrics(), stop or threading.Event(), settings.batch_seconds, settings.checkpoint_path
+    stores = _stores(settings, spark)
+    sinks = {n: ingest.stored(s, metrics) if n == "table" else s.write_batch for n, s in stores.items()}
     queries, landing, server = [], None, None
     if "udp" in settings.sources:
-        landing = Landing(settings.landing_path, metrics, settings.buffer, settings.batch_size, settings.batch_seconds)
+        shared, publish = _template_log(settings, spark)
+        if shared:  # what others learned comes before what is heard
+            templated.hydrate(shared(), settings.landing_path)
+        landing = Landing(settings.landing_path, metrics, settings.buffer, settings.batch_size, seconds)
         landing.start(*_split(settings.udp_addr))
-        queries.append(records_of(spark, settings.landing_path, sinks, f"{settings.checkpoint_path}/udp", metrics, settings.batch_seconds))
-    if "bus" in settings.sources:
-        records = wire.good(bus.kafka_stream(spark, list(settings.bus_brokers), settings.bus_topic))
-        queries.append(ingest.start(records, sinks, f"{settings.checkpoint_path}/bus", metrics, settings.batch_seconds))
+        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds))
+        if publish:
+            queries.append(templated.share(spark, settings.landing_path, publish.write_batch, f"{own}/templates", metrics, seconds))
+    arriving = {f"{own}/bus": lambda: bus.kafka_stream(spark, list(settings.bus_brokers), settings.bus_topic)} if "bus" in settings.sources else {}
+    if "folder" in settings.sources:
+        arriving |= {f"{own}/inbox-{i}": lambda p=p: bus.folder_stream(spark, p) for i, p in enumerate(settings.inbox_paths)}
+    for at, messages in arriving.items():
+        queries.append(ingest.messages_of(messages(), sinks, at, metrics, f"{own}/quarantine", seconds))
     if settings.http_addr:
         server = serve(Service(stores, settings.api_keys, metrics), *_split(settings.http_addr))
         threading.Thread(target=server.serve_forever, daemon=True).start()
-    for s in (signal.SIGINT, signal.SIGTERM):
-        signal.signal(s, lambda *_: stop.set())
-    while not stop.wait(1) and all(q.isActive for q in queries):
-        pass
+    keeper = threading.Thread(target=_maintain, args=(stores, settings, stop), daemon=True)
+    keeper.start()
+    if threading.current_thread() is threading.main_thread():
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, lambda *_: stop.set())
+    while not stop.wait(0.2) and all(q.isActive for q in queries):
+        if landing:
+            metrics.set("buffer_length", len(landing.buffer))
     failed = any(q.exception() for q in queries)
+    stop.set()
     if server:
         server.shutdown()
     if landing:
         landing.stop()
     for q in queries:
         ingest.drain(q)
+    keeper.join(30)
     return int(failed)
 
 
+def _maintain(stores: dict, settings: config.Config, stop: threading.Event) -> None:
+    """Retention and merging, at the start and from time to time; a failure is logged and tried again next time."""
+    while not stop.is_set():
+        for name, s in stores.items():
+            if hasattr(s, "maintain"):
+                try:
+                    s.maintain(dt.datetime.now(dt.UTC), settings.retention_days)
+                except Exception:
+                    log.exception("maintenance failed", extra={"fields": {"store": name}})
+        stop.wait(settings.maintenance_seconds)
+
+
 def main(args: list[str] | None = None, env: dict[str, str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidewell")
     one = parser.add_mutually_exclusive_group()

@@ -9,7 +9,7 @@ from pathlib import Path
 
 PREFIX = "TIDEWELL_"
 WALK = 10
-SOURCES, SINKS, LEVELS = ("udp", "bus"), ("table", "folder", "bus"), ("debug", "info", "warn", "error")
+SOURCES, SINKS, LEVELS = ("udp", "bus", "folder"), ("table", "folder", "bus"), ("debug", "info", "warn", "error")
 
 
 class ConfigError(ValueError):
@@ -30,7 +30,10 @@ class Config:
     retention_days: int = 30
     bus_brokers: tuple[str, ...] = ()
     bus_topic: str = ""
+    inbox_paths: tuple[str, ...] = ()
     template_topic: str = ""
+    template_path: str = ""
+    maintenance_seconds: float = 3600.0
     buffer: int = 65_536
     batch_size: int = 2000
     batch_seconds: float = 1.0
@@ -54,9 +57,10 @@ class Config:
         for name in ("retention_days", "buffer", "batch_size"):
             if getattr(self, name) < 1:
                 bad(name, "must be at least 1")
-        if self.batch_seconds <= 0:
-            bad("batch_seconds", "must be over 0")
-        needs = {"table_path": "table" in self.sinks, "folder_path": "folder" in self.sinks, "bus_brokers": "bus" in self.sources + self.sinks, "bus_topic": "bus" in self.sources + self.sinks, "udp_addr": "udp" in self.sources, "landing_path": "udp" in self.sources}
+        for name in ("batch_seconds", "maintenance_seconds"):
+            if getattr(self, name) <= 0:
+                bad(name, "must be over 0")
+        needs = {"table_path": "table" in self.sinks, "folder_path": "folder" in self.sinks, "bus_brokers": "bus" in self.sources + self.sinks, "bus_topic": "bus" in self.sources + self.sinks, "udp_addr": "udp" in self.sources, "landing_path": "udp" in self.sources, "inbox_paths": "folder" in self.sources}
         for name, needed in needs.items():
             if needed and not getattr(self, name):
                 bad(name, "is required")
@@ -64,6 +68,10 @@ class Config:
             bad("sinks", "bus can't be both source and sink")
         if self.template_topic and self.template_topic == self.bus_topic:
             bad("template_topic", "must not be the topic of records")
+        if self.template_topic and self.template_path:
+            bad("template_path", "can't be given with template_topic")
+        if self.template_topic and not self.bus_brokers:
+            bad("bus_brokers", "is required")
         if self.http_addr and not self.api_keys:
             bad("api_keys", "is required to serve HTTP")
         return out

@@ -17,7 +17,7 @@ INSTRUMENTS = {
     "records_dropped": ("counter", "Records dropped in place of being buffered.", {"reason": ("buffer_full", "shutdown")}),
     "deduped_rows": ("counter", "Rows that were stored before.", {}),
     "batch_write_errors": ("counter", "Batches that a sink refused.", {"sink": ()}),
-    "source_rewinds": ("counter", "Batches that were delivered again.", {"source": ("bus",)}),
+    "source_rewinds": ("counter", "Batches that were delivered again.", {"source": ("udp", "bus")}),
     "buffer_length": ("gauge", "Records that wait in the buffer.", {}),
     "batch_write_seconds": ("histogram", "Time of a batch's write.", {"sink": ()}),
     "visibility_lag_seconds": ("histogram", "Time from receipt to the end of the write.", {}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,21 @@ def from_micros(us: int) -> dt.datetime:
     return EPOCH + dt.timedelta(microseconds=us)
 
 
+def collected(df: DataFrame) -> list[Row]:
+    """The rows with times as aware UTC datetimes. They come to the driver as microseconds, so its own time zone plays no part."""
+    times = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
+    rows = df.select(*(F.unix_micros(c).alias(c) if c in times else F.col(c) for c in df.columns)).collect()
+    made = Row(*df.columns)
+    at = [df.columns.index(c) for c in times]
+    out = []
+    for r in rows:
+        values = list(r)
+        for i in at:
+            values[i] = None if values[i] is None else from_micros(values[i])
+        out.append(made(*values))
+    return out
+
+
 def instant(df: DataFrame, column: str, us: int) -> Column:
     """A literal of the column's own timestamp type, so that the comparison needs no cast and is pushed down."""
     text = from_micros(us).strftime("%Y-%m-%d %H:%M:%S.%f")

@@ -79,7 +79,7 @@ def plan(flows: DataFrame, q: FlowQuery, look_ahead: int = 1) -> DataFrame:
 def page(flows: DataFrame, q: FlowQuery) -> Page:
     """Runs a query; at most MOST_LIMIT + 1 rows come to the driver."""
     n = clamp(q.limit)
-    rows = plan(flows, q).collect()
+    rows = P.collected(plan(flows, q))
     more, rows = len(rows) > n, rows[:n]
     return Page(rows, encode_cursor(P.micros(rows[-1]["received_at"]), rows[-1]["seq"]) if more else None, more)
 

@@ -241,12 +241,12 @@ def wire_roundtrip(spark, sf_dir):
     return _shown(wire.good(wire.encoded(_binary(flows(spark, sf_dir)))))
 
 
-@_register("wire_rejects", "select reason, count(*) as n from (select case seq % 7 when 0 then 'not a message' when 1 then 'exporter_addr is required' when 2 then 'unknown flow_type' when 3 then 'malformed field' when 4 then 'first_switched and last_switched are required' end as reason from flows) where reason is not null group by reason")
+@_register("wire_rejects", "select reason, count(*) as n from (select case seq % 7 when 0 then 'not a message' when 1 then 'no exporter' when 2 then 'no such flow type' when 3 then 'malformed field' when 4 then 'no first or last time' end as reason from flows) where reason is not null group by reason")
 def wire_rejects(spark, sf_dir):
     f = _binary(flows(spark, sf_dir))
     value = F.col("value")
     broken = (
-        F.when(F.col("n") == 0, F.substring(value, 2, 10_000)).when(F.col("n") == 1, F.replace(value, F.lit('"exporter_addr"'), F.lit('"exporter"')))
+        F.when(F.col("n") == 0, F.expr("substring(value, 2)")).when(F.col("n") == 1, F.replace(value, F.lit('"exporter_addr"'), F.lit('"exporter"')))
         .when(F.col("n") == 2, F.replace(value, F.lit('"flow_type":"'), F.lit('"flow_type":"x'))).when(F.col("n") == 3, F.replace(value, F.lit('"src_port":'), F.lit('"src_port":9')))
         .when(F.col("n") == 4, F.replace(value, F.lit('"last_switched"'), F.lit('"last"'))).otherwise(value)
     )
@@ -268,7 +268,7 @@ def v5_decode(spark, sf_dir):
 def v5_rejects(spark, sf_dir):
     packed = datagrams.encode_v5(_binary(flows(spark, sf_dir)), per_datagram=1)
     p, case = F.col("payload"), F.col("arrival") % 5
-    broken = F.when(case == 0, F.substring(p, 1, 1)).when(case == 1, F.concat(F.lit(b"\x00\x07"), F.substring(p, 3, 1000))).when(case == 2, F.substring(p, 1, 16)).when(case == 3, F.substring(p, 1, 60)).otherwise(p)
+    broken = F.when(case == 0, F.substring(p, 1, 1)).when(case == 1, F.concat(F.lit(b"\x00\x07"), F.expr("substring(payload, 3)"))).when(case == 2, F.substring(p, 1, 16)).when(case == 3, F.substring(p, 1, 60)).otherwise(p)
     return datagrams.undecodable(packed.withColumn("payload", broken)).groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import socket
+
 from pyspark.sql import DataFrame
 
 from ..sources import wire
 
 
 class MessageFolder:
-    """One folder of message files per batch; writing a batch again replaces it."""
+    """One folder of message files per source and batch; writing a batch again replaces it."""
 
     def __init__(self, path: str):
         self.path = path.rstrip("/")
 
-    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
+    def write_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> None:
         if not batch.isEmpty():
-            wire.encoded(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+            wire.encoded(batch).write.mode("overwrite").parquet(f"{self.path}/source={source}/batch={batch_id}")
 
     def ping(self) -> None:
         pass
@@ -30,3 +32,35 @@ class KafkaSink:
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
             wire.encoded(batch).write.format("kafka").options(**self.options).save()
+
+    def ping(self) -> None:
+        """Whether any broker takes connections."""
+        refused = None
+        for broker in self.options["kafka.bootstrap.servers"].split(","):
+            host, _, port = broker.rpartition(":")
+            try:
+                socket.create_connection((host.strip("[]"), int(port)), timeout=1.0).close()
+                return
+            except OSError as e:
+                refused = e
+        raise RuntimeError("no broker answers") from refused
+
+
+class EnvelopeFolder:
+    """Envelopes (key, value, timestamp) as files: the tested double of a compacted topic."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def write_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> None:
+        batch.select("key", "value", "timestamp").write.mode("overwrite").parquet(f"{self.path}/source={source}/batch={batch_id}")
+
+
+class EnvelopeTopic:
+    """Envelopes to a topic that keeps the last value of a key (cleanup.policy=compact, set where the topic is made)."""
+
+    def __init__(self, brokers: list[str], topic: str):
+        self.options = {"kafka.bootstrap.servers": ",".join(brokers), "topic": topic, "kafka.acks": "all"}
+
+    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
+        batch.select("key", "value").write.format("kafka").options(**self.options).save()

@@ -1,15 +1,21 @@
-"""The flow table: Parquet partitioned by day and ingest batch, with the exporter dimension beside it.
+"""The flow table: Parquet partitioned by day, source and ingest batch, with the exporter dimension beside it.
 
-A batch overwrites only its own (dt, ingest_batch) partitions, so writing it again after a failure changes nothing: rows
-without a key don't double, keyed ones are deduplicated against what other batches stored. Each step is a plain Spark job on shared
-storage, so lost executors only repeat tasks.
+A batch is named by its source (a stream's checkpoint, or any name) and its number there, and overwrites only its own
+(dt, source, ingest_batch) partitions. So writing it again after a failure changes nothing, two sources never touch each other's files,
+rows without a key don't double, and keyed ones are deduplicated against what other batches stored. Each step is a plain
+Spark job on shared storage, so lost executors only repeat tasks.
+
+Merging a day's files goes over a staged copy that counts once its _SUCCESS marker stands; whatever a crash interrupts is
+finished or undone by recover(), which migrate() and every writer call first. One process (a collector with any number of streams)
+writes to and maintains a table; its writers take turns.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
@@ -19,19 +25,23 @@ from ..operators import predicates as P
 from ..plans import query as Q
 from ..schema import DECODED, EXPORTER_DDL, RECORD_DDL, SCHEMA_VERSION, refusal
 
-#: seq is batch, bucket, place: so many bits each, 63 in all.
-BATCH_BITS, BUCKET_BITS, PLACE_BITS = 25, 10, 28
+#: seq is batch, source, bucket, place: so many bits each, 63 in all. A batch a second lasts for 8 years; a new checkpoint starts anew.
+BATCH_BITS, SOURCE_BITS, BUCKET_BITS, PLACE_BITS = 28, 9, 4, 22
+#: Where merged files stand: no source and batch of their own.
+MERGED = -1
+_lock = threading.RLock()
 
 
-def numbered(df: DataFrame, batch_id: int) -> DataFrame:
+def numbered(df: DataFrame, batch_id: int, source: int = 0) -> DataFrame:
     """Adds seq: unique, positive, and the same when the batch is written again. Rows are numbered within hash buckets in parallel."""
-    if not 0 <= batch_id < 1 << BATCH_BITS:
-        raise ValueError(f"batch id {batch_id} has over {BATCH_BITS} bits")
+    for what, n, bits in (("batch id", batch_id, BATCH_BITS), ("source", source, SOURCE_BITS)):
+        if not 0 <= n < 1 << bits:
+            raise ValueError(f"{what} {n} has over {bits} bits")
     order = [c for c in DECODED]
     bucket = F.pmod(F.xxhash64(*order), F.lit(1 << BUCKET_BITS))
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
     place = F.when(place < (1 << PLACE_BITS), place.cast("bigint")).otherwise(F.raise_error(F.lit("a batch has too many rows for seq")).cast("bigint"))
-    high = F.lit(batch_id << (BUCKET_BITS + PLACE_BITS))
+    high = F.lit((batch_id << SOURCE_BITS | source) << (BUCKET_BITS + PLACE_BITS))
     return df.withColumn("__bucket", bucket).withColumn("seq", high + F.col("__bucket") * (1 << PLACE_BITS) + place).drop("__bucket")
 
 
@@ -41,7 +51,9 @@ class FlowTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.flows_path, self.exporters_path, self.version_path = f"{self.path}/flows", f"{self.path}/exporters", f"{self.path}/schema_version"
-        self._schema = _parse_datatype_string(RECORD_DDL + ", dt date, ingest_batch bigint")
+        self.sources_path = f"{self.path}/sources"
+        self._schema = _parse_datatype_string(RECORD_DDL + ", dt date, source int, ingest_batch bigint")
+        self._sources: dict[str, int] = {}
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,6 +63,19 @@ class FlowTable:
         fs, p = self._fs(path)
         return fs.exists(p)
 
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _move(self, path: str, to: str) -> None:
+        fs, p = self._fs(path)
+        if not fs.rename(p, self._fs(to)[1]):
+            raise OSError(f"{path} can't be renamed to {to}")
+
     def migrate(self) -> None:
         """Makes what is missing; running it again changes nothing, a newer table than this code knows is refused."""
         if self._exists(self.version_path):
@@ -59,82 +84,166 @@ class FlowTable:
                 raise ValueError(f"{self.path} has schema version {found}; this code knows {SCHEMA_VERSION}")
         else:
             self.spark.createDataFrame([(SCHEMA_VERSION,)], "version long").coalesce(1).write.json(self.version_path)
-        for path in (self.flows_path, self.exporters_path):
+        for path in (self.flows_path, self.exporters_path, self.sources_path):
             fs, p = self._fs(path)
             fs.mkdirs(p)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self._schema).parquet(self.flows_path)
+        self.recover()
+
+    def source_number(self, name: str) -> int:
+        """The number that this source has in the table; the next free one for a new source. A number's file is created by one writer only."""
+        if name not in self._sources:
+            with _lock:
+                fs, folder = self._fs(self.sources_path)
+                fs.mkdirs(folder)
+                known = [n.partition("=") for n in self._names(self.sources_path)]
+                taken = {int(n) for n, _, _ in known}
+                found = next((int(n) for n, _, own in known if own == name), None)
+                number = len(taken) if found is None else found
+                while found is None:
+                    # the claim without a name is what only one process can create
+                    if number not in taken and fs.createNewFile(self._fs(f"{self.sources_path}/{number}")[1]):
+                        fs.create(self._fs(f"{self.sources_path}/{number}={name}")[1], False).close()
+                        break
+                    number += 1
+                self._sources[name] = number
+        return self._sources[name]
+
+    def read(self, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+        """All flows, or those of the days from first to last, whose folders alone are listed."""
+        reader = self.spark.read.schema(self._schema)
+        if first is None:
+            return reader.parquet(self.flows_path)
+        days = [d for d in self.days() if first <= d <= last]
+        if not days:
+            return self.spark.createDataFrame([], self._schema)
+        return reader.option("basePath", self.flows_path).parquet(*(f"{self.flows_path}/dt={d}" for d in days))
 
     def exporters(self) -> DataFrame:
         """The dimension: every batch's sights merged."""
-        log = self.spark.read.schema(_parse_datatype_string(EXPORTER_DDL + ", ingest_batch bigint")).parquet(self.exporters_path)
-        return exporters.merged(log.drop("ingest_batch"))
+        log = self.spark.read.schema(_parse_datatype_string(EXPORTER_DDL + ", source int, ingest_batch bigint")).parquet(self.exporters_path)
+        return exporters.merged(log.drop("source", "ingest_batch"))
 
-    def write_batch(self, batch: DataFrame, batch_id: int) -> int:
+    def write_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> int:
         """Stores decoded records; returns how many were new. An empty batch does nothing."""
+        return self.store_batch(batch, batch_id, source)[1]
+
+    def store_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> tuple[int, int]:
+        """How many records came, and how many of them were new. Batches of several streams take turns, so that one sees the keys of the other."""
+        with _lock:
+            return self._store(batch, batch_id, source)
+
+    def _store(self, batch: DataFrame, batch_id: int, source: str) -> tuple[int, int]:
         batch = batch.select(*DECODED).withColumn("dedup_key", F.when(F.length("dedup_key") > 0, F.col("dedup_key")))
-        facts = batch.agg(F.count("*").alias("n"), F.count("dedup_key").alias("keyed"), F.min("received_at").alias("first"), F.max("received_at").alias("last"), F.count(refusal(batch.columns)).alias("bad")).first()
+        facts = batch.agg(
+            F.count("*").alias("n"), F.count("dedup_key").alias("keyed"), F.unix_micros(F.min("received_at")).alias("first"), F.unix_micros(F.max("received_at")).alias("last"), F.count(refusal(batch.columns)).alias("bad")
+        ).first()
         if not facts["n"]:
-            return 0
+            return 0, 0
         if facts["bad"]:
             raise ValueError(f"{facts['bad']} of {facts['n']} records lack required fields")
+        self.recover()
+        number, first, last = self.source_number(source), facts["first"], facts["last"]
+        days = P.from_micros(first).date(), P.from_micros(last).date()
+        own = (F.col("source") == number) & (F.col("ingest_batch") == batch_id)
         if facts["keyed"]:
             # rows with one key that differ otherwise: the least by its other fields is the first
             others = F.struct(*(c for c in DECODED if c not in dedup.KEY))
             batch = dedup.first_of_each(batch.withColumn("__order", F.xxhash64(others)), "__order").drop("__order")
-            first, last = P.micros(facts["first"]), P.micros(facts["last"])
-            stored = P.in_range(self.read().where((F.col("ingest_batch") != batch_id) & F.col("dedup_key").isNotNull()), first, last + 1)
+            stored = P.in_range(self.read(*days).where(~own & F.col("dedup_key").isNotNull()), first, last + 1)
             batch = dedup.not_stored(batch, stored)
-        rows = numbered(batch.withColumn("exporter_id", exporter_id(F.col("exporter_addr"))), batch_id)
-        rows = rows.withColumn("dt", F.to_date("received_at"))
+        rows = numbered(batch.withColumn("exporter_id", exporter_id(F.col("exporter_addr"))), batch_id, number)
+        rows = rows.withColumn("dt", F.date_from_unix_date(F.expr("cast(floor(unix_micros(received_at) / 86400000000) as int)")))
         # the dimension goes first, so no stored flow lacks its exporter
-        exporters.seen(rows).write.mode("overwrite").parquet(f"{self.exporters_path}/ingest_batch={batch_id}")
+        exporters.seen(rows).write.mode("overwrite").parquet(f"{self.exporters_path}/source={number}/ingest_batch={batch_id}")
         ordered = rows.hint("rebalance", "dt").sortWithinPartitions("dt", "received_at", "seq")
-        ordered.withColumn("ingest_batch", F.lit(batch_id).cast("bigint")).select(*(f.name for f in self._schema)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-            "parquet.bloom.filter.enabled#exporter_id", "true"
-        ).option("parquet.bloom.filter.enabled#src_addr", "true").option("parquet.bloom.filter.enabled#dst_addr", "true").partitionBy("dt", "ingest_batch").parquet(self.flows_path)
-        return self.read().where((F.col("ingest_batch") == batch_id) & (F.col("dt") >= F.lit(facts["first"].date())) & (F.col("dt") <= F.lit(facts["last"].date()))).count()
+        placed = ordered.withColumns({"source": F.lit(number), "ingest_batch": F.lit(batch_id).cast("bigint")}).select(*(f.name for f in self._schema))
+        bloom = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("exporter_id", "src_addr", "dst_addr")}
+        placed.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **bloom).partitionBy("dt", "source", "ingest_batch").parquet(self.flows_path)
+        return facts["n"], self.read(*days).where(own).count()
 
     def query(self, q: Q.FlowQuery) -> Q.Page:
-        return Q.page(self.read(), q)
+        if q.end <= q.start:
+            return Q.Page([], None, False)
+        return Q.page(self.read(P.from_micros(q.start).date(), P.from_micros(q.end - 1).date()), q)
 
-    def list_exporters(self) -> list:
-        return exporters.listed(self.exporters()).collect()
+    def list_exporters(self) -> list[Row]:
+        return P.collected(exporters.listed(self.exporters()))
 
     def days(self) -> list[dt.date]:
-        fs, p = self._fs(self.flows_path)
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(dt.date.fromisoformat(n[3:]) for n in names if n.startswith("dt="))
+        return sorted(dt.date.fromisoformat(n[3:]) for n in self._names(self.flows_path) if n.startswith("dt="))
+
+    def _replace(self, folder: str, rows: DataFrame) -> None:
+        """Writes a folder's rows anew as merged files: stage, mark complete, put the old ones aside, move in, delete the old."""
+        name = folder.removeprefix(f"{self.path}/").replace("/", "+")
+        staged = f"{self.path}/staged/{name}"
+        self._delete(staged)
+        rows.write.parquet(f"{staged}/source={MERGED}/ingest_batch={MERGED}")
+        self._settle(name)
+
+    def _settle(self, name: str) -> None:
+        """Finishes a replacement whose staged copy is complete; drops one that isn't, as the old files are all there then."""
+        folder, staged, aside = f"{self.path}/{name.replace('+', '/')}", f"{self.path}/staged/{name}", f"{self.path}/aside/{name}"
+        if self._exists(f"{staged}/source={MERGED}/ingest_batch={MERGED}/_SUCCESS"):
+            fs, parent = self._fs(f"{self.path}/aside")
+            fs.mkdirs(parent)
+            if self._exists(folder):
+                self._delete(aside)
+                self._move(folder, aside)
+            self._move(staged, folder)
+        else:
+            self._delete(staged)
+        self._delete(aside)
+
+    def recover(self) -> None:
+        """Settles what a crash left of replacements."""
+        with _lock:
+            for name in self._names(f"{self.path}/staged"):
+                self._settle(name)
+            for name in self._names(f"{self.path}/aside"):
+                if self._exists(f"{self.path}/{name.replace('+', '/')}"):
+                    self._delete(f"{self.path}/aside/{name}")
+                else:  # put aside, and the staged copy is gone: only a foreign hand could do that
+                    self._move(f"{self.path}/aside/{name}", f"{self.path}/{name.replace('+', '/')}")
 
     def _replace_day(self, day: dt.date, rows: DataFrame) -> None:
-        """Writes a day's rows anew under its greatest batch, then drops the old files."""
-        fs, old = self._fs(f"{self.flows_path}/dt={day}")
-        staged = f"{self.path}/staged-{day}"
-        _, new = self._fs(staged)
-        fs.delete(new, True)
-        batches = [int(s.getPath().getName()[13:]) for s in fs.listStatus(old) if s.getPath().getName().startswith("ingest_batch=")]
-        rows.drop("dt", "ingest_batch").hint("rebalance").sortWithinPartitions("received_at", "seq").write.parquet(f"{staged}/ingest_batch={max(batches)}")
-        fs.delete(old, True)
-        fs.rename(new, old)
+        self._replace(f"{self.flows_path}/dt={day}", rows.drop("dt", "source", "ingest_batch").hint("rebalance").sortWithinPartitions("received_at", "seq"))
 
     def compact(self, day: dt.date) -> None:
-        """Merges a day's small files. Batches up to its greatest must be settled, as replaying one would find its files merged."""
-        self._replace_day(day, self.read().where(F.col("dt") == F.lit(day)))
+        """Merges a day's small files. Its batches must be settled, as replaying one would find its files merged."""
+        with _lock:
+            self.recover()
+            if day in self.days() and self._names(f"{self.flows_path}/dt={day}") != [f"source={MERGED}"]:
+                self._replace_day(day, self.read(day, day))
+
+    def fold_exporters(self) -> None:
+        """Merges the log of sights into one; replaying a batch only adds its sights again."""
+        with _lock:
+            self.recover()
+            if self._names(self.exporters_path) not in ([], [f"source={MERGED}"]):
+                self._replace(self.exporters_path, self.exporters().coalesce(1))
 
     def retain(self, cutoff: dt.datetime) -> list[dt.date]:
         """Drops rows received before cutoff: whole days by their folders, the day it falls on row by row. Returns the days dropped."""
-        day = (cutoff if cutoff.tzinfo is None else cutoff.astimezone(dt.UTC)).date()
-        dropped = [d for d in self.days() if d < day]
-        for d in dropped:
-            fs, p = self._fs(f"{self.flows_path}/dt={d}")
-            fs.delete(p, True)
-        if day in self.days():
-            own = self.read().where(F.col("dt") == F.lit(day))
-            before = F.col("received_at") < P.instant(own, "received_at", P.micros(cutoff))
-            if not own.where(before).isEmpty():
-                self._replace_day(day, own.where(~before))
-        return dropped
+        with _lock:
+            self.recover()
+            day = (cutoff if cutoff.tzinfo is None else cutoff.astimezone(dt.UTC)).date()
+            dropped = [d for d in self.days() if d < day]
+            for d in dropped:
+                self._delete(f"{self.flows_path}/dt={d}")
+            if day in self.days():
+                own = self.read(day, day)
+                before = F.col("received_at") < P.instant(own, "received_at", P.micros(cutoff))
+                if not own.where(before).isEmpty():
+                    self._replace_day(day, own.where(~before))
+            return dropped
+
+    def maintain(self, now: dt.datetime, keep_days: int) -> None:
+        """What a running collector does from time to time: retention, merging the days that are over by an hour, folding the dimension."""
+        self.retain(now - dt.timedelta(days=keep_days))
+        for day in self.days():
+            if day < (now - dt.timedelta(hours=1)).date():
+                self.compact(day)
+        self.fold_exporters()
 
     def ping(self) -> None:
         if not self._exists(self.version_path):

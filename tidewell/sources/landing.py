@@ -101,6 +101,7 @@ class Landing:
             items = self.buffer.take(self.batch, self.seconds if not self._stop.is_set() else 0.01)
             if items:
                 columns = list(zip(*((e, at, self._first + n, p) for n, (e, at, p) in items)))
+                self.metrics.set("buffer_length", len(self.buffer))
                 table = pa.table([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
                 name = f"{self._first + items[0][0]:020d}-{uuid.uuid4().hex}.parquet"
                 pq.write_table(table, f"{self.folder}/_{name}")

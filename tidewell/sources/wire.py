@@ -55,9 +55,9 @@ def decoded(messages: DataFrame) -> DataFrame:
     bad_time = (f("received_at").isNotNull() & _time(f("received_at")).isNull()) | (f("first_switched").isNotNull() & first.isNull()) | (f("last_switched").isNotNull() & last.isNull())
     reason = (
         F.when(F.col("value").isNull() | f("_corrupt").isNotNull(), "not a message").when(bad_address | bad_time | outside, "malformed field")
-        .when(F.col("__exporter").isNull(), "exporter_addr is required").when(~known_flow_type(f("flow_type")), "unknown flow_type")
-        .when(F.col("__src").isNull() | F.col("__dst").isNull(), "src_addr and dst_addr are required")
-        .when(first.isNull() | last.isNull(), "first_switched and last_switched are required").when(at.isNull(), "no received_at and no transport time")
+        .when(F.col("__exporter").isNull(), "no exporter").when(~known_flow_type(f("flow_type")), "no such flow type")
+        .when(F.col("__src").isNull() | F.col("__dst").isNull(), "no source or destination")
+        .when(first.isNull() | last.isNull(), "no first or last time").when(at.isNull(), "no time of receipt")
     )
     values = {
         "received_at": at, "exporter_addr": F.col("__exporter"), "flow_type": f("flow_type"), "first_switched": first, "last_switched": last, "src_addr": F.col("__src"), "dst_addr": F.col("__dst"),

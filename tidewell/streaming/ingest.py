@@ -7,28 +7,50 @@ batch replace or deduplicate it. There is no watermark on this path: late record
 
 from __future__ import annotations
 
+import inspect
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..obs import Metrics
 from ..operators.stats import LAG_BOUNDS
+from ..schema import DECODED
+from ..sources import wire
 
 log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame, int], object]
 
 
+def identity(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that keeps this checkpoint: made with it and kept in it, so that a new checkpoint is another source."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/source")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    if not names:
+        names = [uuid.uuid4().hex]
+        fs.create(spark._jvm.org.apache.hadoop.fs.Path(path, names[0])).close()
+    return min(names)
+
+
+def bound(sink: Sink, source: str) -> Sink:
+    """The sink for one source's batches; sinks that don't tell sources apart stay as they are."""
+    return partial(sink, source=source) if "source" in inspect.signature(sink).parameters else sink
+
+
 class SinkFailure(RuntimeError):
     """Some sinks did not take a batch."""
 
 
-def fan_out(sinks: dict[str, Sink], metrics: Metrics, drop_on_error: bool = False) -> Callable[[DataFrame, int], None]:
-    """The foreachBatch function. drop_on_error: a sink that fails loses the batch instead of stopping the stream."""
+def fan_out(sinks: dict[str, Sink], metrics: Metrics, drop_on_error: bool = False, source: str = "bus") -> Callable[[DataFrame, int], None]:
+    """The foreachBatch function. drop_on_error: a sink that fails loses the batch instead of stopping the stream. source: udp or bus, for the counters."""
 
     def attempt(name: str, batch: DataFrame, batch_id: int) -> Exception | None:
         began = time.monotonic()
@@ -47,7 +69,7 @@ def fan_out(sinks: dict[str, Sink], metrics: Metrics, drop_on_error: bool = Fals
         try:
             with ThreadPoolExecutor(max(1, len(sinks))) as pool:
                 failed = {n: e for n, e in zip(sinks, pool.map(lambda n: attempt(n, batch, batch_id), sinks)) if e}
-            if "received_at" in batch.columns:
+            if "received_at" in batch.columns and (drop_on_error or not failed):  # a batch that comes again is counted then
                 lag = F.greatest(F.lit(0.0), F.lit(time.time()) - F.unix_micros("received_at") / 1e6)
                 band = F.lit(len(LAG_BOUNDS))
                 for i in range(len(LAG_BOUNDS) - 1, -1, -1):
@@ -55,7 +77,7 @@ def fan_out(sinks: dict[str, Sink], metrics: Metrics, drop_on_error: bool = Fals
                 for r in batch.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg(lag).alias("lag")).collect():
                     metrics.observe("visibility_lag_seconds", r["lag"], r["n"])
             if failed and not drop_on_error:
-                metrics.count("source_rewinds", source="bus")
+                metrics.count("source_rewinds", source=source)
                 raise SinkFailure(f"batch {batch_id}: {', '.join(sorted(failed))} failed") from next(iter(failed.values()))
         finally:
             batch.unpersist()
@@ -63,9 +85,11 @@ def fan_out(sinks: dict[str, Sink], metrics: Metrics, drop_on_error: bool = Fals
     return write
 
 
-def start(records: DataFrame, sinks: dict[str, Sink], checkpoint: str, metrics: Metrics, seconds: float = 1.0, once: bool = False, drop_on_error: bool = False, name: str | None = None) -> StreamingQuery:
+def start(records: DataFrame, sinks: dict[str, Sink], checkpoint: str, metrics: Metrics, seconds: float = 1.0, once: bool = False, drop_on_error: bool = False, name: str | None = None, source: str = "bus") -> StreamingQuery:
     """Starts the query; once: takes what there is and ends. Batches are bounded at the source (files or offsets per trigger)."""
-    writer = records.writeStream.foreachBatch(fan_out(sinks, metrics, drop_on_error)).option("checkpointLocation", checkpoint)
+    own = identity(records.sparkSession, checkpoint)
+    sinks = {n: bound(s, own) for n, s in sinks.items()}
+    writer = records.writeStream.foreachBatch(fan_out(sinks, metrics, drop_on_error, source)).option("checkpointLocation", checkpoint)
     writer = writer.queryName(name) if name else writer
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
@@ -81,3 +105,30 @@ def drain(query: StreamingQuery, seconds: float = 10.0) -> bool:
     done = time.monotonic() < until
     query.stop()
     return done
+
+
+def stored(table, metrics: Metrics) -> Sink:
+    """The table's sink, counting the rows that were stored before."""
+
+    def sink(batch: DataFrame, batch_id: int, source: str = "direct") -> None:
+        came, new = table.store_batch(batch, batch_id, source)
+        metrics.count("deduped_rows", came - new)
+
+    return sink
+
+
+def messages_of(messages: DataFrame, sinks: dict[str, Sink], checkpoint: str, metrics: Metrics, quarantine: str, seconds: float = 1.0, once: bool = False) -> StreamingQuery:
+    """JSON messages (value, timestamp) to sinks. What doesn't decode is counted, kept under `quarantine` with its reason, and never stops the stream."""
+    own = identity(messages.sparkSession, checkpoint)
+
+    def good(sink: Sink) -> Sink:
+        return lambda batch, batch_id: sink(batch.where("reason is null").select(*DECODED), batch_id)
+
+    def poison(batch: DataFrame, batch_id: int) -> None:
+        bad = batch.where("reason is not null").select("value", F.col("transport_time").alias("timestamp"), "reason")
+        if n := bad.count():
+            bad.write.mode("overwrite").parquet(f"{quarantine}/source={own}/batch={batch_id}")
+            metrics.count("decode_errors", n, source="bus")
+
+    every = wire.decoded(messages.select("value", "timestamp", F.col("timestamp").alias("transport_time"))).select(*DECODED, "value", "transport_time", "reason")
+    return start(every, {n: good(bound(s, own)) for n, s in sinks.items()} | {"quarantine": poison}, checkpoint, metrics, seconds, once, source="bus")

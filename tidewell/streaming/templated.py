@@ -7,16 +7,22 @@ order of arrival; a template set replaces the state's entry, a datagram with a d
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import network as N
 from ..schema import refusal
+from ..sources import bus, templates
 from ..sources import elements as E
+from ..sources.datagrams import DATAGRAM_DDL
 from ..sources.templated import RECORD, sets_of
+from . import ingest
 
 COLUMNS = [c.split(" ")[0] for c in RECORD.split(", ")]
 
@@ -56,3 +62,51 @@ def decode_stream(datagrams: DataFrame) -> DataFrame:
     found = sets.where("fault is null").groupBy("exporter", "version", "domain").applyInPandasWithState(_decode, RECORD, "templates string", "append", GroupStateTimeout.NoTimeout)
     found = found.withColumn("first_switched", F.timestamp_micros("first_us")).withColumn("last_switched", F.timestamp_micros("last_us"))
     return found.withColumn("reason", F.coalesce("fault", refusal(found.columns))).drop("first_us", "last_us", "fault")
+
+
+def learned(datagrams: DataFrame) -> DataFrame:
+    """The templates that datagrams carry, as envelopes: key, value, timestamp."""
+    found = sets_of(datagrams).where("fields is not null").withColumns({"exporter_text": N.ip_text(F.col("exporter")), "kind": F.lit("template")})
+    parts = F.concat_ws("/", "exporter_text", "version", "domain", "template_id")
+    value = F.concat(F.lit('{"kind":"'), F.col("kind"), F.lit('","record":'), F.col("fields"), F.lit("}"))
+    return found.select(parts.alias("key"), value.alias("value"), F.col("received_at").alias("timestamp"))
+
+
+def share(spark: SparkSession, folder: str, sink, checkpoint: str, metrics, seconds: float = 1.0, once: bool = False):
+    """A stream of its own that publishes each template that lands in the folder, the last of a batch per key."""
+    landed = bus.folder_stream(spark, folder, schema=DATAGRAM_DDL)
+
+    def publish(batch: DataFrame, batch_id: int, source: str = "direct") -> None:
+        last = batch.groupBy("key").agg(F.max_by(F.struct("value", "timestamp"), F.col("timestamp")).alias("v")).select("key", "v.*")
+        if not last.isEmpty():
+            ingest.bound(sink, source)(last, batch_id)
+
+    return ingest.start(learned(landed), {"templates": publish}, checkpoint, metrics, seconds, once, source="udp")
+
+
+def _template_datagram(version: int, domain: int, number: int, fields: str) -> bytes:
+    """A datagram that holds one template and no data."""
+    body = b""
+    known = json.loads(fields)
+    for element, size, pen in known:
+        body += struct.pack("!HHI", element | 0x8000, size, pen) if pen else struct.pack("!HH", element, size)
+    sets = struct.pack("!HHHH", 0 if version == 9 else 2, 8 + len(body), number, len(known)) + body
+    head = struct.pack("!HHIIII", 9, 1, 0, 0, 0, domain) if version == 9 else struct.pack("!HHIII", 10, 16 + len(sets), 0, 0, domain)
+    return head + sets
+
+
+@F.udf(T.BinaryType())
+def _datagram(version, domain, number, fields):
+    return _template_datagram(version, domain, number, fields)
+
+
+def hydrate(log: DataFrame, folder: str) -> None:
+    """Lands the latest template of each key (key, value, timestamp) ahead of all datagrams, so that a new collector needs not wait for exporters.
+
+    A template is learned from a datagram as any other, so the stream's state is made in one way only.
+    """
+    last = templates.opened(templates.latest(log, "timestamp"))
+    parts = templates.with_key_parts(last).withColumn("exporter", N.ip_bytes(F.col("exporter_text")))
+    parts = parts.where("kind = 'template' and exporter is not null and version in (9, 10) and domain is not null and template_id is not null")
+    landed = parts.select("exporter", F.timestamp_micros(F.lit(0)).alias("received_at"), F.lit(0).cast("bigint").alias("arrival"), _datagram("version", "domain", "template_id", "fields").alias("payload"))
+    landed.write.mode("append").parquet(folder)
