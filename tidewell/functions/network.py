@@ -84,7 +84,28 @@ def ip_bytes(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def ip_text(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else show_ip(b))
+    """show_ip over a column. Each distinct address is shown once a batch."""
+    known = {b: show_ip(b) for b in raw.dropna().unique()}
+    return raw.map(lambda b: known.get(b) if b is not None else None)
+
+
+IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(?!$)|$)){4}$"
+
+
+def ipv4_bytes(text: Column) -> Column:
+    """The mapped bytes of IPv4 text without leaving Catalyst; null for others."""
+    octet = lambda i: F.lpad(F.hex(F.split(text, r"\.")[i].cast("bigint")), 2, "0")
+    return F.when(text.rlike(IPV4), F.concat(F.lit(MAPPED_PREFIX), F.unhex(F.concat(*(octet(i) for i in range(4))))))
+
+
+def address_bytes(text: Column) -> Column:
+    """16 bytes of an address, null for what is none; only texts that aren't IPv4 go to Python."""
+    return F.coalesce(ipv4_bytes(text), ip_bytes(F.when(~text.rlike(IPV4), text)))
+
+
+def address_text(raw: Column) -> Column:
+    """Canonical text of an address; only what isn't mapped IPv4 goes to Python."""
+    return F.coalesce(ipv4_text(raw), ip_text(F.when(F.substring(raw, 1, 12) != F.lit(MAPPED_PREFIX), raw)))
 
 
 def ipv4_text(c: Column) -> Column:

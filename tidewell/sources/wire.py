@@ -47,7 +47,7 @@ def decoded(messages: DataFrame) -> DataFrame:
         outside = outside | (wide[n] < 0) | (wide[n] > F.lit(Decimal((1 << 64) - 1)).cast("decimal(20,0)"))
     pattern = lambda c: F.when(c > F.lit(Decimal((1 << 63) - 1)).cast("decimal(20,0)"), c - F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(c).cast("bigint")
     kinds = {"src_port": "int", "dst_port": "int", "protocol": "smallint", "tcp_flags": "smallint"}
-    out = m.withColumns({"__src": N.ip_bytes(f("src_addr")), "__dst": N.ip_bytes(f("dst_addr")), "__exporter": N.ip_bytes(f("exporter_addr")), "__hop": N.ip_bytes(f("next_hop"))})
+    out = m.withColumns({"__src": N.address_bytes(f("src_addr")), "__dst": N.address_bytes(f("dst_addr")), "__exporter": N.address_bytes(f("exporter_addr")), "__hop": N.address_bytes(f("next_hop"))})
     first, last = _time(f("first_switched")), _time(f("last_switched"))
     bad_address = F.lit(False)
     for name, parsed in (("exporter_addr", "__exporter"), ("src_addr", "__src"), ("dst_addr", "__dst"), ("next_hop", "__hop")):
@@ -83,7 +83,7 @@ def quarantined(messages: DataFrame) -> DataFrame:
 
 def encoded(records: DataFrame) -> DataFrame:
     """key (exporter's text), value (JSON) and timestamp of each record; the dedup key isn't carried, as readers derive it."""
-    text = lambda n: N.ip_text(F.col(n)).alias(n)
+    text = lambda n: N.address_text(F.col(n)).alias(n)
     time = lambda n: F.date_format(n, TIME).alias(n)
     shown = [
         F.lit(FORMAT).alias("format"), text("exporter_addr"), "flow_type", time("received_at"), time("first_switched"), time("last_switched"), text("src_addr"), text("dst_addr"),
