@@ -49,10 +49,18 @@ def test_shards_of_copies_and_clashing_names(spark):
     assert sharding.extendible_shards(empty(spark), 200).count() == 0
 
 
-def test_shards_without_broadcast(spark, monkeypatch):
-    want = sorted(map(str, sharding.extendible_shards(table(spark), 900).collect()))
-    monkeypatch.setattr(sharding, "BROADCAST_ENTRIES", -1)
-    assert sorted(map(str, sharding.extendible_shards(table(spark), 900).collect())) == want
+def test_shards_refuse_clashing_names(spark):
+    with pytest.raises(ValueError, match="shard would stand twice"):
+        sharding.extendible_shards(table(spark).withColumnRenamed("size", "shard"), 200)
+
+
+def test_shards_at_every_stride(spark, monkeypatch):
+    """However many bits are summed up at a time, and with many rows that weigh nothing."""
+    own = table(spark, rows() + [(70_000 + i, None, *[None] * 6) for i in range(300)])
+    want = sorted(map(str, sharding.extendible_shards(own, 900).collect()))
+    monkeypatch.setattr(sharding, "LEVELS", 1)
+    monkeypatch.setattr(sharding, "ZEROS", 3)
+    assert sorted(map(str, sharding.extendible_shards(own, 900).collect())) == want
 
 
 def plain_targets(sizes, weights=(1, 2, 3), repeats=3):

@@ -19,20 +19,22 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_media_round_trip(spark):
-    out = {r.doc_id: r for r in M.media_column(table(spark)).collect()}
+    stored = M.stored_media(table(spark))
+    media = {r.doc_id: r.media for r in stored.collect()}
+    out = {r.doc_id: r for r in M.fingerprints(stored).collect()}
     assert len(out) == len(rows())
     for doc_id, text, *_ in rows():
         raw = (text or "").encode()
         padded = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
         r = out[doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(padded[-64:]) and M.decode(r.media) == padded
-        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media) == len(padded) + 44
-        assert r.landmarks == sorted(r.landmarks) and len(r.landmarks) == r.n_peaks_pairs
+        assert r.tail_crc32 == zlib.crc32(padded[-64:]) and M.decode(media[doc_id]) == padded
+        assert r.media_sha256 == hashlib.sha256(media[doc_id]).hexdigest() and r.media_bytes == len(media[doc_id]) == len(padded) + 44
+        assert r.landmarks == sorted(r.landmarks) and len(r.landmarks) == r.n_peak_pairs
     by_text = {}
     for doc_id, text, *_ in rows():
         assert by_text.setdefault(text or "", out[doc_id].feature) == out[doc_id].feature
-    assert M.media_column(empty(spark)).count() == 0
+    assert M.fingerprints(M.stored_media(empty(spark))).count() == 0
 
 
 def test_peaks_match_plain_search():
@@ -71,10 +73,15 @@ def test_license_scan_base(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
         found += len(places)
         if text and "SPDX" in text:
-            assert r.labels == "bsd,gpl,mit" and r.score == 1 and r.freedom == 1.0 and r.expressions == ["MIT GPL-2.0 or BSD-3-Clause and"]
+            assert r.labels == "bsd,gpl,mit" and r.score == 1 and r.freedom == 1.0 and r.expressions == ["MIT GPL-2.0 or BSD-3-Clause and"] and r.bound == "bsd,mit"
     assert found and L.license_scan(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("text, bound", [("GPL-2.0 OR MIT", {"mit"}), ("MIT AND GPL-2.0", {"mit", "gpl"}), ("(GPL-3.0 OR LGPL-2.1) AND ISC", {"lgpl", "isc"}), ("MIT OR ISC", {"mit"})])
+def test_choices(text, bound):
+    assert L.evaluate(L.to_postfix(text))[2] == bound
+
+
 @pytest.mark.parametrize("text, postfix, freedom", [
     ("MIT", "MIT", 1.0), ("MIT OR GPL-2.0-only AND Apache-2.0", "MIT GPL-2.0-only Apache-2.0 and or", 1.0),
     ("(MIT OR GPL-2.0-only) AND GPL-3.0", "MIT GPL-2.0-only or GPL-3.0 and", 0.3), ("GPL-2.0 WITH Classpath-exception-2.0", "GPL-2.0 Classpath-exception-2.0 with", 0.6),
@@ -85,6 +92,33 @@ def test_expressions(text, postfix, freedom):
     assert L.evaluate(L.to_postfix(text))[0] == pytest.approx(freedom)
 
 
+def test_awkward_rows_and_long_texts(spark):
+    """Null ids, repeated rows, a text of over 2 MB with many tags: a row each, equal for equal texts."""
+    long = "SPDX-License-Identifier: GPL-2.0 OR ISC\n" + "word and more words " * 9
+    long *= (2 << 20) // len(long) + 1
+    own = [(d, t, *[None] * 6) for d, t in [(None, "MIT license"), (None, "MIT license"), (1, None), (1, None), (2, long), (2, "spdx-license-identifier: nothing &")]]
+    docs = table(spark, own)
+    scanned = sorted(map(tuple, L.license_scan(docs).select("doc_id", "n_base", "labels", "score", "bound").collect()), key=str)
+    assert scanned == sorted([(None, 1, "mit", 0.9, "")] * 2 + [(1, 0, "", 0.0, "")] * 2 + [(2, 0, "", 0.5, ""), (2, 0, "gpl,isc", 1.0, "isc")], key=str)
+    counted = [tuple(r) for r in token_counts(docs, VOCABULARY).select("doc_id", "n_tokens").collect()]
+    library = Tokenizer.from_file(VOCABULARY)
+    assert sorted(counted, key=str) == sorted([(d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in own], key=str)
+    media = M.fingerprints(M.stored_media(docs)).select("doc_id", "n_bytes", "feature").collect()
+    assert sorted((r.doc_id is None, r.n_bytes) for r in media) == sorted((d is None, len((t or "").encode())) for d, t, *_ in own)
+    assert len({r.feature for r in media if r.n_bytes == 11}) == 1
+
+
+def test_ties_of_peaks_take_the_lowest():
+    """A constant tone of equal bins, and silence."""
+    assert [len(x) for x in M.peaks(np.full(4096, 128, np.uint8))] == [0, 0]
+    tone = (128 + 100 * np.sign(np.sin(np.arange(8192) * np.pi / 8))).astype(np.uint8)
+    f, b = M.peaks(tone)
+    m = M._magnitudes(tone, 0, 1 + -(-(len(tone) - M.FRAME) // M.HOP))
+    for x in np.unique(f):
+        own = b[f == x]
+        assert np.all(np.diff(own) > M.NEAR_BINS) and all(m[x, y] == m[x, max(0, y - 8) : y + 9].max() for y in own)
+
+
 @pytest.mark.parametrize("text", ["", "MIT OR", "OR MIT", "MIT GPL", "(MIT", "MIT)", "MIT & X", "()"])
 def test_bad_expressions(text):
     assert L.to_postfix(text) is None

@@ -3,12 +3,15 @@
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case. One automaton finds all phrases where their
 words stand consecutively, whatever separates them. After an identifier tag the rest of its line is read as an expression
 of identifiers joined by AND, OR and WITH (in either case, with brackets), put into postfix order by the shunting-yard
-method and evaluated: OR takes the freer side, AND the stricter one, WITH relaxes a copyleft license by its exception. The
-labels of an expression are the families of its identifiers.
+method and evaluated: OR takes the freer side, AND both (the stricter decides), WITH relaxes a copyleft license by its
+exception. The labels of an expression are the families of its identifiers; `bound` are those that one is left with after
+every OR's choice, and `freedom` tells how free these leave one, over all of a text's expressions.
 
 The score is the strength of the evidence: 1 for a tag with an expression that parses, 0.9 for a phrase of a license's own
 text or of the base list, 0.5 for a tag that doesn't parse, 0 without any. Defined cases: null and empty texts have no
-words; positions are null where no base phrase stands; rows repeat as they come; other columns are ignored.
+words; positions are null where no base phrase stands, `freedom` is null without an expression; very long texts are scanned
+whole, in time that grows with their length; rows repeat as they come; a null doc_id stays null; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,23 +112,28 @@ def family(identifier: str) -> str:
     return max((f for f in FREEDOM if low == f or low.startswith(f + "-")), key=len, default=low)
 
 
-def evaluate(postfix: list[str]) -> tuple[float, set[str]] | None:
-    """How free the expression leaves one, and its families; None where WITH has no exception's name after it."""
-    stack: list[tuple[float, set[str], str | None]] = []
+def evaluate(postfix: list[str]) -> tuple[float, set[str], set[str]] | None:
+    """How free the expression leaves one, its families, and those one is bound by; None where WITH has no exception's name after it.
+
+    Of sides that are equally free OR takes the first.
+    """
+    stack: list[tuple[float, set[str], set[str], str | None]] = []
     for token in postfix:
         if token not in PRECEDENCE:
             f = family(token)
-            stack.append((FREEDOM.get(f, UNKNOWN), {f}, token))
+            stack.append((FREEDOM.get(f, UNKNOWN), {f}, {f}, token))
             continue
-        (fa, la, na), (fb, lb, nb) = stack[-2:]
+        (fa, la, ba, na), (fb, lb, bb, nb) = stack[-2:]
         if token == "with":
             if na is None or nb is None:
                 return None
-            result = (min(1.0, fa + 0.3), la, None)
+            result = (min(1.0, fa + 0.3), la, ba, None)
+        elif token == "or":
+            result = (max(fa, fb), la | lb, ba if fa >= fb else bb, None)
         else:
-            result = ((max if token == "or" else min)(fa, fb), la | lb, None)
+            result = (min(fa, fb), la | lb, ba | bb, None)
         stack[-2:] = [result]
-    return stack[0][:2]
+    return stack[0][:3]
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -156,7 +164,8 @@ def _scan(batches):
             text = flat.tobytes().decode("latin-1")
             base = [[] for _ in range(rows)]
             labels = [set() for _ in range(rows)]
-            score, freedom = np.zeros(rows), [None] * rows
+            bound = [set() for _ in range(rows)]
+            score, freedom, lines = np.zeros(rows), [None] * rows, None
             expressions: list[list[str]] = [[] for _ in range(rows)]
             hits = [(end - size + 1, phrase) for end, (phrase, size) in machine.iter(text)]
             if hits:
@@ -168,12 +177,17 @@ def _scan(batches):
                 for r, i, (_, phrase) in zip(row.tolist(), index.tolist(), hits):
                     if phrase == TAG:
                         last = words.first[r] + i + 2
-                        tail = bytes(raw[words.end[last] : block.offsets[r + 1]]).split(b"\n", 1)[0].decode(errors="replace")
+                        if lines is None:
+                            lines = np.flatnonzero(raw == 0x0A)
+                        ends = np.searchsorted(lines, words.end[last])
+                        end = min(block.offsets[r + 1], lines[ends] if ends < len(lines) else len(raw))
+                        tail = bytes(raw[words.end[last] : end]).decode(errors="replace")
                         parsed = to_postfix(tail[1:].strip().rstrip("*/-># ")) if tail.startswith(":") else None
                         result = evaluate(parsed) if parsed else None
                         if result:
                             expressions[r].append(" ".join(parsed))
                             labels[r] |= result[1]
+                            bound[r] |= result[2]
                             freedom[r] = result[0] if freedom[r] is None else min(freedom[r], result[0])
                         score[r] = max(score[r], 1.0 if result else 0.5)
                         continue
@@ -187,13 +201,13 @@ def _scan(batches):
                 [
                     own, pa.array(count.astype(np.int64)), pa.array([len(b) for b in base], pa.int64()),
                     pa.array([min((i for i, _ in b), default=None) for b in base], pa.int64()), pa.array([max((i for i, _ in b), default=None) for b in base], pa.int64()),
-                    pa.array([join({x for _, x in b}) for b in base], pa.string()), pa.array(list(map(join, labels)), pa.string()), pa.array(score), pa.array(expressions, pa.list_(pa.string())), pa.array(freedom, pa.float64()),
+                    pa.array([join({x for _, x in b}) for b in base], pa.string()), pa.array(list(map(join, labels)), pa.string()), pa.array(score), pa.array(expressions, pa.list_(pa.string())), pa.array(freedom, pa.float64()), pa.array(list(map(join, bound)), pa.string()),
                 ],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "freedom"],
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "freedom", "bound"],
             )
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """Per row of docs: words, base places, labels, score, the tags' expressions in postfix order, and their freedom (0 to 1, null without)."""
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, freedom double"
+    """Per row of docs: words, base places, labels, score, the tags' expressions in postfix order, their freedom (0 to 1) and the families one is bound by."""
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, freedom double, bound string"
     return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, schema)

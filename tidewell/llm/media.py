@@ -9,8 +9,9 @@ A payload is a text's UTF-8 (null: empty) with zero bytes up to the next positiv
 * landmarks: each peak with the FAN next peaks at most REACH frames later, as the time-coded long
   frame << 22 | bin << 14 | other bin << 6 | frames between, in order of time.
 
-Each document is transformed on its own, in chunks of CHUNK frames, so equal texts have equal features and memory is
-bounded for long ones. Rows repeat as they come; other columns are ignored; an empty table gives an empty result.
+Each document is transformed on its own, in chunks of CHUNK frames, so equal texts have equal features and spectra take bounded
+memory for long ones. Rows repeat as they come; a null doc_id stays null; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches
+from .shared import bound_batches, stash
 
 PAD = 64
 RATE = 8000
@@ -114,43 +115,61 @@ def landmarks(samples: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(codes).astype(np.int64))
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peaks_pairs long, feature string"
+MEDIA = "doc_id long, n_bytes long, media binary"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peak_pairs long, feature string, landmarks array<long>"
 
 
-def _media(keep: bool):
-    def row(doc_id, text):
-        raw = b"" if text is None else text.encode()
-        media = encode(payload(raw))
-        back = decode(media)
-        codes = landmarks(np.frombuffer(back, np.uint8))
-        tail = zlib.crc32(back[-PAD:])
-        feature = f"{len(codes)}:{hashlib.sha256(codes.tobytes()).hexdigest()[:32]}"
-        out = [doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), tail, len(media), hashlib.sha256(media).hexdigest(), len(codes), feature]
-        return [*out, media, codes] if keep else out
+def _batched(rows, names: list[str], types: list[pa.DataType]):
+    """Batches of rows, which come with their sizes in bytes, of about BATCH_BYTES."""
+    flush = lambda some: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*some), types)], names)
+    held, size = [], 0
+    for row, more in rows:
+        held.append(row)
+        size += more + 400
+        if size > BATCH_BYTES:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
 
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")] + ["media", "landmarks"] * keep
-    long, text = pa.int64(), pa.string()
-    types = [long, long, long, text, long, long, text, long, text] + [pa.binary(), pa.list_(long)] * keep
-
-    def flush(rows):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
-    def run(batches):
-        rows, size = [], 0
+def _encode(batches):
+    def rows():
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                rows.append(row(doc_id.as_py(), text.as_py()))
-                size += rows[-1][5] * (9 if keep else 0) + 400
-                if size > BATCH_BYTES:
-                    yield flush(rows)
-                    rows, size = [], 0
-        if rows:
-            yield flush(rows)
+                raw = (text.as_py() or "").encode()
+                media = encode(payload(raw))
+                yield (doc_id.as_py(), len(raw), media), len(media)
+
+    return _batched(rows(), ["doc_id", "n_bytes", "media"], [pa.int64(), pa.int64(), pa.binary()])
+
+
+def media_column(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes of the text, and media, a WAV file of its payload."""
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode, MEDIA)
+
+
+def stored_media(docs: DataFrame) -> DataFrame:
+    """media_column() written to the shared folder; what reads it reads the stored bytes back."""
+    return stash(media_column(docs), compression="zstd")
+
+
+def _fingerprint(batches):
+    long, text = pa.int64(), pa.string()
+
+    def rows():
+        for batch in batches:
+            for doc_id, n_bytes, stored in zip(batch["doc_id"], batch["n_bytes"], batch["media"]):
+                media = stored.as_py()
+                back = decode(media)
+                codes = landmarks(np.frombuffer(back, np.uint8))
+                feature = f"{len(codes)}:{hashlib.sha256(codes.tobytes()).hexdigest()[:32]}"
+                row = (doc_id.as_py(), n_bytes.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), len(codes), feature, codes)
+                yield row, 8 * len(codes)
 
-    return run
+    return _batched(rows(), [x.split(" ")[0] for x in SCHEMA.split(", ")], [long, long, long, text, long, long, text, long, text, pa.list_(long)])
 
 
-def media_column(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """Per row of docs: doc_id, sizes and digests of payload and file, the features; with keep_media also media and landmarks."""
-    schema = SCHEMA + (", media binary, landmarks array<long>" if keep_media else "")
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_media(keep_media), schema)
+def fingerprints(media: DataFrame) -> DataFrame:
+    """Per row of media (doc_id, n_bytes, media): sizes and digests of payload and file as read back, and the time-coded landmarks."""
+    return bound_batches(media).select("doc_id", "n_bytes", "media").mapInArrow(_fingerprint, SCHEMA)

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import split_join
 from .shared import discard, stash
 
 REPEATS = 3
 SHARD_WORDS, SHARD_ROWS, SHELF = 1 << 16, 1 << 12, 1 << 10
-BROADCAST_ROWS = 50_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -66,11 +66,11 @@ def _source_seats(sources: DataFrame, block: int) -> DataFrame:
     total = sources.agg(F.sum("target")).first()[0] or 0.0
     seats = round(total / block)
     rounded = lambda by: F.floor(F.col("target") / F.lit(by) + 0.5)
-    low, high = block / 64, total * 2 + block  # enough and too few seats
     if not seats:
         return sources.withColumn("seats", F.lit(0).cast("long"))
-    while sources.agg(F.sum(rounded(low))).first()[0] < seats:
-        low /= 64
+    # rounding moves the sum by half a seat a source at most: within these bounds there are enough and too few seats
+    n = sources.count()
+    low, high = total / (seats + n / 2 + 1), total / (seats - n / 2 - 1) if seats > n / 2 + 1 else total * 2 + block
     while high - low > 1e-12 * high:
         trials = [low + (high - low) * i / 33 for i in range(1, 33)]
         sums = sources.agg(*(F.sum(rounded(x)).alias(f"t{i}") for i, x in enumerate(trials))).first()
@@ -105,20 +105,18 @@ def _apportion(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     return open_.withColumn("__won", won.cast("long")).groupBy(*names, "__low").agg(F.sum("__won").alias("__won")).select(*names, (F.col("__low") + F.col("__won")).alias("quota"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a stashed table of at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _dealt(docs: DataFrame, weights: tuple[int, ...], block: int, seed: int, repeats: int, key: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """Distinct rows of docs (source, size and key) with n and their place among the shards, and the shards' quotas and draws."""
     each = stash(docs.groupBy(*key, "source", "size").agg(F.count("*").alias("n")))
     totals = each.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"))
     sources = stash(_source_seats(_targets(totals, weights, repeats), block))
     count = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS)).cast("long")
-    same = each["source"].eqNullSafe(sources["source"])
-    dealt = each.join(_small(sources), same).select(
-        *(each[k] for k in key), each["source"], "size", "n", "rank", "source_size", "target", "seats",
+    # sources by name, null apart from all names; a hot one is salted
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__named")
+    some = sources.select(named, F.col("rows").alias("n"), "rank", "source_size", "target", "seats", "rows")
+    joined = split_join(each.withColumnRenamed("n", "__n").select("*", named), some, "__named", each.count(), F.xxhash64(*key, "size"))
+    dealt = joined.withColumnRenamed("__n", "n").select(
+        *key, "source", "size", "n", "rank", "source_size", "target", "seats",
         F.pmod(F.xxhash64(*key, F.lit(seed)), count).alias("shard"), F.xxhash64(*key, F.lit(seed + 1)).alias("order"),
     )
     shards = dealt.groupBy("rank", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("votes"), F.first("seats").alias("seats")).withColumn("shelf", F.expr(f"shard div {SHELF}"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import language, quality
 from .decontaminate import leaks
 from .license_scan import license_scan
-from .media import media_column
+from .media import fingerprints, stored_media
 from .mixing import mix
 from .sharding import extendible_shards
 from .sharding import oracle as sharding_oracle
@@ -27,8 +27,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_column(_table(spark, sf_dir, "documents"), keep_media=False)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = fingerprints(stored_media(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "landmarks")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "freedom", "bound")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

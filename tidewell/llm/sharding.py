@@ -3,15 +3,18 @@
 A row's key columns are hashed to BITS bits. The directory is indexed by the leading bits of the hash; only a bucket whose
 bytes are over the limit splits on one more bit, so a shard is a prefix of any length, the shortest within the limit.
 
-Bytes are aggregated once by prefixes long enough for 2^SPARE to a shard, and summed up from there to every shorter prefix.
-Where a prefix of that length is still over the limit, its rows alone are aggregated again at STEP bits more, and so on.
-Partial sums go before each shuffle, so a hot bucket costs one row a task. Rows look their prefix up in the directory:
-by broadcast if it has BROADCAST_ENTRIES or fewer (counted first), else by a shuffle on the prefix, whose groups the limit bounds.
+Bytes are aggregated once by prefixes long enough for 2^SPARE to a shard, and from there to shorter prefixes, LEVELS bits at
+a time, so each step reads a table 2^LEVELS times smaller than the one before. A shard is entered in the directory under
+each prefix of full length that it covers. Where a prefix of full length is still over the limit, its rows alone are aggregated again at
+STEP bits more, and so on. Partial sums go before each shuffle, so a hot bucket costs one row a task. Rows look their prefix
+up by a shuffle on it at every size; the limit bounds the bytes under a prefix, and rows that weigh nothing are dealt over
+ZEROS entries of their prefix.
 
 Defined cases: a row over the limit by itself has a shard of its own. Rows that no bit can part (repeated rows) go to
 overflow shards: distinct rows are counted, and the copies of each are dealt to shards of as many as the limit takes.
-Null keys hash like empty ones; a null text weighs only `overhead` bytes; an empty table gives an empty result. The
-columns of docs stay as they are; `prefix` goes before the names of the new ones where they would clash.
+Null keys hash like empty ones; a null text weighs only `overhead` bytes; very long texts are only measured and hashed; an empty
+table gives an empty result. The columns of docs stay as they are; `prefix` goes before the names of the new ones, and a
+name that clashes is refused.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import discard, stash
 
 SPARE = 4
+LEVELS = 4
 STEP = 8
 BITS = 60
-BROADCAST_ENTRIES = 200_000
+ZEROS = 64
 HASH, BYTES, PLACE = "__hash", "__bytes", "__place"
 
 
@@ -40,15 +44,36 @@ def key_hash(*columns: str) -> Column:
 
 
 def _directory(sizes: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """Of each prefix of `high` bits in sizes (__place, __bytes, n): the shard it belongs to; prefixes over the limit have none."""
-    levels = sizes.select(PLACE, BYTES, "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn("own", F.expr(f"shiftright({PLACE}, {high} - depth)"))
-    sums = levels.groupBy("depth", "own").agg(F.sum(BYTES).alias("shard_bytes"), F.sum("n").alias("n"))
+    """The directory's entries: each prefix of `high` bits (__place) with the shard it belongs to; prefixes over the limit have none.
+
+    sizes: __place, __bytes, n of the prefixes that occur.
+    """
+    now, depth, sums = sizes.select(F.col(PLACE).alias("own"), F.col(BYTES).alias("shard_bytes"), "n"), high, []
+    while True:
+        least = max(low, depth - LEVELS)
+        levels = now.select("shard_bytes", "n", "own", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("depth")).withColumn("own", F.expr(f"shiftright(own, {depth} - depth)"))
+        found = stash(levels.groupBy("depth", "own").agg(F.sum("shard_bytes").alias("shard_bytes"), F.sum("n").alias("n")))
+        sums.append(found if depth == high else found.where(F.col("depth") < depth))
+        if least == low:
+            break
+        now, depth = found.where(F.col("depth") == least).drop("depth"), least
+    every = sums[0]
+    for more in sums[1:]:
+        every = every.unionByName(more)
     fits = (F.col("shard_bytes") <= limit) | (F.col("n") == 1)
-    full = sums.where(~fits).select((F.col("depth") + 1).alias("depth"), F.col("own").alias("parent"))
+    full = every.where(~fits).select((F.col("depth") + 1).alias("depth"), F.col("own").alias("parent"))
     # the shortest that fits: the next shorter prefix is over the limit
-    shards = sums.where(fits).withColumn("parent", F.expr("shiftright(own, 1)"))
-    shards = shards.where(F.col("depth") == low).unionByName(shards.where(F.col("depth") > low).join(full, ["depth", "parent"], "left_semi"))
-    return levels.select(PLACE, "depth", "own").join(shards.select("depth", "own", "shard_bytes"), ["depth", "own"])
+    shards = every.where(fits).withColumn("parent", F.expr("shiftright(own, 1)"))
+    shards = shards.where(F.col("depth") == low).unionByName(shards.where(F.col("depth") > low).join(full.hint("merge"), ["depth", "parent"], "left_semi"))
+    entries = F.expr(f"sequence(shiftleft(own, {high} - depth), shiftleft(own + 1, {high} - depth) - 1)")
+    return shards.select(F.explode(entries).alias(PLACE), "depth", "own", "shard_bytes")
+
+
+def _looked_up(rows: DataFrame, directory: DataFrame, high: int) -> DataFrame:
+    """rows with the entry of their prefix. Rows without bytes, which no limit bounds, are dealt over ZEROS copies of it."""
+    salt = F.when(F.col(BYTES) == 0, F.pmod(F.col(HASH), F.lit(ZEROS))).otherwise(F.lit(-1)).cast("int")
+    salted = directory.withColumn("__salt", F.explode(F.expr(f"sequence(-1, {ZEROS - 1})")))
+    return rows.withColumns({PLACE: _prefix(high), "__salt": salt}).join(salted.hint("merge"), [PLACE, "__salt"]).drop("__salt")
 
 
 def _overflow(rows: DataFrame, carry: list[str], limit: int) -> DataFrame:
@@ -69,27 +94,31 @@ def extendible_shards(docs: DataFrame, limit: int, key: tuple[str, ...] = ("doc_
     if limit < 1:
         raise ValueError("limit must be positive")
     carry = docs.columns if carry is None else carry
+    clash = {f"{prefix}{c}" for c in ("shard", "depth", "shard_bytes", "row_bytes")} & set(carry)
+    if clash:
+        raise ValueError(f"{', '.join(sorted(clash))} would stand twice; give a prefix")
     weight = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(overhead)).cast("long").alias(BYTES)
     rows = docs.select(*carry, key_hash(*key).alias(HASH), weight)
-    rest = keys = docs.select(key_hash(*key).alias(HASH), weight)
-    total = keys.agg(F.sum(BYTES)).first()[0] or 0
+    light = text not in carry
+    if light:  # without the texts the rows are small: they are hashed once
+        rows = stash(rows)
+    keys = rows.select(HASH, BYTES) if light else stash(docs.select(key_hash(*key).alias(HASH), weight))
+    rest, total = keys, keys.agg(F.sum(BYTES)).first()[0] or 0
     low, high, out = 0, min(BITS, (-(-total // limit)).bit_length() + SPARE), []
     while True:
         sizes = stash(rest.groupBy(_prefix(high).alias(PLACE)).agg(F.sum(BYTES).alias(BYTES), F.count("*").alias("n")))
-        found = stash(_directory(sizes, low, high, limit))
-        shared = F.broadcast(found) if found.count() <= BROADCAST_ENTRIES else found
         bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("own").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
-        hit = rows.withColumn(PLACE, _prefix(high)).join(shared.select(PLACE, F.concat(F.lit("b"), bits).alias("__shard"), F.col("depth").alias("__depth"), F.col("shard_bytes").alias("__shard_bytes")), PLACE)
-        out.append(hit.select(*carry, BYTES, "__shard", "__depth", "__shard_bytes"))
-        over = sizes.where((F.col(BYTES) > limit) & (F.col("n") > 1)).select(PLACE)
-        n = over.count()
-        if not n:
+        found = _directory(sizes, low, high, limit)
+        found = stash(found.select(PLACE, F.concat(F.lit("b"), bits).alias("__shard"), F.col("depth").alias("__depth"), F.col("shard_bytes").alias("__shard_bytes")))
+        out.append(_looked_up(rows, found, high).select(*carry, BYTES, "__shard", "__depth", "__shard_bytes"))
+        over = stash(sizes.where((F.col(BYTES) > limit) & (F.col("n") > 1)).select(PLACE))
+        discard(sizes)
+        if over.isEmpty():
             break
-        over = F.broadcast(over) if n <= BROADCAST_ENTRIES else over
         if high == BITS:
             out.append(_overflow(rows.withColumn(PLACE, F.col(HASH)).join(over, PLACE, "left_semi").drop(PLACE), carry, limit))
             break
-        rest = rest.withColumn(PLACE, _prefix(high)).join(over, PLACE, "left_semi").drop(PLACE)
+        rest = stash(rest.withColumn(PLACE, _prefix(high)).join(over, PLACE, "left_semi").drop(PLACE))
         low, high = high + 1, min(BITS, high + STEP)
     whole = out[0]
     for more in out[1:]:

@@ -47,7 +47,7 @@ def _path(spark: SparkSession, path: str):
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, fixes a plan's estimates.
 
     The shuffle files behind it go as soon as it is written. Tables that a lazy result still reads stay until the
@@ -61,7 +61,7 @@ def stash(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
