@@ -146,6 +146,77 @@ def test_score_does_not_depend_on_neighbours():
     assert np.allclose(together, alone, atol=1e-8)
 
 
+def test_features_and_forward_pass_equal_plain(monkeypatch):
+    """Scores from features counted one by one, and gradients against differences of the loss."""
+    from tidewell.llm.words import U, mix, split_words, word_hashes
+
+    rng = np.random.default_rng(2)
+    model = Q.Model(rng.normal(size=Q.BUCKETS), -0.2)
+    hashed = lambda w: int(word_hashes(b := next(text_blocks(pa.array([w]))), split_words(b))[0])
+    bases = 0xC2B2AE3D27D4EB4F | 1
+
+    def run(hs):
+        total = 0
+        for h in hs:
+            total = (total * bases + h) % (1 << 64)
+        return int(mix(np.array([total], U))[0])
+
+    def gram(chars):
+        h = len(chars)
+        for c in chars:
+            h = (h * 0x01000193 % (1 << 32)) ^ ord(c)
+        return (h * 0x9E3779B1 % (1 << 32)) >> 16
+
+    for text in [t for _, t, *_ in rows() if t and len(t) < 400][:12] + ["", "é", "na na na na nb", "日本語 ñandú", "ein Wort"]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        h = [hashed(x) for x in w]
+        buckets = [x >> 48 for x in h] + [run(h[i : i + 2]) >> 48 for i in range(len(h) - 1)]
+        for i in range(len(h) - 3):
+            shape = 1
+            for a in range(4):
+                for b in range(a):
+                    shape = shape << 1 | (w[i + a] == w[i + b])
+            buckets.append(int(mix(np.array([shape], U))[0]) >> 48)
+        buckets += [gram(text[i : i + n]) for n in Q.ORDERS for i in range(len(text) - n + 1)]
+        margin = sum(model.weight[b] for b in buckets) / max(1, len(buckets)) + model.bias
+        (score,) = model.scores(next(text_blocks(pa.array([text])))) if text else model.scores(next(text_blocks(pa.array([None], pa.string()))))
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-8), text
+    mean, out, bias = rng.normal(size=5), rng.normal(size=(2, 5)), rng.normal(size=2)
+    loss = lambda m, o, b, y: -np.log(np.exp(o @ m + b)[y] / np.exp(o @ m + b).sum())
+    for y in (0, 1):
+        got = Q.gradients(mean, out, bias, y)
+        for k, x in enumerate((out, bias, mean)):
+            for i in np.ndindex(x.shape):
+                step = np.zeros(x.shape)
+                step[i] = 1e-6
+                args = [[out, bias, mean][j] + (step if j == k else 0) for j in range(3)]
+                less = [[out, bias, mean][j] - (step if j == k else 0) for j in range(3)]
+                slope = (loss(args[2], args[0], args[1], y) - loss(less[2], less[0], less[1], y)) / 2e-6
+                assert got[k][i] == pytest.approx(slope, abs=1e-6)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from tidewell.llm.sampling import sample_texts
+
+    docs = spark.createDataFrame([(i, "x" * 100 if i else "y" * 5000) for i in range(50)] + [(3, "x" * 100)], "doc_id long, text string")
+    chosen = docs.selectExpr("doc_id", "1 as label")
+    assert sample_texts(docs, chosen, 1000, 1).num_rows == 50 and sample_texts(docs, chosen, 7, 1).num_rows == 7
+    some = sample_texts(docs, chosen, 1000, 1, 1000)
+    assert some.num_rows == 10 and set(some["label"].to_pylist()) == {1} and sample_texts(docs, chosen.limit(0), 9, 1).num_rows == 0
+
+
+def test_awkward_rows_of_models(spark):
+    """Null ids, repeated rows and a text of 2 MB get a row each."""
+    long = "ein zwei drei " * 150_000
+    own = [(d, t, "de", "s", None, None, None, None) for d, t in [(None, "abc def"), (None, "abc def"), (2, long), (2, long), (3, None)]]
+    docs = table(spark, own)
+    model = Q.quality_model(docs, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int"))
+    assert sorted((str(r.doc_id), r.held_out) for r in Q.score_quality(docs, model).collect() if r.doc_id is None) == [("None", False)] * 2
+    assert Q.score_quality(docs, model).count() == 5
+    out = G.identify(docs, G.fit(docs)).collect()
+    assert len(out) == 5 and all(not r.held_out for r in out if r.doc_id is None) and {r.lang_pred for r in out if r.doc_id == 2} == {"de"}
+
+
 def plain_viterbi(scores, starts, switch):
     best, back = None, []
     for s, start in zip(scores, starts):

@@ -9,8 +9,8 @@ document's language is the one with the most letters of its words, its score the
 Blocks of texts run at once: each run of STRIDE words becomes a matrix of best scores from any entry to any exit
 language; the matrices are chained, and all runs are then traced together. A document start costs no switch.
 
-Learning counts 3-grams over a bounded sample of documents with a known language (MOST_A_LANGUAGE each in expectation,
-MOST_TRAINING in all, chosen by hash). Defined cases: `und` with score 0 for texts that are null or without letters, and
+Learning counts 3-grams over a bounded sample of documents with a known language: MOST_A_LANGUAGE each in expectation, or
+fewer of each alike where that would pass MOST_TRAINING, so a rare language is learned among many; sampling.MOST_BYTES of text. Defined cases: `und` with score 0 for texts that are null or without letters, and
 where nothing was learned; rows repeat as they come; a null doc_id is neither held out nor learned from; other columns
 are ignored; an empty table gives an empty result.
 """
@@ -140,10 +140,11 @@ def fit(docs: DataFrame, each: int = MOST_A_LANGUAGE, most: int = MOST_TRAINING,
     """Learns from documents with a language whose crc32(doc_id) mod 5 is not 0."""
     known = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label")).where(F.col("label").isNotNull() & (crc_remainder("doc_id", 5) != 0))
     counts = known.groupBy("label").agg(F.count("*").alias("n"))
+    each = min(each, most // max(1, counts.count()))
     # a uniform hash under each / n keeps about `each` rows of a language without ordering any group
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     kept = known.join(counts, "label").where(unit < F.lit(float(each)) / F.col("n")).select("doc_id", "label")
-    table = sample_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kept, most, seed + 1)
+    table = sample_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kept, 2 * most, seed + 1)
     return train(table["text"], table["label"].to_pylist())
 
 

@@ -1,9 +1,10 @@
 """A quality classifier: supervised subword embeddings.
 
-A text's features are its words (whitespace apart, case kept), the 3- and 4-grams of its bytes, for each word whether it is
-the word before, and for each three words whether they stood in the text before; all are hashed into BUCKETS. A vector is learned for each bucket; a document is the average of its features' vectors, and a softmax over them gives the
-label. Training is stochastic gradient descent in numpy on the driver, over at most MOST_TRAINING labelled rows (those
-with the least hash of doc_id), so it takes the same time at any size. As the average is linear, the output weights are
+A text's features are its words and pairs of neighbouring words (whitespace apart, case kept), the shape of each SHAPE
+neighbouring words (which of them are equal), and the 3- and 4-grams of its characters, all hashed into BUCKETS. Shapes are there
+because an average of word and character vectors alone can't see that a text repeats words that it never learned. A vector is learned for each bucket; a document is the average of its features'
+vectors, and a softmax over them gives the label. Training is stochastic gradient descent in numpy on the driver, over at most MOST_TRAINING labelled rows (those
+with the least hash of doc_id) and sampling.MOST_BYTES of text, so it takes the same time at any size. As the average is linear, the output weights are
 folded into the vectors for scoring: one number a bucket, 256 KB to broadcast.
 
 Defined cases: null and empty texts get the score that the biases give; labels that are null or of absent documents
@@ -26,8 +27,7 @@ from .words import U, mix, run_hashes, split_words, word_hashes
 
 BUCKETS = 1 << 16
 ORDERS = (3, 4)
-#: Buckets of the features that tell repetition: of no and yes.
-SAME, AGAIN = 0, 2
+SHAPE = 4
 DIMENSIONS = 8
 #: The bound of the training sample, in rows.
 MOST_TRAINING = 4000
@@ -36,35 +36,40 @@ RATE = 2.0
 THRESHOLD = 0.7
 
 
-def _gram_buckets(data: np.ndarray, order: int) -> np.ndarray:
-    """The bucket of the bytes i..i+order-1 for each i."""
-    n = max(0, len(data) - order + 1)
+def _gram_buckets(points: np.ndarray, order: int) -> np.ndarray:
+    """The bucket of the characters i..i+order-1 for each i."""
+    n = max(0, len(points) - order + 1)
     h = np.full(n, order, np.uint32)
     for j in range(order):
         h *= np.uint32(0x01000193)
-        h ^= data[j : j + n]
+        h ^= points[j : j + n]
     h *= np.uint32(0x9E3779B1)
-    return h >> np.uint32(16)
+    return h >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
 def features(block: Block):
-    """For words and each order of grams: buckets, and each row's bounds in them."""
+    """For words, their pairs and each order of grams: buckets, and each row's bounds in them."""
     words = split_words(block)
     h = word_hashes(block, words)
     first, last = words.first[:-1], words.first[1:]
-    yield (h >> U(48)).astype(np.int64), first, last
-    same = np.zeros(len(h), np.int64)
-    same[1:] = (h[1:] == h[:-1]) & (words.row[1:] == words.row[:-1])
-    yield same + SAME, first, last
-    three = mix(run_hashes(h, 3) ^ mix(words.row[: max(0, len(h) - 2)].astype(U)))
-    order = np.argsort(three, kind="stable")
-    again = np.zeros(len(three), np.int64)
-    again[order[1:]] = three[order[1:]] == three[order[:-1]]
-    first = np.minimum(first, len(three))
-    yield again + AGAIN, first, np.maximum(first, np.minimum(last - 2, len(three)))
+    top = U(64 - BUCKETS.bit_length() + 1)
+    yield (h >> top).astype(np.int64), first, last
+    pairs = run_hashes(h, 2)
+    first = np.minimum(first, len(pairs))
+    yield (pairs >> top).astype(np.int64), first, np.maximum(first, np.minimum(last - 1, len(pairs)))
+    # the shapes of word n-grams: which of SHAPE neighbouring words are equal, whatever the words are
+    n = max(0, len(h) - SHAPE + 1)
+    shape = np.full(n, 1, U)
+    for i in range(SHAPE):
+        for j in range(i):
+            shape = shape << U(1) | (h[i : i + n] == h[j : j + n])
+    first = np.minimum(words.first[:-1], n)
+    yield (mix(shape) >> top).astype(np.int64), first, np.maximum(first, np.minimum(last - SHAPE + 1, n))
+    points = np.frombuffer(block.data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    bounds = np.searchsorted(np.flatnonzero((block.data & 0xC0) != 0x80), block.offsets)
     for order in ORDERS:
-        first = block.offsets[:-1]
-        yield _gram_buckets(block.data, order), first, np.maximum(first, block.offsets[1:] - order + 1)
+        first = bounds[:-1]
+        yield _gram_buckets(points, order), first, np.maximum(first, bounds[1:] - order + 1)
 
 
 @dataclass
@@ -86,6 +91,15 @@ class Model:
         return np.round(1 / (1 + np.exp(-margin)), 9)
 
 
+def gradients(mean: np.ndarray, out: np.ndarray, bias: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the loss -log softmax(out @ mean + bias)[label], by the output weights, the biases and the average."""
+    z = out @ mean + bias
+    p = np.exp(z - z.max())
+    error = p / p.sum()
+    error[label] -= 1
+    return np.outer(error, mean), error, error @ out
+
+
 def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model:
     """labels: 0 or 1."""
     if len(np.unique(labels)) < 2:
@@ -106,13 +120,8 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             bucket, share = bags[i]
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
-            mean = (vectors[bucket] * share).sum(0)
-            z = out @ mean + bias
-            p = np.exp(z - z.max())
-            error = p / p.sum()
-            error[labels[i]] -= 1
-            back = error @ out
-            out -= rate * np.outer(error, mean)
+            by_out, error, back = gradients((vectors[bucket] * share).sum(0), out, bias, labels[i])
+            out -= rate * by_out
             bias -= np.float32(0.1) * rate * error
             # shares are small, so a bucket's step is scaled up to the size of its part in the average
             vectors[bucket] -= rate * back * share * 10
