@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, mixing, quality, sharding, simhash
 from tidewell.llm.registry import SHARD_BYTES
-from tidewell.llm.shared import stash
+from tidewell.llm.shared import discard, stash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stash(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        after = stash(stage(spark, docs, sf_dir))
+        if i:
+            discard(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The classifier has no SQL.
