@@ -5,13 +5,20 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network as N
+from ..obs import Metrics
 from ..operators import dedup, exporters, stats
 from ..operators import predicates as P
-from ..sources import datagrams, templated, wire
+from ..schema import DECODED, RECORD_DDL
+from ..session import scratch
+from ..sinks.messages import MessageFolder
+from ..sinks.table import FlowTable
+from ..sources import bus, datagrams, templated, wire
+from ..streaming import ingest
 from . import query as Q
 from .flows_view import FLOWS_SQL, flows
 
@@ -319,6 +326,67 @@ def tier_edge_to_central(spark, sf_dir):
     return once.groupBy(N.ipv4_text(F.col("exporter_addr")).alias("exporter_addr")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+def _storable(f: DataFrame) -> DataFrame:
+    """Flows in the types of storage."""
+    kinds = dict(c.split(" ") for c in RECORD_DDL.split(", "))
+    return _binary(f).select(*(F.col(c).cast(kinds[c]).alias(c) for c in DECODED))
+
+
+def _table(spark: SparkSession) -> FlowTable:
+    table = FlowTable(spark, scratch(spark, "flows"))
+    table.migrate()
+    return table
+
+
+@_register("table_write_read", f"select {_BACK_SQL}, dedup_key from flows")
+def table_write_read(spark, sf_dir):
+    """Two sources number their batches alike, one delivers a batch again, and a day is merged: each flow is read once."""
+    table, f = _table(spark), flows(spark, sf_dir)
+    for source, batch, rows in (("a", 0, "seq % 2 = 0"), ("b", 0, "seq % 2 = 1"), ("a", 0, "seq % 2 = 0"), ("b", 1, "seq % 2 = 1 and dedup_key is not null")):
+        table.write_batch(_storable(f.where(rows)), batch, source)
+    table.compact(table.days()[0])
+    return _shown(table.read(), "dedup_key").withColumn("dedup_key", F.decode("dedup_key", "utf-8"))
+
+
+_BY_EXPORTER = "select exporter_addr, count(*) as n, cast(sum(bytes) as bigint) as bytes from flows group by exporter_addr"
+
+
+def _delivered(spark: SparkSession, sf_dir: str, sinks=lambda table: {}, runs: int = 1) -> DataFrame:
+    """What is stored of messages that come twice, in streams that run to the end of what has arrived."""
+    table, folder, metrics = _table(spark), scratch(spark, "messages"), Metrics()
+    messages = MessageFolder(folder)
+    for batch in (0, 1):
+        messages.write_batch(_storable(flows(spark, sf_dir)), batch)
+    checkpoint, quarantine = scratch(spark, "checkpoint"), scratch(spark, "quarantine")
+    for _ in range(runs):
+        query = ingest.messages_of(bus.folder_stream(spark, folder, most_files=4), {"table": table.write_batch} | sinks(table), checkpoint, metrics, quarantine, once=True)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not metrics.value("source_rewinds", source="bus"):
+                raise
+    stored = table.read()
+    return stored.groupBy(N.ipv4_text(F.col("exporter_addr")).alias("exporter_addr")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@_register("stream_dedup", _BY_EXPORTER)
+def stream_dedup(spark, sf_dir):
+    return _delivered(spark, sf_dir)
+
+
+@_register("stream_rewind", _BY_EXPORTER)
+def stream_rewind(spark, sf_dir):
+    """A second sink refuses its first batch, which the first one has stored by then; the stream is started again and all are stored once."""
+    calls = []
+
+    def flaky(batch, batch_id):
+        calls.append(batch_id)
+        if len(calls) == 1:
+            raise RuntimeError("refused")
+
+    return _delivered(spark, sf_dir, lambda table: {"flaky": flaky}, runs=2)
+
+
 @_register("public_projection", f"select {_BACK.replace('received_at', "strftime(received_at, '%Y-%m-%dT%H:%M:%S.%fZ') as received_at").replace('first_switched', "strftime(first_switched, '%Y-%m-%dT%H:%M:%S.%fZ') as first_switched").replace('last_switched', "strftime(last_switched, '%Y-%m-%dT%H:%M:%S.%fZ') as last_switched")} from flows where {IN_RANGE}")
 def public_projection(spark, sf_dir):
     shown = P.in_range(flows(spark, sf_dir), START, END).select(*_BACK.split(", "))

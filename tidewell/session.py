@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,6 +14,22 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a table that a query makes: in spark.checkpoint.dir, which all executors see; on one machine in its
+    temporary folder if that is unset. It is deleted when the application ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"file://{tempfile.gettempdir()}/checkpoints"
+    folder = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once per application, through Spark's own file distribution.
 
