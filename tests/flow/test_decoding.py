@@ -95,6 +95,38 @@ def test_templates_carry_over_buckets_and_latest_wins(spark, monkeypatch):
     assert templated.decode_templated(landed(spark, v9(data_set())), known)[0].count() == 1
 
 
+def test_sets_of_whole_batches_equal_sets_one_by_one(spark):
+    """Datagrams of data sets only, with templates among them, with other sets, cut off anywhere, and of version 10."""
+    other = struct.pack("!HH", 1, 8) + b"none"
+    ten = lambda *sets, more=0: struct.pack("!HHIII", 10, 16 + sum(map(len, sets)) + more, UNIX, 1, 7) + b"".join(sets)
+    whole = [v9(data_set()), v9(data_set(REC_B), other, data_set()), v9(template_set(), data_set()), v9(), v9(data_set(), b"\0\0"), ten(data_set()), ten(data_set(), data_set(REC_B)), ten(data_set(), more=1), ten(struct.pack("!HH", 3, 3))]
+    payloads = whole + [p[:n] for p in (whole[0], whole[1], whole[5]) for n in range(1, len(p), 5)] + [ten(data_set()) + b"behind"]
+    want = []
+    for i, p in enumerate(payloads):
+        try:
+            packet = elements.parse(p)
+            want += [(i, n, packet.version, packet.domain, packet.boot, t, None if kind == "template" else c, None) for n, (kind, t, c) in enumerate(packet.sets)]
+        except elements.Malformed as e:
+            want.append((i, 0, None, None, None, None, None, str(e)))
+    got = templated.sets_of(landed(spark, *payloads).coalesce(1)).collect()
+    assert sorted(((r.arrival, r.set_no, r.version, r.domain, r.boot, r.template_id, None if r.content is None else bytes(r.content), r.fault) for r in got), key=str) == sorted((w for w in want if len(payloads[w[0]]) > 1), key=str)
+
+
+def test_fixed_templates_equal_records_one_by_one(spark):
+    """Fields of every kind, repeated ones, odd widths and padding: whole batches against flow() of each record."""
+    fields = [(8, 4), (27, 16), (12, 4), (15, 4), (62, 16), (34, 4), (305, 4), (1, 8), (2, 3), (4, 2), (7, 2), (7, 2), (154, 8), (151, 4), (22, 4), (90, 5), (16, 4), (11, 1)]
+    width, body = sum(n for _, n in fields), b""
+    for i in range(7):
+        body += bytes((i * 37 + k * 11) % 251 for k in range(width)) if i else b"\0" * width
+    sets = struct.pack("!HH", 300, 4 + len(body) + 3) + body + b"\0\0\0"
+    good, bad = templated.decode_templated(landed(spark, v9(template_set(300, fields)), v9(sets)))
+    want = [elements.flow(v, (UNIX * 1000 - UPTIME) * 1000) for v in elements.records(body, [(e, n, 0) for e, n in fields])]
+    rows = good.withColumns({c: F.unix_micros(c) for c in ("first_switched", "last_switched")}).orderBy("record_no").collect()
+    assert len(rows) == 7 and bad.count() == 0
+    for r, w in zip(rows, want):
+        assert all((bytes(r[c]) if isinstance(r[c], bytearray) else r[c]) == v for c, v in w.items()), w
+
+
 def test_ipfix_variable_length_enterprise_and_clocks():
     ntp = struct.pack("!II", UNIX + N.NTP_OFFSET, 1 << 30)
     fields = [(8, 4, 0), (12, 4, 0), (154, 8, 0), (153, 8, 0), (90, elements.VARIABLE, 0), (1, 4, 29305), (1, 8, 0), (34, 4, 0), (305, 4, 0)]
