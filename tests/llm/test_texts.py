@@ -126,6 +126,7 @@ def test_bad_expressions(text):
 
 def test_token_counts_equal_library(spark):
     odd = ["it's 'tis I'll we've 're 'x '", "a  b   c\n\n d \t", "<|endoftext|> x<|endoftext|><|endoftext|>  ", "日本語 ٣٤ ½x é́ 　z", "x" * 3000, " " * 500, "'" * 99, "\u0000\x85​", "don'T 'LL"]
+    odd += [" ".join("\u0000\u0001éabcdefgh"[:k] * 2 for k in range(1, 12)), "\u0000" * 7 + "a" + "\u0000" * 8, "abcdefg abcdefgh abcdefg\u0000 abcdef"]
     own = [*rows(), *((10_000 + i, t, *[None] * 6) for i, t in enumerate(odd))]
     out = {r.doc_id: r for r in token_counts(table(spark, own), VOCABULARY, limit=50).collect()}
     library = Tokenizer.from_file(VOCABULARY)

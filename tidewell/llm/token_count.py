@@ -9,7 +9,7 @@ Two deterministic transducers run one after the other.
   compose, which is associative, so a parallel prefix scan gives every chunk's entry state, and all chunks then run at once.
 * The merger reads the bytes of one piece. A state holds, for each place from which a vocabulary entry could still run
   on, that place in the vocabulary's trie, the last token before it, and its count less the current one. A transition's
-  annotation is the change of the number of emitted tokens; their sum over a piece is its number of tokens. States are
+  annotation is the change of the number of emitted tokens; their sum over a piece is its number of tokens. Equal short pieces of a block are counted once. States are
   compiled when first reached (as in lazy determinisation) and dropped once MOST_TRANSITIONS are held, so memory is bounded
   whatever the texts are. That the last token of a prefix is the one that forms a valid pair with the last token
   before it is what makes the machine deterministic.
@@ -282,10 +282,29 @@ def block_counts(block, merger: Merger, special: re.Pattern | None) -> np.ndarra
     real = classes[at] != END
     first, last = where[at], np.append(where[at[1:]], len(raw))
     first, last, at = first[real], last[real], at[real]
-    get, count = merger.pieces.get, merger.count
-    n = [get(p := raw[a:b]) or count(p) for a, b in zip(first.tolist(), last.tolist())]
+    n = _piece_counts(data, raw, first, last, merger)
     stretch = np.searchsorted(ends + np.arange(len(ends)), at)
-    np.add.at(out, row, np.bincount(stretch, np.array(n, np.float64), len(row)).astype(np.int64) if n else 0)
+    np.add.at(out, row, np.bincount(stretch, n, len(row)).astype(np.int64))
+    return out
+
+
+def _piece_counts(data: np.ndarray, raw: bytes, first: np.ndarray, last: np.ndarray, merger: Merger) -> np.ndarray:
+    """Tokens of each piece raw[first:last]. Short pieces are told apart as numbers, so that equal ones are counted once a block."""
+    get, count = merger.pieces.get, merger.count
+    out = np.zeros(len(first), np.int64)
+    size = last - first
+    short = size < 8
+    # the bytes of a short piece as a number, its length in the top byte
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = size[short].astype(np.uint64)
+    key, which = np.unique(eight[first[short]] & (np.uint64(1) << length * np.uint64(8)) - np.uint64(1) | length << np.uint64(56), return_inverse=True)
+    spelled = key.astype("<u8").tobytes()
+    ends = np.arange(len(key)) * 8 + (key >> np.uint64(56)).astype(np.int64)
+    once = [get(p := spelled[a:b]) or count(p) for a, b in zip(range(0, 8 * len(key), 8), ends.tolist())]
+    out[short] = np.array(once, np.int64)[which]
+    out[~short] = [get(p := raw[a:b]) or count(p) for a, b in zip(first[~short].tolist(), last[~short].tolist())]
     return out
 
 
