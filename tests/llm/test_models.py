@@ -71,6 +71,12 @@ def test_wand_misses_nothing_above_the_threshold(monkeypatch):
     got = set()
     for block in text_blocks(pa.array(docs), 3000):
         got |= {(block.start + int(r[0]), int(r[1])) for r in D.search(block, index)}
+    # stretches of few windows, and every posting sought or none
+    whole = list(text_blocks(pa.array(docs)))
+    for cells, seek in ((1, 0), (1, 1 << 40), (300, 0), (300, 1)):
+        monkeypatch.setattr(D, "CELLS", cells)
+        monkeypatch.setattr(D, "SEEK", seek)
+        assert {(block.start + int(r[0]), int(r[1])) for block in whole for r in D.search(block, index)} == got
     impact = [dict(zip(index.terms[np.searchsorted(index.begin, k, "right") - 1].tolist(), index.impact[k])) for k in (np.flatnonzero(index.item == i) for i in range(50))]
     want = set()
     for block in text_blocks(pa.array(docs)):

@@ -8,7 +8,8 @@ of the index, so each place where an item could stand lies whole in one.
   vocabulary. Everything above RETRIEVE is retrieved.
 * Block-max WAND: items stand in blocks of BLOCK (larger where there would be over MOST_BLOCKS); a block's bound for a term is the greatest impact in it. The commonest
   terms, whose greatest impacts add up to no more than FREE, never open a block; the others' bounds are added up by passage
-  and block, and only blocks that reach RETRIEVE - FREE are scored, term by term. No item above the threshold is missed.
+  and block, a stretch of CELLS at a time, and only blocks that reach RETRIEVE - FREE are scored: of a term with many postings those
+  between the block's bounds are sought and the others passed over. No item above the threshold is missed.
 * A retrieved item is verified on its five-word shingles: at least OVERLAP of the question's and of the answer's must be in
   the passage. The answer is what follows the last sentence end, line or `?` inside the item; an item of one sentence is its
   own question and answer. A part of under five words is one shingle, and so is an item of under five words as a whole.
@@ -39,6 +40,10 @@ RETRIEVE, FREE = 0.5, 0.2
 OVERLAP = 0.8
 SHINGLE, SHORTEST, BLOCK, STRIDE = 5, 1, 2, 64
 MOST_BLOCKS = 2048
+#: Window strides times blocks whose bounds are held at once, whatever the length of a text.
+CELLS = 1 << 18
+#: A search for a block's bounds among a term's postings costs as much as so many postings.
+SEEK = 8
 SLICE_BYTES = 8 << 20
 SENTENCE_END = re.compile(rb"[.!?\n]\s+")
 
@@ -56,7 +61,7 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings by term: terms (sorted hashes) from begin[t] to begin[t + 1] in item, impact; the same by block in block_*."""
+    """Postings by term: terms (sorted hashes) from begin[t] to begin[t + 1] in item, impact; sought is term * items + item; the same by block in block_*."""
 
     ids: np.ndarray
     nameless: np.ndarray
@@ -65,6 +70,7 @@ class Index:
     terms: np.ndarray
     begin: np.ndarray
     item: np.ndarray
+    sought: np.ndarray
     impact: np.ndarray
     opening: np.ndarray
     block_begin: np.ndarray
@@ -152,16 +158,60 @@ def build(ids: np.ndarray, texts: pa.Array, nameless: np.ndarray | None = None,
     filter_ = np.zeros(1 << 20, bool)
     filter_[(terms >> U(44)).astype(np.int64)] = True
     return Index(
-        ids[kept], nameless[kept], parts, max(STRIDE, over.longest), terms, begin, item, impact, opening,
+        ids[kept], nameless[kept], parts, max(STRIDE, over.longest), terms, begin, item, number * n + item, impact, opening,
         np.searchsorted(pair // blocks, np.arange(len(terms) + 1)), pair % blocks, bound, filter_, blocks, size,
     )
 
 
 def _expand(begin: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of term its postings: which entry of term, which posting."""
-    size = begin[term + 1] - begin[term]
-    of = np.repeat(np.arange(len(term)), size)
-    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[term], size)
+    return _between(begin[term], begin[term + 1])
+
+
+def _between(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start to before its stop: of which entry, which number."""
+    size = stop - start
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+def _retrieve(index: Index, stride_of: np.ndarray, t: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """window * items + item, and its score, of all that reach RETRIEVE. Term t stands in stride stride_of; a window is the strides head and head + 1."""
+    n, strides = len(index.terms), head[-1] + 2
+    # bounds by stride and block, each term once a stride
+    opener = index.opening[t]
+    key = np.unique(stride_of[opener] * n + t[opener])
+    of, post = _expand(index.block_begin, key % n)
+    bound = np.bincount((key // n)[of] * index.blocks + index.block[post], index.block_impact[post], strides * index.blocks).reshape(strides, index.blocks)
+    open_ = bound[head] + bound[head + 1] >= RETRIEVE - FREE
+    place, block_ = np.nonzero(open_)
+    # a word is in the window that begins with its stride and in the one before; each term counts once a window
+    wanted = np.zeros(len(head), bool)
+    wanted[place] = True
+    window = np.full(strides + 1, -1)  # the last entry stands for the stride before the first
+    window[head[wanted]] = np.flatnonzero(wanted)
+    own = np.concatenate([window[stride_of], window[stride_of - 1]])
+    key = np.unique(own[own >= 0] * n + np.concatenate([t, t])[own >= 0])
+    at_window, term = key // n, key % n
+    blocks = np.bincount(place, minlength=len(head))
+    seek = blocks[at_window] * SEEK < index.begin[term + 1] - index.begin[term]
+    # terms with many postings: those between an open block's bounds are sought, the others passed over
+    of, cell = _between(*np.searchsorted(place, np.stack([at_window[seek], at_window[seek] + 1])))
+    start = term[seek][of] * len(index.ids) + block_[cell] * index.size
+    stop = np.minimum(start + index.size, (term[seek][of] + 1) * len(index.ids))
+    found, post = _between(*np.searchsorted(index.sought, np.stack([start, stop])))
+    # terms with few: each posting is looked up among the open blocks
+    whole, listed = _expand(index.begin, term[~seek])
+    whole = at_window[~seek][whole]
+    inside = open_[whole, index.item[listed] // index.size]
+    post = np.concatenate([post, listed[inside]])
+    of = np.concatenate([place[cell][found], whole[inside]])
+    if len(found):  # terms in one order, so that sums don't depend on how they were found
+        order = np.argsort(post, kind="stable")
+        post, of = post[order], of[order]
+    pair, inverse = np.unique(of * len(index.ids) + index.item[post], return_inverse=True)
+    score = np.bincount(inverse, index.impact[post], len(pair))
+    return pair[score >= RETRIEVE], score[score >= RETRIEVE]
 
 
 def search(block: Block, index: Index):
@@ -178,32 +228,18 @@ def search(block: Block, index: Index):
     at, t = at[hit], t[hit]
     row = words.row[at]
     step = (at - words.first[row]) // stride
-    # bounds by stride and block, each term once a stride; a window is two strides of one text
-    strides = passages + 1
-    under = np.r_[0, np.cumsum(strides)]
-    opener = index.opening[t]
-    key = np.sort((under[row[opener]] + step[opener]) * len(index.terms) + t[opener])
-    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    of, post = _expand(index.block_begin, key % len(index.terms))
-    bound = np.bincount((key // len(index.terms))[of] * index.blocks + index.block[post], index.block_impact[post], under[-1] * index.blocks).reshape(-1, index.blocks)
+    under = np.r_[0, np.cumsum(passages + 1)]
+    stride_of = under[row] + step
     head = np.arange(base[-1]) + np.repeat(np.arange(rows), passages)  # each window's first stride
-    place, block_ = np.nonzero(bound[head] + bound[head + 1] >= RETRIEVE - FREE)
-    if not len(place):
-        return np.zeros((0, 6))
-    cell = place * index.blocks + block_
-    wanted = np.zeros(base[-1] + 1, bool)
-    wanted[place] = True
-    # a word in stride k is in the windows k - 1 and k; each term counts once a window
-    here, before = (step < passages[row]) & wanted[np.minimum(base[row] + step, base[-1])], (step > 0) & wanted[np.maximum(base[row] + step - 1, 0)]
-    key = np.unique(np.concatenate([((base[row] + step) * len(index.terms) + t)[here], ((base[row] + step - 1) * len(index.terms) + t)[before]]))
-    passage, t = key // len(index.terms), key % len(index.terms)
-    live = np.ones(len(t), bool)
-    of, post = _expand(index.begin, t[live])
-    p, item = passage[live][of], index.item[post]
-    inside = np.isin(p * index.blocks + item // index.size, cell)
-    pair, inverse = np.unique(p[inside] * len(index.ids) + item[inside], return_inverse=True)
-    score = np.bincount(inverse, index.impact[post][inside], len(pair))
-    pair, score = pair[score >= RETRIEVE], score[score >= RETRIEVE]
+    pair, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+    width = max(1, CELLS // index.blocks)
+    for a in range(0, len(head), width):
+        part = head[a : a + width]
+        lo, hi = np.searchsorted(stride_of, (part[0], part[-1] + 2))
+        p, s = _retrieve(index, stride_of[lo:hi] - part[0], t[lo:hi], part - part[0])
+        pair.append(p + a * len(index.ids))
+        score.append(s)
+    pair, score = np.concatenate(pair), np.concatenate(score)
     best: dict[tuple[int, int], tuple] = {}
     shingled: dict[tuple[int, int], np.ndarray] = {}
     for key, s in zip(pair.tolist(), score.tolist()):
