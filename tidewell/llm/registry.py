@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
+from . import centroids, language, line_dedup, negatives, quality
 from .decontaminate import leaks
 from .license_scan import license_scan
 from .media import fingerprints, stored_media
@@ -20,6 +20,10 @@ from .token_count import token_counts
 
 #: Greatest bytes of text in a shard.
 SHARD_BYTES = 1 << 20
+#: Centroids, rounds and components of the clustering.
+CLUSTERING = 40, 5, 64
+#: Rows whose id this divides are anchors.
+ANCHOR_EVERY = 100
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +78,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_spanning_links")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark, _table(spark, sf_dir, "embeddings"), *CLUSTERING)
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % ANCHOR_EVERY == 0, label=negatives.moved_label())
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -86,8 +102,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
+        "op11_centroids": op11_centroids,
+        "op12_negatives": op12_negatives,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding_oracle(SHARD_BYTES)}
+    return {
+        "op3_sharding": sharding_oracle(SHARD_BYTES),
+        "op11_centroids": centroids.oracle(*CLUSTERING),
+        "op12_negatives": negatives.oracle(ANCHOR_EVERY),
+        "op13_line_dedup": line_dedup.oracle(),
+    }
