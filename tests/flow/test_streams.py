@@ -1,7 +1,9 @@
 """Ingest end to end: landing, replay after a failed sink, templates in state, drop accounting, tiers."""
 
 import datetime as dt
+import json
 import socket
+import struct
 import threading
 import time
 
@@ -13,6 +15,8 @@ from tidewell.plans import query as Q
 from tidewell.sinks.messages import EnvelopeFolder, MessageFolder
 from tidewell.sinks.table import FlowTable
 from tidewell.sources import bus, wire
+from tidewell.sources import templated as batch_decoder
+from tidewell.sources.datagrams import DATAGRAM_DDL
 from tidewell.sources.landing import Buffer, Landing
 from tidewell.streaming import ingest, templated
 from tidewell.streaming.datagrams import records_of
@@ -151,13 +155,67 @@ def test_templates_are_shared_and_come_first(spark, tmp_path):
     shared, metrics = EnvelopeFolder(str(tmp_path / "shared")), Metrics()
     landed(spark, v9(template_set())).write.parquet(f"{tmp_path}/a/1")
     templated.share(spark, str(tmp_path / "a"), shared.write_batch, str(tmp_path / "cka"), metrics, once=True).awaitTermination()
-    templated.hydrate(bus.folder_table(spark, shared.path), str(tmp_path / "b"))
     landed(spark, v9(data_set())).write.parquet(f"{tmp_path}/b/2")
     table = table_at(spark, tmp_path / "t")
-    records_of(spark, str(tmp_path / "b"), {"table": table.write_batch}, str(tmp_path / "ckb"), metrics, once=True).awaitTermination()
+    records_of(spark, str(tmp_path / "b"), {"table": table.write_batch}, str(tmp_path / "ckb"), metrics, once=True, known=bus.folder_table(spark, shared.path)).awaitTermination()
     assert [r.flow_type for r in table.query(Q.FlowQuery(**WINDOW)).rows] == ["netflow9"] and metrics.value("decode_errors", source="udp") == 0
 
 
+def decoded(spark, folder, checkpoint, out, **shared):
+    records = templated.decode_stream(bus.folder_stream(spark, str(folder), schema=DATAGRAM_DDL), **shared)
+    records.writeStream.option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start(str(out), "parquet").awaitTermination()
+    return spark.read.parquet(str(out))
+
+
+def raw_set(number, content):
+    return struct.pack("!HH", number, 4 + len(content)) + content
+
+
+#: Source, destination and first time: 12 bytes a record.
+SHORT = [(8, 4), (12, 4), (22, 4)]
+
+
+def test_stream_decodes_as_the_batch_does(spark, tmp_path):
+    """Two exporters over several shares, a template that changes, one that comes late, variable fields, a cut-off set, a template without addresses."""
+    named = template_set(257, [*SHORT, (82, 65535)]) + raw_set(257, bytes(12) + b"\x03abc" + bytes(12) + b"\x00" + b"cut")
+    payloads = [v9(data_set()), v9(template_set()), v9(data_set()), v9(named), v9(template_set(256, SHORT)), v9(raw_set(256, bytes(24))), v9(data_set())[:-3], v9(raw_set(300, b"1234")), v9(template_set(258, [(1, 4)]), raw_set(258, bytes(8)))]
+    payloads += [v9(raw_set(256, bytes(12))) for _ in range(30)]
+    rows = [(parse_ip(f"192.0.2.{own}"), BASE + dt.timedelta(seconds=i), i * 997, p) for own in (1, 2) for i, p in enumerate(payloads)]
+    datagrams = spark.createDataFrame(rows, DATAGRAM_DDL)
+    datagrams.repartition(3).write.parquet(f"{tmp_path}/in")
+    good, bad = batch_decoder.decode_templated(datagrams)
+    found = decoded(spark, tmp_path / "in", tmp_path / "ck", tmp_path / "out")
+    plain = lambda df, *c: sorted(str(tuple(r)) for r in df.select(*c).collect())
+    assert plain(found.where("reason is null"), *good.columns) == plain(good, *good.columns) and good.count() == 2 * (1 + 1 + 1 + 2 + 30)
+    refused = plain(found.where("reason is not null"), "exporter_addr", "arrival", "reason")
+    assert refused == plain(bad, "exporter", "arrival", "reason") and len(refused) >= 2 * 4
+
+
+def test_templates_of_others_arrive_while_the_stream_runs(spark, tmp_path):
+    """A later template of the log replaces the state's, an earlier one doesn't; poison envelopes are passed over."""
+    log = EnvelopeFolder(str(tmp_path / "log"))
+    log.create(spark)
+    envelope = '{"kind":"template","record":%s}' % json.dumps([[*f, 0] for f in SHORT])
+    tell = lambda n, *rows: log.write_batch(spark.createDataFrame(rows, bus.MESSAGES), n)
+    tell(0, ("192.0.2.7/9/100/256", envelope, BASE), ("poison", envelope, BASE), ("192.0.2.7/9/100/300", "{", BASE))
+    go = lambda: decoded(spark, tmp_path / "in", tmp_path / "ck", tmp_path / "out", news=bus.folder_stream(spark, log.path))
+
+    def land(n, *payloads):
+        rows = [(parse_ip("192.0.2.7"), BASE + dt.timedelta(hours=n), 10 * n + i, p) for i, p in enumerate(payloads)]
+        spark.createDataFrame(rows, DATAGRAM_DDL).write.parquet(f"{tmp_path}/in/{n}")
+
+    land(0, v9(raw_set(256, bytes(24))))
+    assert go().where("reason is null").count() == 2
+    land(1, v9(template_set()))  # the exporter's own, an hour later
+    go()
+    tell(1, ("192.0.2.7/9/100/256", envelope, BASE + dt.timedelta(minutes=1)))
+    land(2, v9(data_set()))
+    assert [r.dst_port for r in go().where("arrival = 20").collect()] == [8443]
+    tell(2, ("192.0.2.7/9/100/256", envelope, BASE + dt.timedelta(hours=9)))
+    land(3, v9(raw_set(256, bytes(36))))
+    assert go().where("arrival = 30 and reason is null").count() == 3
+
+
 def test_drain(spark, tmp_path):
     messages = MessageFolder(str(tmp_path / "bus"))
     messages.write_batch(batch(spark, 3), 0)

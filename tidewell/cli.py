@@ -35,16 +35,18 @@ def _stores(settings: config.Config, spark) -> dict:
 
 
 def _template_log(settings: config.Config, spark):
-    """Reads the shared templates, and the sink that adds to them; (None, None) without the setting."""
+    """The shared templates as they stand and as they are added (both read when called), and the sink that adds to them; Nones without the setting."""
     from .sources import bus
     from .sinks.messages import EnvelopeFolder, EnvelopeTopic
 
     if settings.template_topic:
         brokers = list(settings.bus_brokers)
-        return lambda: bus.kafka_table(spark, brokers, settings.template_topic), EnvelopeTopic(brokers, settings.template_topic)
+        return lambda: bus.kafka_table(spark, brokers, settings.template_topic), lambda: bus.kafka_stream(spark, brokers, settings.template_topic), EnvelopeTopic(brokers, settings.template_topic)
     if settings.template_path:
-        return lambda: bus.folder_table(spark, settings.template_path), EnvelopeFolder(settings.template_path)
-    return None, None
+        folder = EnvelopeFolder(settings.template_path)
+        folder.create(spark)
+        return lambda: bus.folder_table(spark, settings.template_path), lambda: bus.folder_stream(spark, settings.template_path), folder
+    return None, None, None
 
 
 def run(settings: config.Config, spark=None, stop: threading.Event | None = None, metrics=None) -> int:
@@ -67,12 +69,11 @@ def run(settings: config.Config, spark=None, stop: threading.Event | None = None
     sinks = {n: ingest.stored(s, metrics) if n == "table" else s.write_batch for n, s in stores.items()}
     queries, landing, server = [], None, None
     if "udp" in settings.sources:
-        shared, publish = _template_log(settings, spark)
-        if shared:  # what others learned comes before what is heard
-            templated.hydrate(shared(), settings.landing_path)
+        shared, news, publish = _template_log(settings, spark)
         landing = Landing(settings.landing_path, metrics, settings.buffer, settings.batch_size, seconds)
         landing.start(*_split(settings.udp_addr))
-        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds))
+        # what others learned comes before what is heard
+        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds, known=shared and shared(), news=news and news()))
         if publish:
             queries.append(templated.share(spark, settings.landing_path, publish.write_batch, f"{own}/templates", metrics, seconds))
     arriving = {f"{own}/bus": lambda: bus.kafka_stream(spark, list(settings.bus_brokers), settings.bus_topic)} if "bus" in settings.sources else {}

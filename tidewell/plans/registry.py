@@ -19,6 +19,7 @@ from ..sinks.messages import MessageFolder
 from ..sinks.table import FlowTable
 from ..sources import bus, datagrams, templated, wire
 from ..streaming import ingest
+from ..streaming.templated import decode_stream
 from . import query as Q
 from .flows_view import FLOWS_SQL, flows
 
@@ -308,6 +309,18 @@ def v9_decode(spark, sf_dir):
     return _shown(records.withColumn("seq", F.col("arrival")), "seq")
 
 
+@_register("v9_stream", f"select seq, received_at, {_MILLIS.replace('flow_type', "'netflow9' as flow_type")} from flows")
+def v9_stream(spark, sf_dir):
+    """The stream's decoder, stopped and started again half way: the templates that it needs then are in its state."""
+    folder, checkpoint, out = scratch(spark, "landed"), scratch(spark, "checkpoint"), scratch(spark, "decoded")
+    packed = _packed_templates(_binary(flows(spark, sf_dir)), 256)
+    for half in (0, 1):
+        packed.where(F.expr(f"arrival % 2 = {half}") if half else F.expr("arrival % 2 = 0 or length(payload) > 100")).write.mode("append").parquet(folder)
+        records = decode_stream(bus.folder_stream(spark, folder, schema=datagrams.DATAGRAM_DDL))
+        records.where("reason is null").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out, "parquet").awaitTermination()
+    return _shown(spark.read.parquet(out).dropDuplicates(["arrival", "record_no"]).withColumn("seq", F.col("arrival")), "seq")
+
+
 @_register("v9_rejects", "select exporter_addr, count(*) as n from (select *, min(seq) over (partition by exporter_id) as f from flows) where seq < f + 1000 and seq > f group by exporter_addr")
 def v9_rejects(spark, sf_dir):
     """Datagrams ahead of their template: each exporter's template datagram arrives 1000 places late."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import socket
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import wire
 
@@ -52,6 +52,10 @@ class EnvelopeFolder:
     def __init__(self, path: str):
         self.path = path.rstrip("/")
 
+    def create(self, spark: SparkSession) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
     def write_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> None:
         batch.select("key", "value", "timestamp").write.mode("overwrite").parquet(f"{self.path}/source={source}/batch={batch_id}")
 

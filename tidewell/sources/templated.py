@@ -9,6 +9,7 @@ exporter's sets are dealt over tasks by bucket. A datagram with any set of unkno
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,12 @@ RECORD = (
 )
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """What Spark takes back from mapInArrow for a DDL schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+ARROW = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "timestamp": A.UTC}
+
 
-    return to_arrow_schema(_parse_datatype_string(ddl))
+def arrow_schema(ddl: str) -> pa.Schema:
+    """What Spark takes back from mapInArrow for a DDL schema of plain columns; workers need no session for it."""
+    return pa.schema([(name, ARROW[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
 
 
 def _plain_sets(batch: pa.RecordBatch, schema: pa.Schema) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -183,29 +184,27 @@ def _each(fields: list, rows: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBat
     return pa.RecordBatch.from_pylist(out, schema)
 
 
-def _decode(schema: pa.Schema):
-    def run(batches):
-        for batch in batches:
-            templates = batch["template"].dictionary_encode()
-            which = templates.indices.to_numpy(zero_copy_only=False)
-            for i, text in enumerate(templates.dictionary.to_pylist()):
-                fields = json.loads(text)
-                rows = batch.take(pa.array(np.flatnonzero(which == i)))
-                sizes = [size for _, size, _ in fields]
-                if E.VARIABLE in sizes:
-                    yield _each(fields, rows, schema)
-                elif sum(sizes):
-                    yield _fixed(fields, rows, schema)
-
-    return run
+def decoded_sets(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The records of data sets that have their `template` beside them, all sets of a template in a batch at once."""
+    for batch in batches:
+        templates = batch["template"].dictionary_encode()
+        which = templates.indices.to_numpy(zero_copy_only=False)
+        for i, text in enumerate(templates.dictionary.to_pylist()):
+            fields = json.loads(text)
+            rows = batch.take(pa.array(np.flatnonzero(which == i)))
+            sizes = [size for _, size, _ in fields]
+            if E.VARIABLE in sizes:
+                yield _each(fields, rows, schema)
+            elif sum(sizes):
+                yield _fixed(fields, rows, schema)
 
 
 def decode_templated(datagrams: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): records in decoded form with arrival, set_no and record_no; rejects exporter, arrival, reason."""
-    sets = sets_of(datagrams)
+    sets, schema = sets_of(datagrams), arrow_schema(RECORD)
     matched = with_templates(sets, known)
     unknown = matched.where("template is null").select("exporter", "arrival", F.lit("unknown template").alias("reason")).distinct()
-    found = matched.where("template is not null").join(unknown.select("exporter", "arrival"), ["exporter", "arrival"], "left_anti").mapInArrow(_decode(arrow_schema(RECORD)), RECORD)
+    found = matched.where("template is not null").join(unknown.select("exporter", "arrival"), ["exporter", "arrival"], "left_anti").mapInArrow(lambda batches: decoded_sets(batches, schema), RECORD)
     found = found.withColumn("first_switched", F.timestamp_micros("first_us")).withColumn("last_switched", F.timestamp_micros("last_us"))
     reason = F.coalesce("fault", refusal(found.columns))
     bad = found.where(reason.isNotNull()).select(F.col("exporter_addr").alias("exporter"), "arrival", reason.alias("reason"))

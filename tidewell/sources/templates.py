@@ -50,4 +50,4 @@ def opened(df: DataFrame) -> DataFrame:
 
 def latest(df: DataFrame, order: str) -> DataFrame:
     """The value of each key that came last; a null value removes its key, as in a compacted log."""
-    return df.groupBy("key").agg(F.max_by(F.struct("value"), F.col(order)).alias("v")).select("key", "v.value").where("value is not null")
+    return df.groupBy("key").agg(F.max_by(F.struct("value"), F.col(order)).alias("v"), F.max(order).alias(order)).select("key", "v.value", order).where("value is not null")

@@ -1,65 +1,143 @@
 """Streaming decoding of version 9 and 10 datagrams: templates live in keyed state for as long as the stream.
 
-Sets are parsed without state, then grouped by exporter, version and domain. Within a micro-batch a key's sets are taken in
-order of arrival; a template set replaces the state's entry, a datagram with a data set of unknown template is rejected whole.
+Sets are parsed without state by whole Arrow batches, as in batch decoding. The state has one map per exporter, version, domain and share:
+template id to its fields and when they were learned. A busy exporter's datagrams are dealt over SHARES shares by
+stretches of arrivals; template sets (few) go to all of them, so each share has every template, and a datagram with all its
+sets is in one share. Within a micro-batch a share's sets are put in order of arrival, each data set takes the template that came last
+before it (else the state's), and all sets of a template are decoded at once. A datagram with a data set of unknown template is
+rejected whole.
+
+A new stream starts from the templates of the shared log (the state's initial rows). Envelopes that other collectors
+add later can come in as a second stream; such a template counts only if it was learned after the one in the state.
 """
 
 from __future__ import annotations
 
-import json
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import network as N
 from ..schema import refusal
 from ..sources import bus, templates
-from ..sources import elements as E
 from ..sources.datagrams import DATAGRAM_DDL
-from ..sources.templated import RECORD, sets_of
+from ..sources.templated import BUCKET, RECORD, SETS, arrow_schema, decoded_sets, sets_of
 from . import ingest
 
-COLUMNS = [c.split(" ")[0] for c in RECORD.split(", ")]
-
-
-def _decode(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    exporter, version, _ = key
-    known = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
-    sets = pd.concat(list(frames)).sort_values(["arrival", "set_no"])
-    for arrival, own in sets.groupby("arrival", sort=True):
-        base = {"exporter_addr": exporter, "flow_type": "netflow9" if version == 9 else "ipfix", "arrival": arrival}
-        rows, fault = [], None
-        for d in own.to_dict("records"):
-            if d["fields"] is not None:
-                known[d["template_id"]] = json.loads(d["fields"])
-                continue
-            if d["template_id"] not in known:
-                fault = "unknown template"
-                continue
-            try:
-                for i, values in enumerate(E.records(d["content"], known[d["template_id"]])):
-                    f = E.flow(values, int(d["boot"]))
-                    rows.append(base | {"received_at": d["received_at"], "set_no": d["set_no"], "record_no": i, "first_us": f.pop("first_switched"), "last_us": f.pop("last_switched")} | f)
-            except E.Malformed as e:
-                rows.append(base | {"received_at": d["received_at"], "fault": str(e)})
-        if fault:
-            rows = [base | {"received_at": own["received_at"].iloc[0], "fault": fault}]
-        if rows:
-            frame = pd.DataFrame(rows).reindex(columns=COLUMNS)
-            numbers = [c.split(" ")[0] for c in RECORD.split(", ") if c.split(" ")[1] in ("bigint", "int", "smallint")]
-            yield frame.astype({c: "Int64" for c in numbers}).astype({c: object for c in COLUMNS if c not in numbers and c != "received_at"}).where(frame.notna(), None)
-    state.update((json.dumps(known),))
-
-
-def decode_stream(datagrams: DataFrame) -> DataFrame:
-    """Decoded records and, with `reason` set, what was rejected; the caller splits them in its batches."""
+#: Shares of an exporter's traffic.
+SHARES = 8
+KEYS = ["exporter", "version", "domain", "share"]
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that come from the log, not from a datagram.
+FROM_LOG = -1
+
+
+def _learn(known, number: int, fields: str, learned_us: int) -> None:
+    """Keeps a template unless the state has a later one."""
+    own = known.getValue((number,)) if known.containsKey((number,)) else None
+    if own is None or own[1] <= learned_us:
+        known.updateValue((number,), (fields, learned_us))
+
+
+def decode_share(key: tuple, rows: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
+    """The records of a share's sets in a micro-batch. known: its map of templates, which is brought up to date."""
+    schema = arrow_schema(RECORD)
+    sets = pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "set_no"], kind="stable", ignore_index=True)
+    logged = sets["arrival"] == FROM_LOG
+    for r in sets[logged].itertuples():
+        _learn(known, int(r.template_id), r.fields, r.received_at.value // 1000)
+    sets = sets[~logged]
+    sets = sets.assign(template=sets.groupby("template_id")["fields"].ffill())
+    for number, own in sets.groupby("template_id"):
+        # sets ahead of the batch's first template take the state's
+        early = own.index[own["template"].isna()]
+        if len(early) and known.containsKey((int(number),)):
+            sets.loc[early, "template"] = known.getValue((int(number),))[0]
+        last = own[own["fields"].notna()].tail(1)
+        for r in last.itertuples():
+            _learn(known, int(number), r.fields, r.received_at.value // 1000)
+    data = sets[sets["content"].notna()]
+    unknown = data["arrival"].isin(data.loc[data["template"].isna(), "arrival"])
+    if unknown.any():
+        bad = data[unknown].drop_duplicates("arrival")[["received_at", "arrival"]].assign(exporter_addr=key[0], fault="unknown template")
+        yield _as_frame(pa.RecordBatch.from_pylist(bad.to_dict("records"), schema))
+        data = data[~unknown]
+    if len(data):
+        own = data.assign(exporter=key[0], version=key[1], domain=key[2])
+        for found in decoded_sets([pa.RecordBatch.from_pandas(own, arrow_schema(SETS.replace("fault", "template")), preserve_index=False)], schema):
+            if found.num_rows:
+                yield _as_frame(found)
+
+
+def _decoder() -> StatefulProcessor:
+    """The processor, of a class that is sent by value: Spark also loads it in a process of the driver that lacks this package."""
+
+    class TemplateDecoder(StatefulProcessor):
+        def init(self, handle) -> None:
+            self._known = handle.getMapState("templates", "template_id int", "fields string, learned_us bigint")
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            from tidewell.streaming.templated import _learn
+
+            for r in initialState.itertuples():
+                _learn(self._known, int(r.template_id), r.fields, int(r.learned_us))
+
+        def handleInputRows(self, key, rows, timerValues):
+            from tidewell.streaming.templated import decode_share
+
+            yield from decode_share(key, rows, self._known)
+
+        def close(self) -> None:
+            pass
+
+    return TemplateDecoder()
+
+
+def _as_frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """Rows for Spark, with whole numbers where some are null."""
+    kinds = {pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+    return batch.to_pandas(types_mapper=kinds.get)
+
+
+def _dealt(sets: DataFrame) -> DataFrame:
+    """Template sets to every share, data sets to the one of their stretch of arrivals."""
+    own = F.array(F.pmod(F.expr(f"arrival div {BUCKET}"), F.lit(SHARES)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(SHARES - 1))
+    return sets.withColumn("share", F.explode(F.when(F.col("fields").isNotNull(), every).otherwise(own)))
+
+
+def logged_templates(log: DataFrame) -> DataFrame:
+    """Templates of envelopes (key, value, timestamp) as sets that come from the log; what isn't one is left out."""
+    parts = templates.with_key_parts(templates.opened(log)).withColumn("exporter", N.ip_bytes(F.col("exporter_text")))
+    sound = parts.where("kind = 'template' and exporter is not null and version in (9, 10) and domain is not null and template_id is not null")
+    return sound.select("exporter", F.col("timestamp").alias("received_at"), F.lit(FROM_LOG).cast("bigint").alias("arrival"), F.lit(0).alias("set_no"), "version", "domain", F.lit(0).cast("bigint").alias("boot"), "template_id", "fields", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("fault"))
+
+
+def decode_stream(datagrams: DataFrame, known: DataFrame | None = None, news: DataFrame | None = None) -> DataFrame:
+    """Decoded records and, with `reason` set, what was rejected (a row a datagram); the caller splits them in its batches.
+
+    known: a log of envelopes as it stands, for a new stream to start from; news: envelopes as they are added. State of this kind
+    needs Spark's RocksDB store, which the session is set to if it names none.
+    """
+    spark = datagrams.sparkSession
+    if spark.conf.get(STATE_STORE, "").rpartition(".")[2] != ROCKS.rpartition(".")[2]:
+        spark.conf.set(STATE_STORE, ROCKS)
     sets = sets_of(datagrams)
-    found = sets.where("fault is null").groupBy("exporter", "version", "domain").applyInPandasWithState(_decode, RECORD, "templates string", "append", GroupStateTimeout.NoTimeout)
+    every = sets.where("fault is null")
+    if news is not None:
+        every = every.unionByName(logged_templates(news))
+    start = None
+    if known is not None:
+        last = logged_templates(templates.latest(known, "timestamp"))
+        start = _dealt(last).select(*KEYS, "template_id", "fields", F.unix_micros("received_at").alias("learned_us")).groupBy(*KEYS)
+    found = _dealt(every).drop("fault").groupBy(*KEYS).transformWithStateInPandas(_decoder(), RECORD, "Append", "None", start)
+    faulty = sets.where("fault is not null").select("received_at", F.col("exporter").alias("exporter_addr"), "arrival", "fault")
+    found = found.unionByName(faulty, allowMissingColumns=True)
     found = found.withColumn("first_switched", F.timestamp_micros("first_us")).withColumn("last_switched", F.timestamp_micros("last_us"))
     return found.withColumn("reason", F.coalesce("fault", refusal(found.columns))).drop("first_us", "last_us", "fault")
 
@@ -82,31 +160,3 @@ def share(spark: SparkSession, folder: str, sink, checkpoint: str, metrics, seco
             ingest.bound(sink, source)(last, batch_id)
 
     return ingest.start(learned(landed), {"templates": publish}, checkpoint, metrics, seconds, once, source="udp")
-
-
-def _template_datagram(version: int, domain: int, number: int, fields: str) -> bytes:
-    """A datagram that holds one template and no data."""
-    body = b""
-    known = json.loads(fields)
-    for element, size, pen in known:
-        body += struct.pack("!HHI", element | 0x8000, size, pen) if pen else struct.pack("!HH", element, size)
-    sets = struct.pack("!HHHH", 0 if version == 9 else 2, 8 + len(body), number, len(known)) + body
-    head = struct.pack("!HHIIII", 9, 1, 0, 0, 0, domain) if version == 9 else struct.pack("!HHIII", 10, 16 + len(sets), 0, 0, domain)
-    return head + sets
-
-
-@F.udf(T.BinaryType())
-def _datagram(version, domain, number, fields):
-    return _template_datagram(version, domain, number, fields)
-
-
-def hydrate(log: DataFrame, folder: str) -> None:
-    """Lands the latest template of each key (key, value, timestamp) ahead of all datagrams, so that a new collector needs not wait for exporters.
-
-    A template is learned from a datagram as any other, so the stream's state is made in one way only.
-    """
-    last = templates.opened(templates.latest(log, "timestamp"))
-    parts = templates.with_key_parts(last).withColumn("exporter", N.ip_bytes(F.col("exporter_text")))
-    parts = parts.where("kind = 'template' and exporter is not null and version in (9, 10) and domain is not null and template_id is not null")
-    landed = parts.select("exporter", F.timestamp_micros(F.lit(0)).alias("received_at"), F.lit(0).cast("bigint").alias("arrival"), _datagram("version", "domain", "template_id", "fields").alias("payload"))
-    landed.write.mode("append").parquet(folder)
