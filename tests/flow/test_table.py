@@ -7,6 +7,9 @@ import pytest
 from tidewell.functions.network import parse_ip
 from tidewell.plans import query as Q
 from tidewell.schema import DECODED
+from tidewell.sinks import snapshots
+from tidewell.sinks import table as table_module
+from tidewell.sinks.snapshots import Snapshots
 from tidewell.sinks.table import FlowTable
 
 from .records import A, B, BASE, WINDOW, batch, frame, record, us
@@ -128,40 +131,119 @@ def test_sources_keep_their_batches_apart(spark, table):
     assert [table.write_batch(batch(spark, 5, first=200), 7, s) for s in ("one", "one", "two")] == [5, 5, 0]
 
 
-@pytest.mark.parametrize("step", ["staging", "marking", "moving in"])
+@pytest.mark.parametrize("step", ["data", "mark"])
 def test_a_crash_loses_nothing(spark, table, monkeypatch, step):
+    """Merging, folding or a batch stops before its data, or before its mark; what readers see stays as it was."""
     for b in range(3):
         table.write_batch(batch(spark, 5, first=10 * b), b)
-    move = FlowTable._move
 
-    def crash(self, path, to):
-        if step == "marking" or "/staged/" in path:
-            raise RuntimeError("crash")
-        move(self, path, to)
+    def crash(*_):
+        raise RuntimeError("crash")
 
-    if step == "staging":
-        monkeypatch.setattr(FlowTable, "_settle", lambda self, name: (_ for _ in ()).throw(RuntimeError("crash")))
-    else:
-        monkeypatch.setattr(FlowTable, "_move", crash)
-    with pytest.raises(RuntimeError):
-        table.compact(BASE.date())
-    monkeypatch.undo()
+    for work in (lambda t: t.compact(BASE.date()), lambda t: t.fold_exporters(), lambda t: t.retain(BASE + dt.timedelta(microseconds=12)), lambda t: t.write_batch(batch(spark, 5, first=70, keyed=False), 7)):
+        monkeypatch.setattr(Snapshots, "_put" if step == "mark" else "folder", crash)
+        with pytest.raises(RuntimeError):
+            work(table)
+        monkeypatch.undo()
+        assert len(stored(table)) == 15 and len(table.list_exporters()) == 1
     again = FlowTable(spark, table.path)
     again.migrate()
-    assert len(stored(again)) == 15
+    assert again.write_batch(batch(spark, 5, first=70, keyed=False), 7) == 5
     again.compact(BASE.date())
     again.compact(BASE.date())
     again.fold_exporters()
-    assert len(stored(again)) == 15 and len(again.list_exporters()) == 1
-    assert again.write_batch(batch(spark, 5), 9) == 0 and again._names(f"{table.path}/staged") == again._names(f"{table.path}/aside") == []
+    assert len(stored(again)) == 20 and len(again.list_exporters()) == 1 and again.write_batch(batch(spark, 5), 9) == 0
+    again.sweep(0)
+    assert len(stored(again)) == 20 and len(again.list_exporters()) == 1
+    assert again._names(f"{table.flows_path}/dt={BASE.date()}") == ["source=-1", "source=0"] and again.inspect() == [(BASE.date(), 20, 1, 1)]
+
+
+def test_a_crash_between_two_days(spark, table, monkeypatch):
+    """A batch over midnight whose first day is marked only: the rest is stored when it comes again, and each row has a seq of its own."""
+    rows = [record(i, at=BASE.replace(hour=23, minute=59) + dt.timedelta(seconds=10 * i), keyed=False) for i in range(12)]
+    put, calls = Snapshots._put, []
+
+    def second(self, unit, name, text=""):
+        if unit.startswith("dt="):
+            calls.append(unit)
+            if len(calls) == 2:
+                raise RuntimeError("crash")
+        put(self, unit, name, text)
+
+    monkeypatch.setattr(Snapshots, "_put", second)
+    with pytest.raises(RuntimeError):
+        table.write_batch(frame(spark, rows), 3)
+    monkeypatch.undo()
+    assert table.read().count() == 6
+    assert [table.write_batch(frame(spark, rows), 3), table.write_batch(frame(spark, rows), 3)] == [12, 12]
+    assert table.read().select("seq").distinct().count() == 12 and [r[1] for r in table.inspect()] == [6, 6]
+
 
+def test_replay_after_merging_changes_nothing(spark, table):
+    """The batch comes again when its day is merged, swept, merged again with others, or over two days of which one is merged."""
+    table.write_batch(batch(spark, 11, keyed=False), 4, "stream")
+    for others in range(3):
+        table.compact(BASE.date())
+        table.sweep(0)
+        assert table.write_batch(batch(spark, 11, keyed=False), 4, "stream") == 11
+        assert table.read().where("from_batch = 4").count() == 11
+        table.write_batch(batch(spark, 2, first=100 * (others + 1), keyed=False), 5 + others, "stream")
+    now = table.flows.at(f"dt={BASE.date()}")
+    assert now.held == {0: [[4, 6]]} and list(now.fresh) == [(0, 7)] and table.read().count() == 17
+    late = BASE.replace(hour=23, minute=59)
+    rows = [record(i, at=late + dt.timedelta(seconds=10 * i), keyed=False) for i in range(12)]
+    table.write_batch(frame(spark, rows), 9, "stream")
+    table.compact(BASE.date())
+    assert table.write_batch(frame(spark, rows), 9, "stream") == 12 and table.read().count() == 29
+
+
+def test_readers_keep_their_snapshot(spark, table, monkeypatch):
+    """At every step of merging and retention, and after them, a reader sees all rows; one that began before goes on."""
+    for b in range(3):
+        table.write_batch(batch(spark, 5, first=10 * b, keyed=False), b)
+    before, seen, put = table.read(), [], Snapshots._put
+
+    def watched(self, unit, name, text=""):
+        seen.append(len(stored(table)))
+        put(self, unit, name, text)
+        seen.append(len(stored(table)))
 
-def test_incomplete_stage_is_dropped(spark, table):
+    monkeypatch.setattr(Snapshots, "_put", watched)
+    table.compact(BASE.date())
+    table.fold_exporters()
+    assert seen == [15] * 4 and before.count() == 15
+    after = table.read()
+    assert table.retain(BASE + dt.timedelta(microseconds=12)) == [] and seen[4:] == [15, 8]
+    assert before.count() == after.count() == 15 and len(stored(table)) == 8
+    assert table.retain(BASE + dt.timedelta(days=2)) == [BASE.date()]
+    assert before.count() == 15 and stored(table) == [] and table.days() == []
+    table.sweep()
+    assert after.count() == 15  # the time of grace isn't over
+    table.sweep(0)
+    assert table.flows.units() == [] and table._names(table.flows_path) == []
+
+
+def test_a_batch_larger_than_one_numbering(spark, table, monkeypatch):
+    """It is stored in slices, once, with keys told apart as ever, and replays know it."""
+    monkeypatch.setattr(table_module, "SLICE", 8)
+    rows = [record(i % 25, keyed=i % 2 == 0) for i in range(40)]
+    wanted = len({(r[0], r[-1]) for r in rows if r[-1]}) + sum(r[-1] is None for r in rows)
+    assert [table.write_batch(frame(spark, rows), 1, "big") for _ in range(2)] == [wanted, wanted]
+    assert table.read().count() == wanted == table.read().select("seq").distinct().count()
+
+
+def test_a_table_without_marks_gets_them(spark, table):
     table.write_batch(batch(spark, 5), 0)
-    fs, p = table._fs(f"{table.path}/staged/flows+dt={BASE.date()}/source=-1/ingest_batch=-1")
-    fs.mkdirs(p)
-    table.recover()
-    assert len(stored(table)) == 5
+    table._fs(table.path)[0].delete(table._fs(f"{table.path}/marks")[1], True)
+    spark.createDataFrame([(1,)], "version long").coalesce(1).write.mode("overwrite").json(table.version_path)
+    again = FlowTable(spark, table.path)
+    again.migrate()
+    assert len(stored(again)) == 5 and again.write_batch(batch(spark, 5), 0) == 5 and len(again.list_exporters()) == 1
+
+
+def test_ranges():
+    assert snapshots.ranges_of([5, 1, 2, 3, 9, 3]) == [[1, 3], [5, 5], [9, 9]]
+    assert snapshots.joined([[7, 9], [1, 2], [3, 3], [8, 12]]) == [[1, 3], [7, 12]]
 
 
 def test_maintenance(spark, table):
@@ -169,7 +251,7 @@ def test_maintenance(spark, table):
         table.write_batch(frame(spark, [record(10 * b + i, at=BASE + dt.timedelta(days=b)) for i in range(3)]), b)
     table.maintain(BASE + dt.timedelta(days=2, hours=5), 1)
     assert [r.src_port % 100 // 10 for r in table.query(Q.FlowQuery(us(BASE) - 10**12, us(BASE) + 10**12)).rows] == [2, 2, 2]
-    assert table.days() == [(BASE + dt.timedelta(days=d)).date() for d in (1, 2)]
+    assert table.days() == [(BASE + dt.timedelta(days=2)).date()]
 
 
 def test_the_drivers_zone_plays_no_part(spark, table, monkeypatch):

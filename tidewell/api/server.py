@@ -15,6 +15,7 @@ from urllib.parse import urlsplit
 from ..functions.network import show_ip
 from ..obs import Metrics
 from ..plans import query as Q
+from ..schema import PUBLIC
 from .openapi import CODES
 from .params import PARAMS, Invalid, bind
 
@@ -34,7 +35,7 @@ class Failure(Exception):
 def shown_flow(r) -> dict:
     """A row as readers see it: no seq, no key, addresses as text, unsigned counters, six digits of a second."""
     r = r.asDict()
-    out = {k: v for k, v in r.items() if k not in ("seq", "dedup_key", "dt", "source", "ingest_batch")}
+    out = {k: v for k, v in r.items() if k in PUBLIC}
     for k in ("received_at", "first_switched", "last_switched"):
         out[k] = out[k].strftime(TIME)
     for k in ("exporter_addr", "src_addr", "dst_addr", "next_hop"):

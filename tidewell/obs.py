@@ -96,3 +96,4 @@ def log_to_stderr(level: str = "info") -> None:
     handler = logging.StreamHandler()
     handler.setFormatter(JsonFormatter())
     logging.basicConfig(level=level.upper(), handlers=[handler], force=True)
+    logging.getLogger("py4j").setLevel(logging.WARNING)  # else each call of a stream's batch is logged, at exit to closed files too

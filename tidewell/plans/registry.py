@@ -361,6 +361,53 @@ def table_write_read(spark, sf_dir):
     return _shown(table.read(), "dedup_key").withColumn("dedup_key", F.decode("dedup_key", "utf-8"))
 
 
+@_register("table_read_while_merging", f"select {_BACK_SQL}, dedup_key from flows")
+def table_read_while_merging(spark, sf_dir):
+    """A reader that began before all days are merged, the exporters folded and the older days dropped reads on in the files that it resolved."""
+    table, f = _table(spark), flows(spark, sf_dir)
+    for batch in (0, 1):
+        table.write_batch(_storable(f.where(f"seq % 2 = {batch}")), batch)
+    reader = table.read()
+    for day in table.days():
+        table.compact(day)
+    table.fold_exporters()
+    table.retain(dt.datetime(2024, 1, 16, 12))
+    table.sweep()
+    return _shown(reader, "dedup_key").withColumn("dedup_key", F.decode("dedup_key", "utf-8"))
+
+
+@_register("table_after_retention", f"select {_BACK_SQL}, dedup_key from flows where received_at >= timestamp '2024-01-16 12:00:00'")
+def table_after_retention(spark, sf_dir):
+    """What is left of a table, merged and not, behind a cutoff at noon; the days before went without being read."""
+    table, f = _table(spark), flows(spark, sf_dir)
+    table.write_batch(_storable(f), 0)
+    table.compact(table.days()[-1])
+    table.retain(dt.datetime(2024, 1, 16, 12))
+    table.sweep(0)
+    return _shown(table.read(), "dedup_key").withColumn("dedup_key", F.decode("dedup_key", "utf-8"))
+
+
+@_register("table_replay_after_merge", "select cast(received_at as date) as day, count(*) as n, cast(sum(bytes) as bigint) as bytes from flows where dedup_key is null group by 1")
+def table_replay_after_merge(spark, sf_dir):
+    """Rows without a key, whose batch comes again when it is stored, when its days are merged, and when what they replaced is deleted."""
+    table, rows = _table(spark), _storable(flows(spark, sf_dir).where("dedup_key is null"))
+    for step in (lambda: None, lambda: None, lambda: [table.compact(d) for d in table.days()], lambda: table.sweep(0)):
+        step()
+        table.write_batch(rows, 7, "edge")
+    return table.read().groupBy(F.col("dt").alias("day")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@_register("table_inspection", "select cast(received_at as date) as day, count(*) as n from flows where received_at >= timestamp '2024-01-16 00:00:00' group by 1")
+def table_inspection(spark, sf_dir):
+    """The rows of each day as the table's marks tell them, some days merged, older ones dropped: no file of data is opened."""
+    table = _table(spark)
+    table.write_batch(_storable(flows(spark, sf_dir)), 0)
+    for day in table.days()[::3]:
+        table.compact(day)
+    table.retain(dt.datetime(2024, 1, 16))
+    return spark.createDataFrame([(d, n) for d, n, _, _ in table.inspect()], "day date, n bigint")
+
+
 _BY_EXPORTER = "select exporter_addr, count(*) as n, cast(sum(bytes) as bigint) as bytes from flows group by exporter_addr"
 
 

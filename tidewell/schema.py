@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 #: The record kinds that exist; fixed values.
 FLOW_TYPES = ("netflow5", "netflow9", "ipfix")
