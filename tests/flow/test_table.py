@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.functions.network import parse_ip
 from tidewell.plans import query as Q
@@ -155,7 +156,7 @@ def test_a_crash_loses_nothing(spark, table, monkeypatch, step):
     assert len(stored(again)) == 20 and len(again.list_exporters()) == 1 and again.write_batch(batch(spark, 5), 9) == 0
     again.sweep(0)
     assert len(stored(again)) == 20 and len(again.list_exporters()) == 1
-    assert again._names(f"{table.flows_path}/dt={BASE.date()}") == ["source=-1", "source=0"] and again.inspect() == [(BASE.date(), 20, 1, 1)]
+    assert again._names(f"{table.flows_path}/dt={BASE.date()}") == ["source=-1", "source=0"] and [(r.day, r.rows, r.waiting, r.version) for r in again.inspect()] == [(BASE.date(), 20, 1, 1)]
 
 
 def test_a_crash_between_two_days(spark, table, monkeypatch):
@@ -176,7 +177,7 @@ def test_a_crash_between_two_days(spark, table, monkeypatch):
     monkeypatch.undo()
     assert table.read().count() == 6
     assert [table.write_batch(frame(spark, rows), 3), table.write_batch(frame(spark, rows), 3)] == [12, 12]
-    assert table.read().select("seq").distinct().count() == 12 and [r[1] for r in table.inspect()] == [6, 6]
+    assert table.read().select("seq").distinct().count() == 12 and [r.rows for r in table.inspect()] == [6, 6]
 
 
 def test_replay_after_merging_changes_nothing(spark, table):
@@ -241,6 +242,18 @@ def test_a_table_without_marks_gets_them(spark, table):
     assert len(stored(again)) == 5 and again.write_batch(batch(spark, 5), 0) == 5 and len(again.list_exporters()) == 1
 
 
+def test_inspection_is_as_a_scan(spark, table):
+    for b, hours in enumerate((0, 30, 1, 31)):
+        table.write_batch(batch(spark, 4, first=10 * b, at=BASE + dt.timedelta(hours=hours)), b)
+    for step in (lambda: None, lambda: table.compact(BASE.date()), lambda: table.retain(BASE + dt.timedelta(hours=1))):
+        step()
+        table.spark.catalog.clearCache()
+        rows = {r.day: r for r in table.inspect()}
+        scan = {r.dt: r for r in table.read().groupBy("dt").agg(F.count("*").alias("n"), F.min(F.unix_micros("received_at")).alias("a"), F.max(F.unix_micros("received_at")).alias("b")).collect()}
+        assert {d: (r.rows, r.first, r.last) for d, r in rows.items()} == {d: (r.n, r.a, r.b) for d, r in scan.items()} and len(rows) == 2
+        assert all(r.bytes > 1000 for r in rows.values())
+
+
 def test_ranges():
     assert snapshots.ranges_of([5, 1, 2, 3, 9, 3]) == [[1, 3], [5, 5], [9, 9]]
     assert snapshots.joined([[7, 9], [1, 2], [3, 3], [8, 12]]) == [[1, 3], [7, 12]]

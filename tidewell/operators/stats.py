@@ -36,6 +36,23 @@ def histogram(df: DataFrame, seconds: Column, bounds: tuple[float, ...]) -> Data
     return counts.select(F.inline(F.array(*pairs, F.struct(F.lit(None).cast("double").alias("le"), F.col("all").alias("n")))))
 
 
+def histograms(df: DataFrame, seconds: Column, bounds: tuple[float, ...], labels: list[str]) -> DataFrame:
+    """As histogram(), for each combination of labels."""
+    counts = df.groupBy(*labels).agg(*(F.count_if(seconds <= b).alias(f"__b{i}") for i, b in enumerate(bounds)), F.count(seconds).alias("__all"))
+    pairs = [F.struct(F.lit(float(b)).alias("le"), F.col(f"__b{i}").alias("n")) for i, b in enumerate(bounds)]
+    return counts.select(*labels, F.inline(F.array(*pairs, F.struct(F.lit(None).cast("double").alias("le"), F.col("__all").alias("n")))))
+
+
+def sketched(value: Column, k: int = 400) -> Column:
+    """A KLL sketch of doubles: of bounded size, and merged with others later."""
+    return F.kll_sketch_agg_double(value, k)
+
+
+def merged_quantile(sketches: DataFrame, column: str, q: float) -> DataFrame:
+    """The quantile of all that the sketches have seen."""
+    return sketches.agg(F.kll_merge_agg_double(column).alias("s")).select(F.kll_sketch_get_quantile_double("s", F.lit(q)).alias("quantile"))
+
+
 def rate(flows: DataFrame, width: str = "5 minutes", seconds: int = 300) -> DataFrame:
     """Rows and rows per second of each window of time that has any."""
     windows = flows.groupBy(F.window("received_at", width).alias("w")).agg(F.count("*").alias("n"))

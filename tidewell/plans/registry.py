@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network as N
 from ..obs import Metrics
-from ..operators import dedup, exporters, stats
+from ..operators import alerts, dedup, exporters, stats
 from ..operators import predicates as P
 from ..schema import DECODED, RECORD_DDL
 from ..session import scratch
@@ -178,6 +178,64 @@ def rate_5m(spark, sf_dir):
     return stats.rate(flows(spark, sf_dir))
 
 
+#: A counter of bytes per exporter, sampled at each flow; its process begins anew every day at six.
+_SAMPLES = "select exporter_id, received_at as t, seq, sum(bytes) over (partition by exporter_id, cast(received_at - interval '6' hour as date) order by received_at, seq) as value from flows"
+#: Samples, and what each rose by since the one before; SQL that Spark and DuckDB both read up to here.
+_ROSE = "select exporter_id, t, value, lag(value) over (partition by exporter_id order by t, value) as before from samples"
+_WINDOWED = """, samples as (""" + _SAMPLES + """), steps as (select *, case when before is null then 0 when value >= before then value - before else value end as rose from (""" + _ROSE + """)),
+seen as (select exporter_id, t, value, rose, (epoch_us(t) // 3600000000) + k + 1 as ends from steps, (select unnest(range(0, 3)) as k)),
+each as (select exporter_id, ends, count(*) as n, epoch_us(min(t)) as first_us, epoch_us(max(t)) as last_us, arg_min(value, t) as first_value, sum(rose) - arg_min(rose, t) as rose from seen group by 1, 2 having count(*) >= 2),
+"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_SAMPLES.replace("from flows", "from {flows}"), flows=flows(spark, sf_dir)).drop("seq")
+
+
+@_register("counter_increase", WITH.strip() + _WINDOWED.rstrip().rstrip(",") + " select exporter_id, make_timestamp(cast(ends * 3600000000 as bigint)) as window_end, cast(rose as bigint) as increase from each")
+def counter_increase(spark, sf_dir):
+    """What each exporter's counter rose by in the three hours to each full hour; it is reset once a day."""
+    found = alerts.counter_rate(_samples(spark, sf_dir), ["exporter_id"], 3 * 3600, 3600, at="t", carry_on=False)
+    return found.select("exporter_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"), F.col("increase").cast("bigint").alias("increase"))
+
+
+_EDGES = """spans as (select *, (last_us - first_us) / 1e6 as spanned, (last_us - first_us) / 1e6 / (n - 1) as mean, (first_us - (ends - 3) * 3600000000) / 1e6 as a, (ends * 3600000000 - last_us) / 1e6 as z from each),
+carried as (select *, least(case when a < mean * 1.1 then a else mean / 2 end, case when rose > 0 then spanned * first_value / rose end) + case when z < mean * 1.1 then z else mean / 2 end as beyond from spans)
+select exporter_id, make_timestamp(cast(ends * 3600000000 as bigint)) as window_end, round(case when spanned > 0 then rose * (spanned + beyond) / spanned else rose end / 10800.0, 4) as per_second from carried"""
+
+
+@_register("counter_rate", WITH.strip() + _WINDOWED + _EDGES)
+def counter_rate(spark, sf_dir):
+    found = alerts.counter_rate(_samples(spark, sf_dir), ["exporter_id"], 3 * 3600, 3600, at="t")
+    return found.select("exporter_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"), F.round("per_second", 4).alias("per_second"))
+
+
+_BUCKETS = "select exporter_id, cast(received_at as date) as day, (seq * 7919 % 70000) / 100.0::double as lag from flows"
+_LE = ", ".join(map(str, stats.LAG_BOUNDS))
+
+
+@_register("histogram_quantile", f"""{WITH.strip()}, lags as ({_BUCKETS}), bounds as (select unnest([{_LE}])::double as le union all select 'infinity'::double),
+counts as (select exporter_id, day, le, count(*) filter (lag <= le) as n from lags, bounds group by 1, 2, 3),
+placed as (select *, lag(n, 1, 0) over w as under, lag(le, 1, 0.0) over w as start, max(n) over (partition by exporter_id, day) as total from counts window w as (partition by exporter_id, day order by le)),
+hit as (select *, row_number() over (partition by exporter_id, day order by le) as k from placed where n >= 0.95 * total)
+select exporter_id, day, round(case when isinf(le) then start else start + (le - start) * (0.95 * total - under) / (n - under) end, 6) as quantile from hit where k = 1""")
+def histogram_quantile(spark, sf_dir):
+    """The 0.95 quantile of the lag of each exporter and day, from cumulative buckets."""
+    f = flows(spark, sf_dir).withColumn("day", F.to_date("received_at"))
+    buckets = stats.histograms(f, _lag(), stats.LAG_BOUNDS, ["exporter_id", "day"])
+    return alerts.histogram_quantile(buckets, 0.95, ["exporter_id", "day"]).withColumn("quantile", F.round("quantile", 6))
+
+
+@_register("p95_sketched", "select count(*) as n, true as close from flows")
+def p95_sketched(spark, sf_dir):
+    """The 0.95 quantile of the lag from a sketch a day, merged: its rank is within 0.02 of the one asked for."""
+    f = flows(spark, sf_dir).withColumn("lag", _lag().cast("double"))
+    days = f.groupBy(F.to_date("received_at")).agg(stats.sketched(F.col("lag")).alias("sketch"))
+    found = stats.merged_quantile(days, "sketch", 0.95).first()["quantile"]
+    share = F.avg((F.col("lag") <= found).cast("double"))
+    return f.agg(F.count("*").alias("n"), (F.abs(share - 0.95) < 0.02).alias("close"))
+
+
 @_register("p95_lag", "select round(quantile_cont((seq * 7919 % 70000) / 100.0::double, 0.95), 6) as quantile, count(*) as n from flows")
 def p95_lag(spark, sf_dir):
     return stats.quantile(flows(spark, sf_dir), _lag()).withColumn("quantile", F.round("quantile", 6))
@@ -397,15 +455,17 @@ def table_replay_after_merge(spark, sf_dir):
     return table.read().groupBy(F.col("dt").alias("day")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@_register("table_inspection", "select cast(received_at as date) as day, count(*) as n from flows where received_at >= timestamp '2024-01-16 00:00:00' group by 1")
+@_register("table_inspection", "select cast(received_at as date) as day, count(*) as n, min(received_at) as first_at, max(received_at) as last_at from flows where received_at >= timestamp '2024-01-16 00:00:00' group by 1")
 def table_inspection(spark, sf_dir):
-    """The rows of each day as the table's marks tell them, some days merged, older ones dropped: no file of data is opened."""
+    """The rows and the span of each day as the table's marks tell them, some days merged, older ones dropped: no file of data is opened."""
     table = _table(spark)
     table.write_batch(_storable(flows(spark, sf_dir)), 0)
     for day in table.days()[::3]:
         table.compact(day)
     table.retain(dt.datetime(2024, 1, 16))
-    return spark.createDataFrame([(d, n) for d, n, _, _ in table.inspect()], "day date, n bigint")
+    found = spark.createDataFrame([(r.day, r.rows, r.first, r.last) for r in table.inspect()], "day date, n bigint, a bigint, z bigint")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.select("day", "n", at("a").alias("first_at"), at("z").alias("last_at"))
 
 
 _BY_EXPORTER = "select exporter_addr, count(*) as n, cast(sum(bytes) as bigint) as bytes from flows group by exporter_addr"

@@ -197,12 +197,15 @@ class FlowTable:
         rows = rows.hint("rebalance", "dt") if len(todo) > FEW_DAYS else rows
         placed = rows.sortWithinPartitions("dt", "received_at", "seq").select(*(f.name for f in self._schema))
         seen = Observation()
-        placed = placed.observe(seen, *(F.count_if(F.col("dt") == F.lit(d)).alias(str(d)) for d in todo))
+        of_day = lambda d: F.when(F.col("dt") == F.lit(d), F.unix_micros("received_at"))
+        placed = placed.observe(seen, *(f(of_day(d)).alias(f"{d} {n}") for d in todo for n, f in (("rows", F.count), ("first", F.min), ("last", F.max))))
         bloom = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("exporter_id", "src_addr", "dst_addr")}
         placed.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **bloom).partitionBy("dt", "source", "ingest_batch").parquet(self.flows_path)
         for d in todo:
-            self.flows.commit(f"dt={d}", number, batch_id, seen.get[str(d)])
-        return facts["n"], new + sum(seen.get[str(d)] for d in todo)
+            rows, *span = (seen.get[f"{d} {n}"] for n in ("rows", "first", "last"))
+            self.flows.commit(f"dt={d}", number, batch_id, rows, span if rows else None)
+            new += rows
+        return facts["n"], new
 
     def _once(self, batch: DataFrame, number: int, batch_id: int, first: int, last: int) -> DataFrame:
         """The rows whose key comes for the first time, within the batch and in the table."""
@@ -232,13 +235,14 @@ class FlowTable:
         """The days that have rows."""
         return [self._day(u) for u in self._units() if self.flows.folders(u)]
 
-    def inspect(self) -> list[tuple[dt.date, int, int, int]]:
-        """Day, rows, batches that wait to be merged and version of each day with rows, from the marks alone."""
-        found = [(self._day(u), self.flows.at(u)) for u in self._units()]
-        return [(d, s.count, len(s.fresh), s.version) for d, s in found if s.count]
+    def inspect(self) -> list[Row]:
+        """Of each day with rows: day, rows, bytes, first and last time (microseconds), batches that wait to be merged, version. Marks and sizes of files tell it; no file is opened."""
+        made = Row("day", "rows", "bytes", "first", "last", "waiting", "version")
+        found = [(u, self.flows.at(u)) for u in self._units()]
+        return [made(self._day(u), s.count, self.flows.size(u, s), *(s.times or (None, None)), len(s.fresh), s.version) for u, s in found if s.count]
 
     def _replace_day(self, day: dt.date, rows: DataFrame, snapshot) -> None:
-        self.flows.replace(f"dt={day}", snapshot, rows.drop("dt", "source", "ingest_batch").hint("rebalance").sortWithinPartitions("received_at", "seq"))
+        self.flows.replace(f"dt={day}", snapshot, rows.drop("dt", "source", "ingest_batch").hint("rebalance").sortWithinPartitions("received_at", "seq"), "received_at")
 
     def compact(self, day: dt.date) -> None:
         """Merges a day's small files into a new version. Batches that come again are known by it."""
