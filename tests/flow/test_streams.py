@@ -10,7 +10,7 @@ import time
 import pytest
 
 from tidewell.functions.network import parse_ip
-from tidewell.obs import Metrics
+from tidewell.obs import Metrics, StreamWatch
 from tidewell.plans import query as Q
 from tidewell.sinks.messages import EnvelopeFolder, MessageFolder
 from tidewell.sinks.table import FlowTable
@@ -77,6 +77,67 @@ def test_drop_on_error_goes_on(spark, tmp_path):
     assert metrics.value("batch_write_errors", sink="broken") == 1
 
 
+def test_at_most_once_loses_the_begun_batch_alone(spark, tmp_path, monkeypatch):
+    """The process fails in its second batch: when it starts again that batch is counted as lost, what follows is taken, and what was taken isn't again."""
+    messages, metrics, seen = MessageFolder(str(tmp_path / "bus")), Metrics(), []
+    measured, calls = ingest.measured, []
+
+    def failing(df):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("the process fails")
+        return measured(df)
+
+    def go():
+        sinks = {"sink": lambda df, batch_id: seen.extend(r.src_port - 40000 for r in df.collect())}
+        ingest.messages_of(bus.folder_stream(spark, messages.path, most_files=1), sinks, str(tmp_path / "ck"), metrics, str(tmp_path / "q"), once=True, delivery=ingest.AT_MOST_ONCE).awaitTermination()
+
+    monkeypatch.setattr(ingest, "measured", failing)
+    for i in range(3):
+        messages.write_batch(batch(spark, 4, first=10 * i).coalesce(1), i)
+    with pytest.raises(Exception, match="process fails"):
+        go()
+    taken = len(seen)
+    go()
+    assert taken == 4 and len(seen) == len(set(seen)) == 8 and metrics.value("records_dropped", reason="at_most_once") == 4
+    go()
+    assert len(seen) == 8
+
+
+def test_refused_sinks_lose_a_batch_at_most_once(spark, tmp_path):
+    messages, metrics = MessageFolder(str(tmp_path / "bus")), Metrics()
+    messages.write_batch(batch(spark, 4), 0)
+
+    def broken(df, batch_id):
+        raise RuntimeError("always")
+
+    ingest.messages_of(bus.folder_stream(spark, messages.path), {"broken": broken}, str(tmp_path / "ck"), metrics, str(tmp_path / "q"), once=True, delivery=ingest.AT_MOST_ONCE).awaitTermination()
+    assert metrics.value("batch_write_errors", sink="broken") == 1 and metrics.value("source_rewinds", source="bus") == 0
+
+
+def test_streams_are_watched(spark, tmp_path):
+    metrics = Metrics()
+    watch = StreamWatch(metrics)
+    spark.streams.addListener(watch)
+    try:
+        messages = MessageFolder(str(tmp_path / "bus"))
+        messages.write_batch(batch(spark, 6), 0)
+        records = wire.good(bus.folder_stream(spark, messages.path))
+        ingest.start(records, {"none": lambda df, i: df.count()}, str(tmp_path / "ck"), metrics, once=True, name="watched").awaitTermination()
+        until = time.time() + 20
+        while time.time() < until and not metrics.value("stream_batch_seconds", stream="watched"):
+            time.sleep(0.1)
+        assert metrics.value("stream_batch_seconds", stream="watched") > 0 and "tidewell_stream_rows_per_second{stream=\"watched\"}" in metrics.text()
+    finally:
+        spark.streams.removeListener(watch)
+
+
+def test_lag_of_points():
+    m = Metrics()
+    ingest.count_lag(m, 7, [0, 50_000_000, 100_000_000], 100.0)
+    assert m.value("visibility_lag_seconds_count") == 7 and m.value("visibility_lag_seconds_bucket", le=60) == 5 and m.value("visibility_lag_seconds_bucket", le=0.1) == 3
+
+
 def test_datagram_stream_keeps_templates_over_batches(spark, tmp_path):
     folder, table, metrics = str(tmp_path / "landed"), table_at(spark, tmp_path / "t"), Metrics()
     go = lambda: records_of(spark, folder, {"table": table.write_batch}, str(tmp_path / "ck"), metrics, once=True).awaitTermination()

@@ -54,7 +54,7 @@ def run(settings: config.Config, spark=None, stop: threading.Event | None = None
     from pyspark.sql import SparkSession
 
     from .api.server import Service, serve
-    from .obs import Metrics, log_to_stderr
+    from .obs import Metrics, StreamWatch, log_to_stderr
     from .session import ship
     from .sources import bus
     from .sources.landing import Landing
@@ -67,20 +67,21 @@ def run(settings: config.Config, spark=None, stop: threading.Event | None = None
     metrics, stop, seconds, own = metrics or Metrics(), stop or threading.Event(), settings.batch_seconds, settings.checkpoint_path
     stores = _stores(settings, spark)
     sinks = {n: ingest.stored(s, metrics) if n == "table" else s.write_batch for n, s in stores.items()}
-    queries, landing, server = [], None, None
+    queries, landing, server, watch = [], None, None, StreamWatch(metrics)
+    spark.streams.addListener(watch)
     if "udp" in settings.sources:
         shared, news, publish = _template_log(settings, spark)
         landing = Landing(settings.landing_path, metrics, settings.buffer, settings.batch_size, seconds)
         landing.start(*_split(settings.udp_addr))
         # what others learned comes before what is heard
-        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds, known=shared and shared(), news=news and news()))
+        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds, known=shared and shared(), news=news and news(), delivery=settings.delivery))
         if publish:
             queries.append(templated.share(spark, settings.landing_path, publish.write_batch, f"{own}/templates", metrics, seconds))
     arriving = {f"{own}/bus": lambda: bus.kafka_stream(spark, list(settings.bus_brokers), settings.bus_topic)} if "bus" in settings.sources else {}
     if "folder" in settings.sources:
         arriving |= {f"{own}/inbox-{i}": lambda p=p: bus.folder_stream(spark, p) for i, p in enumerate(settings.inbox_paths)}
     for at, messages in arriving.items():
-        queries.append(ingest.messages_of(messages(), sinks, at, metrics, f"{own}/quarantine", seconds))
+        queries.append(ingest.messages_of(messages(), sinks, at, metrics, f"{own}/quarantine", seconds, delivery=settings.delivery))
     if settings.http_addr:
         server = serve(Service(stores, settings.api_keys, metrics), *_split(settings.http_addr))
         threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -101,6 +102,7 @@ def run(settings: config.Config, spark=None, stop: threading.Event | None = None
     for q in queries:
         ingest.drain(q)
     keeper.join(30)
+    spark.streams.removeListener(watch)
     return int(failed)
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 
 PREFIX = "TIDEWELL_"
 WALK = 10
-SOURCES, SINKS, LEVELS = ("udp", "bus", "folder"), ("table", "folder", "bus"), ("debug", "info", "warn", "error")
+SOURCES, SINKS, LEVELS, DELIVERIES = ("udp", "bus", "folder"), ("table", "folder", "bus", "sql"), ("debug", "info", "warn", "error"), ("at_least_once", "at_most_once")
 
 
 class ConfigError(ValueError):
@@ -33,6 +33,9 @@ class Config:
     inbox_paths: tuple[str, ...] = ()
     template_topic: str = ""
     template_path: str = ""
+    template_seconds: float = 15.0
+    delivery: str = "at_least_once"
+    sql_url: str = field(default="", repr=False)
     maintenance_seconds: float = 3600.0
     buffer: int = 65_536
     batch_size: int = 2000
@@ -44,6 +47,8 @@ class Config:
         bad = lambda name, what: out.append(f"{PREFIX}{name.upper()}: {what}")
         if self.log_level not in LEVELS:
             bad("log_level", f"must be one of {', '.join(LEVELS)}")
+        if self.delivery not in DELIVERIES:
+            bad("delivery", f"must be one of {', '.join(DELIVERIES)}")
         for name, known in (("sources", SOURCES), ("sinks", SINKS)):
             for x in getattr(self, name):
                 if x not in known:
@@ -57,10 +62,10 @@ class Config:
         for name in ("retention_days", "buffer", "batch_size"):
             if getattr(self, name) < 1:
                 bad(name, "must be at least 1")
-        for name in ("batch_seconds", "maintenance_seconds"):
+        for name in ("batch_seconds", "maintenance_seconds", "template_seconds"):
             if getattr(self, name) <= 0:
                 bad(name, "must be over 0")
-        needs = {"table_path": "table" in self.sinks, "folder_path": "folder" in self.sinks, "bus_brokers": "bus" in self.sources + self.sinks, "bus_topic": "bus" in self.sources + self.sinks, "udp_addr": "udp" in self.sources, "landing_path": "udp" in self.sources, "inbox_paths": "folder" in self.sources}
+        needs = {"table_path": "table" in self.sinks, "folder_path": "folder" in self.sinks, "sql_url": "sql" in self.sinks, "bus_brokers": "bus" in self.sources + self.sinks, "bus_topic": "bus" in self.sources + self.sinks, "udp_addr": "udp" in self.sources, "landing_path": "udp" in self.sources, "inbox_paths": "folder" in self.sources}
         for name, needed in needs.items():
             if needed and not getattr(self, name):
                 bad(name, "is required")

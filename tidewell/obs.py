@@ -8,17 +8,23 @@ import logging
 import re
 import threading
 
+from pyspark.sql.streaming import StreamingQueryListener
+
 from .operators.stats import LAG_BOUNDS, WRITE_BOUNDS
 
 #: Name: kind, help, labels whose first values are shown from the start.
 INSTRUMENTS = {
     "decode_errors": ("counter", "Datagrams or messages that did not decode.", {"source": ("udp", "bus")}),
     "records_ingested": ("counter", "Records taken into the buffer.", {"source": ("udp", "bus")}),
-    "records_dropped": ("counter", "Records dropped in place of being buffered.", {"reason": ("buffer_full", "shutdown")}),
+    "records_dropped": ("counter", "Records dropped in place of being buffered.", {"reason": ("buffer_full", "shutdown", "at_most_once")}),
     "deduped_rows": ("counter", "Rows that were stored before.", {}),
     "batch_write_errors": ("counter", "Batches that a sink refused.", {"sink": ()}),
     "source_rewinds": ("counter", "Batches that were delivered again.", {"source": ("udp", "bus")}),
     "buffer_length": ("gauge", "Records that wait in the buffer.", {}),
+    "stream_rows_per_second": ("gauge", "Rows that a stream's last batch took in a second.", {"stream": ()}),
+    "stream_batch_seconds": ("gauge", "Time of a stream's last batch, from its trigger to its commit.", {"stream": ()}),
+    "stream_state_rows": ("gauge", "Rows that a stream keeps in state.", {"stream": ()}),
+    "stream_failures": ("counter", "Streams that ended with an error.", {}),
     "batch_write_seconds": ("histogram", "Time of a batch's write.", {"sink": ()}),
     "visibility_lag_seconds": ("histogram", "Time from receipt to the end of the write.", {}),
 }
@@ -41,9 +47,9 @@ class Metrics:
             key = (name, tuple(sorted(labels.items())))
             self._values[key] = self._values.get(key, 0) + n
 
-    def set(self, name: str, value: float) -> None:
+    def set(self, name: str, value: float, **labels) -> None:
         with self._lock:
-            self._values[name, ()] = value
+            self._values[name, tuple(sorted(labels.items()))] = value
 
     def observe(self, name: str, seconds: float, n: int = 1, **labels) -> None:
         own = tuple(sorted(labels.items()))
@@ -71,6 +77,30 @@ class Metrics:
         return "\n".join(out) + "\n"
 
 
+class StreamWatch(StreamingQueryListener):
+    """Brings what Spark tells of its streams into the same metrics as all else: spark.streams.addListener(StreamWatch(metrics))."""
+
+    def __init__(self, metrics: Metrics):
+        self.metrics = metrics
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        stream = p.name or str(p.id)
+        self.metrics.set("stream_rows_per_second", p.processedRowsPerSecond or 0, stream=stream)
+        self.metrics.set("stream_batch_seconds", (p.durationMs or {}).get("triggerExecution", 0) / 1000, stream=stream)
+        self.metrics.set("stream_state_rows", sum(o.numRowsTotal for o in p.stateOperators), stream=stream)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.metrics.count("stream_failures")
+
+
 SECRET = re.compile(r"(?i)(password|secret|token|api[_-]?keys?|authorization|dsn)")
 URL_PASSWORD = re.compile(r"(://[^:/@\s]+:)[^@/\s]+@")
 

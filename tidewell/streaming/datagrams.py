@@ -14,22 +14,13 @@ from . import ingest
 from .templated import decode_stream
 
 
-def records_of(spark: SparkSession, folder: str, sinks: dict[str, ingest.Sink], checkpoint: str, metrics: Metrics, seconds: float = 1.0, once: bool = False, known: DataFrame | None = None, news: DataFrame | None = None) -> StreamingQuery:
+def records_of(spark: SparkSession, folder: str, sinks: dict[str, ingest.Sink], checkpoint: str, metrics: Metrics, seconds: float = 1.0, once: bool = False, known: DataFrame | None = None, news: DataFrame | None = None, delivery: str = ingest.AT_LEAST_ONCE) -> StreamingQuery:
     """Decodes what lands in a folder and fans it out. What doesn't decode is counted and never stops the stream. known, news: shared templates, as in decode_stream."""
     landed = bus.folder_stream(spark, folder, schema=DATAGRAM_DDL)
-    own = ingest.identity(spark, checkpoint)
 
     five = decode_v5(landed).select(*DECODED, F.lit(None).cast("string").alias("reason"))
     bad = undecodable(landed).select(*(F.lit(None).cast(five.schema[c].dataType).alias(c) for c in DECODED), "reason")
     others = decode_stream(landed, known, news).select(*DECODED, "reason")
     every = five.unionByName(bad).unionByName(others)
 
-    def split(name: str, sink: ingest.Sink) -> ingest.Sink:
-        sink = ingest.bound(sink, own)
-        return lambda batch, batch_id: sink(batch.where("reason is null").select(*DECODED), batch_id)
-
-    def counted(batch: DataFrame, batch_id: int) -> None:
-        if n := batch.where("reason is not null").count():
-            metrics.count("decode_errors", n, source="udp")
-
-    return ingest.start(every, {n: split(n, s) for n, s in sinks.items()} | {"decode errors": counted}, checkpoint, metrics, seconds, once, source="udp")
+    return ingest.start(every, sinks, checkpoint, metrics, seconds, once, source="udp", delivery=delivery)
