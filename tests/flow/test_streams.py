@@ -14,7 +14,7 @@ from tidewell.obs import Metrics, StreamWatch
 from tidewell.plans import query as Q
 from tidewell.sinks.messages import EnvelopeFolder, MessageFolder
 from tidewell.sinks.table import FlowTable
-from tidewell.sources import bus, wire
+from tidewell.sources import bus, templates, wire
 from tidewell.sources import templated as batch_decoder
 from tidewell.sources.datagrams import DATAGRAM_DDL
 from tidewell.sources.landing import Buffer, Landing
@@ -218,7 +218,7 @@ def test_templates_are_shared_and_come_first(spark, tmp_path):
     templated.share(spark, str(tmp_path / "a"), shared.write_batch, str(tmp_path / "cka"), metrics, once=True).awaitTermination()
     landed(spark, v9(data_set())).write.parquet(f"{tmp_path}/b/2")
     table = table_at(spark, tmp_path / "t")
-    records_of(spark, str(tmp_path / "b"), {"table": table.write_batch}, str(tmp_path / "ckb"), metrics, once=True, known=bus.folder_table(spark, shared.path)).awaitTermination()
+    records_of(spark, str(tmp_path / "b"), {"table": table.write_batch}, str(tmp_path / "ckb"), metrics, once=True, known=shared.read(spark)).awaitTermination()
     assert [r.flow_type for r in table.query(Q.FlowQuery(**WINDOW)).rows] == ["netflow9"] and metrics.value("decode_errors", source="udp") == 0
 
 
@@ -228,6 +228,38 @@ def decoded(spark, folder, checkpoint, out, **shared):
     return spark.read.parquet(str(out))
 
 
+def test_log_compaction(spark, tmp_path):
+    """The last value of a key stays, a null one ends it; a reader keeps what its mark covers; a segment that comes again changes nothing."""
+    log = EnvelopeFolder(str(tmp_path / "log"))
+    log.create(spark)
+    at = lambda s: BASE + dt.timedelta(seconds=s)
+    tell = lambda n, *rows, source="one": log.write_batch(spark.createDataFrame(rows, bus.MESSAGES), n, source)
+    values = lambda df: sorted((r.key, r.value) for r in df.collect())
+    assert values(log.read(spark)) == [] and log.compact(spark) == 0
+    tell(0, ("a", "1", at(1)), ("b", "1", at(1)))
+    tell(0, ("a", "3", at(3)), source="two")
+    mark = log.mark(spark)
+    tell(1, ("a", "2", at(2)), ("b", None, at(5)), ("c", "9", at(0)))
+    assert values(log.read(spark, mark)) == [("a", "1"), ("a", "3"), ("b", "1")]
+    before = log.read(spark)
+    assert log.compact(spark) == 3 and values(log.read(spark)) == [("a", "3"), ("b", None), ("c", "9")]
+    assert before.count() == 6 and log.read(spark, mark).count() == 3
+    tell(1, ("a", "2", at(2)), ("b", None, at(5)), ("c", "9", at(0)))
+    tell(2, ("c", "10", at(9)), ("b", "late", at(4)))
+    assert log.read(spark).count() == 5
+    assert log.compact(spark, grace=0) == 3 and values(templates.latest(log.read(spark), "timestamp")) == [("a", "3"), ("c", "10")]
+    tell(3, ("d", "1", at(1)))
+    assert log.compact(spark, grace=0, forget=at(6)) == 3 and values(log.read(spark)) == [("a", "3"), ("c", "10"), ("d", "1")]
+
+
+def test_replay_of_templates_has_a_timeout(spark, tmp_path):
+    log = EnvelopeFolder(str(tmp_path / "log"))
+    log.write_batch(spark.createDataFrame([("k", "1", BASE), ("k", "2", BASE + dt.timedelta(seconds=1))], bus.MESSAGES), 0)
+    assert [r.value for r in templated.replayed(lambda: log.read(spark), f"{tmp_path}/known", 60).collect()] == ["2"]
+    assert templated.replayed(lambda: time.sleep(2), f"{tmp_path}/slow", 0.1) is None
+    assert templated.replayed(lambda: spark.read.parquet(f"{tmp_path}/nowhere"), f"{tmp_path}/none", 60) is None
+
+
 def raw_set(number, content):
     return struct.pack("!HH", number, 4 + len(content)) + content
 
@@ -259,7 +291,7 @@ def test_templates_of_others_arrive_while_the_stream_runs(spark, tmp_path):
     envelope = '{"kind":"template","record":%s}' % json.dumps([[*f, 0] for f in SHORT])
     tell = lambda n, *rows: log.write_batch(spark.createDataFrame(rows, bus.MESSAGES), n)
     tell(0, ("192.0.2.7/9/100/256", envelope, BASE), ("poison", envelope, BASE), ("192.0.2.7/9/100/300", "{", BASE))
-    go = lambda: decoded(spark, tmp_path / "in", tmp_path / "ck", tmp_path / "out", news=bus.folder_stream(spark, log.path))
+    go = lambda: decoded(spark, tmp_path / "in", tmp_path / "ck", tmp_path / "out", news=bus.folder_stream(spark, f"{log.path}/{log.UNIT}"))
 
     def land(n, *payloads):
         rows = [(parse_ip("192.0.2.7"), BASE + dt.timedelta(hours=n), 10 * n + i, p) for i, p in enumerate(payloads)]

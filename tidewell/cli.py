@@ -45,7 +45,7 @@ def _template_log(settings: config.Config, spark):
     if settings.template_path:
         folder = EnvelopeFolder(settings.template_path)
         folder.create(spark)
-        return lambda: bus.folder_table(spark, settings.template_path), lambda: bus.folder_stream(spark, settings.template_path), folder
+        return lambda: folder.read(spark), lambda: bus.folder_stream(spark, f"{settings.template_path}/{folder.UNIT}"), folder
     return None, None, None
 
 
@@ -73,8 +73,9 @@ def run(settings: config.Config, spark=None, stop: threading.Event | None = None
         shared, news, publish = _template_log(settings, spark)
         landing = Landing(settings.landing_path, metrics, settings.buffer, settings.batch_size, seconds)
         landing.start(*_split(settings.udp_addr))
-        # what others learned comes before what is heard
-        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds, known=shared and shared(), news=news and news(), delivery=settings.delivery))
+        # what others learned comes before what is heard, unless it takes too long
+        known = shared and templated.replayed(shared, f"{own}/known-templates", settings.template_seconds)
+        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds, known=known, news=news and news(), delivery=settings.delivery))
         if publish:
             queries.append(templated.share(spark, settings.landing_path, publish.write_batch, f"{own}/templates", metrics, seconds))
     arriving = {f"{own}/bus": lambda: bus.kafka_stream(spark, list(settings.bus_brokers), settings.bus_topic)} if "bus" in settings.sources else {}

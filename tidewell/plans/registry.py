@@ -15,9 +15,9 @@ from ..operators import alerts, dedup, exporters, stats
 from ..operators import predicates as P
 from ..schema import DECODED, RECORD_DDL
 from ..session import scratch
-from ..sinks.messages import MessageFolder
+from ..sinks.messages import EnvelopeFolder, MessageFolder
 from ..sinks.table import FlowTable
-from ..sources import bus, datagrams, templated, wire
+from ..sources import bus, datagrams, templated, templates, wire
 from ..streaming import ingest
 from ..streaming.templated import decode_stream
 from . import query as Q
@@ -468,6 +468,23 @@ def table_inspection(spark, sf_dir):
     return found.select("day", "n", at("a").alias("first_at"), at("z").alias("last_at"))
 
 
+@_register("log_compaction", "select exporter_addr as key, arg_max(cast(bytes as varchar), seq) as value from flows group by exporter_addr having max(seq) % 3 <> 0")
+def log_compaction(spark, sf_dir):
+    """A log told in three segments, one of them twice, and compacted between them; keys whose last value is null are gone."""
+    log, f = EnvelopeFolder(scratch(spark, "log")), flows(spark, sf_dir)
+    last = f.groupBy("exporter_addr").agg(F.max("seq").alias("last"))
+    gone = (F.col("seq") == F.col("last")) & (F.col("last") % 3 == 0)
+    told = f.join(F.broadcast(last), "exporter_addr")  # 16 exporters by the view's definition
+    value = F.when(~gone, F.col("bytes").cast("string"))
+    told = told.select(F.col("exporter_addr").alias("key"), value.alias("value"), F.timestamp_micros("seq").alias("timestamp"), "seq")
+    for segment in (0, 1, 1, 2):
+        log.write_batch(told.where(f"seq % 3 = {segment}").drop("seq"), segment)
+        if segment == 1:
+            log.compact(spark)
+    log.compact(spark, grace=0)
+    return templates.latest(log.read(spark), "timestamp").select("key", "value")
+
+
 _BY_EXPORTER = "select exporter_addr, count(*) as n, cast(sum(bytes) as bigint) as bytes from flows group by exporter_addr"
 
 

@@ -48,6 +48,7 @@ def opened(df: DataFrame) -> DataFrame:
     return df.withColumns({"kind": F.get_json_object("value", "$.kind"), "fields": F.get_json_object("value", "$.record")}).where(F.col("kind").isin(*KINDS) & F.col("fields").isNotNull())
 
 
-def latest(df: DataFrame, order: str) -> DataFrame:
-    """The value of each key that came last; a null value removes its key, as in a compacted log."""
-    return df.groupBy("key").agg(F.max_by(F.struct("value"), F.col(order)).alias("v"), F.max(order).alias(order)).select("key", "v.value", order).where("value is not null")
+def latest(df: DataFrame, order: str, removed: bool = False) -> DataFrame:
+    """The value of each key that came last; a null value removes its key, as in a compacted log. removed: keep those keys, with null."""
+    last = df.groupBy("key").agg(F.max_by(F.struct("value"), F.col(order)).alias("v"), F.max(order).alias(order)).select("key", "v.value", order)
+    return last if removed else last.where("value is not null")

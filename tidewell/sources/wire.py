@@ -24,51 +24,60 @@ MESSAGE = (
 def _time(c: Column) -> Column:
     """An RFC 3339 time with up to nine digits of a second, cut to microseconds; null if it is none."""
     shape = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d{1,9})?([Zz]|[+-]\d\d:\d\d)$"
-    cut = F.regexp_replace(c, r"(\.\d{6})\d+", "$1")
+    cut = F.when(F.length(c) > 26, F.regexp_replace(c, r"(\.\d{6})\d+", "$1")).otherwise(c)
     return F.when(c.rlike(shape), cut.try_cast("timestamp"))
 
 
+def _staged(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """df's columns `keep` with new ones, behind a generator: what comes later reads them and doesn't have them computed anew at each use."""
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+ADDRESSES = ("exporter_addr", "src_addr", "dst_addr", "next_hop")
+TIMES = ("received_at", "first_switched", "last_switched")
+
+
 def decoded(messages: DataFrame) -> DataFrame:
     """messages (value string, timestamp: the transport's) with the record's columns and `reason`, null for good ones.
 
     Unknown fields are passed over. received_at is the message's, else the transport's time, never the reader's clock.
     """
-    # a generator keeps each message's parse apart from the many expressions that use its fields
+    names = [c.split(" ")[0] for c in MESSAGE.split(", ")]
     parsed = F.array(F.from_json("value", MESSAGE, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
-    m = messages.select("*", F.inline_outer(parsed).alias(*(f"m_{c.split(' ')[0]}" for c in MESSAGE.split(", "))))
+    m = messages.select("*", F.inline_outer(parsed).alias(*(f"m_{n}" for n in names)))
     f = lambda name: F.col(f"m_{name}")
-    at = F.coalesce(_time(f("received_at")), F.col("timestamp").cast("timestamp"))
+    m = _staged(m, m.columns, **{f"t_{n}": _time(f(n)) for n in TIMES}, **{f"a_{n}": N.ipv4_bytes(f(n)) for n in ADDRESSES})
+    # only texts that aren't IPv4 go to Python
+    other = {n: N.ip_bytes(F.when(F.col(f"a_{n}").isNull() & (f(n) != ""), f(n))) for n in ADDRESSES}
+    m = m.withColumns({f"o_{n}": c for n, c in other.items()})
+    most = F.lit(Decimal((1 << 64) - 1)).cast("decimal(20,0)")
     numbers = {n: F.coalesce(f(n), F.lit(0)) for n in UNSIGNED}
-    outside = F.lit(False)
-    for n, bits in UNSIGNED.items():
-        outside = outside | ~numbers[n].between(0, (1 << bits) - 1)
     wide = {n: F.coalesce(f(n), F.lit(0).cast("decimal(20,0)")) for n in WIDE}
-    for n in WIDE:
-        outside = outside | (wide[n] < 0) | (wide[n] > F.lit(Decimal((1 << 64) - 1)).cast("decimal(20,0)"))
+    sound = {n: c.between(0, (1 << UNSIGNED[n]) - 1) for n, c in numbers.items()} | {n: (c >= 0) & (c <= most) for n, c in wide.items()}
     pattern = lambda c: F.when(c > F.lit(Decimal((1 << 63) - 1)).cast("decimal(20,0)"), c - F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(c).cast("bigint")
     kinds = {"src_port": "int", "dst_port": "int", "protocol": "smallint", "tcp_flags": "smallint"}
-    out = m.withColumns({"__src": N.address_bytes(f("src_addr")), "__dst": N.address_bytes(f("dst_addr")), "__exporter": N.address_bytes(f("exporter_addr")), "__hop": N.address_bytes(f("next_hop"))})
-    first, last = _time(f("first_switched")), _time(f("last_switched"))
-    bad_address = F.lit(False)
-    for name, parsed in (("exporter_addr", "__exporter"), ("src_addr", "__src"), ("dst_addr", "__dst"), ("next_hop", "__hop")):
-        bad_address = bad_address | ((F.coalesce(f(name), F.lit("")) != "") & F.col(parsed).isNull())
-    bad_time = (f("received_at").isNotNull() & _time(f("received_at")).isNull()) | (f("first_switched").isNotNull() & first.isNull()) | (f("last_switched").isNotNull() & last.isNull())
+    malformed = F.lit(False)
+    for n in ADDRESSES:
+        malformed = malformed | ((F.coalesce(f(n), F.lit("")) != "") & F.col(f"a_{n}").isNull() & F.col(f"o_{n}").isNull())
+    for n in TIMES:
+        malformed = malformed | (f(n).isNotNull() & F.col(f"t_{n}").isNull())
+    for c in sound.values():
+        malformed = malformed | ~c
+    values = {n: F.coalesce(f"a_{n}", f"o_{n}") for n in ADDRESSES} | {"flow_type": f("flow_type"), "first_switched": F.col("t_first_switched"), "last_switched": F.col("t_last_switched")}
+    values["received_at"] = F.coalesce("t_received_at", F.col("timestamp").cast("timestamp"))
+    values |= {n: F.when(sound[n], c).cast(kinds.get(n, "bigint")) for n, c in numbers.items()} | {n: F.when(sound[n], pattern(c)) for n, c in wide.items()}
+    values["sampling_rate"] = F.greatest(values["sampling_rate"], F.lit(1))
+    fault = F.when(F.col("value").isNull() | f("_corrupt").isNotNull(), "not a message").when(malformed, "malformed field")
+    keep = [c for c in messages.columns if c not in DECODED]
+    m = _staged(m, keep, **{f"v_{n}": c for n, c in values.items()}, fault=fault)
+    v = lambda n: F.col(f"v_{n}")
     reason = (
-        F.when(F.col("value").isNull() | f("_corrupt").isNotNull(), "not a message").when(bad_address | bad_time | outside, "malformed field")
-        .when(F.col("__exporter").isNull(), "no exporter").when(~known_flow_type(f("flow_type")), "no such flow type")
-        .when(F.col("__src").isNull() | F.col("__dst").isNull(), "no source or destination")
-        .when(first.isNull() | last.isNull(), "no first or last time").when(at.isNull(), "no time of receipt")
+        F.when(F.col("fault").isNotNull(), F.col("fault")).when(v("exporter_addr").isNull(), "no exporter").when(~known_flow_type(v("flow_type")), "no such flow type")
+        .when(v("src_addr").isNull() | v("dst_addr").isNull(), "no source or destination")
+        .when(v("first_switched").isNull() | v("last_switched").isNull(), "no first or last time").when(v("received_at").isNull(), "no time of receipt")
     )
-    values = {
-        "received_at": at, "exporter_addr": F.col("__exporter"), "flow_type": f("flow_type"), "first_switched": first, "last_switched": last, "src_addr": F.col("__src"), "dst_addr": F.col("__dst"),
-        "next_hop": F.col("__hop"),
-    } | {n: F.when(c.between(0, (1 << UNSIGNED[n]) - 1), c).cast(kinds.get(n, "bigint")) for n, c in numbers.items()} | {n: F.when((c >= 0) & (c <= F.lit(Decimal((1 << 64) - 1)).cast("decimal(20,0)")), pattern(c)) for n, c in wide.items()}
-    values["sampling_rate"] = F.greatest(values["sampling_rate"], F.lit(1))
-    key = N.natural_key(values["exporter_addr"], F.unix_micros(first), values["src_addr"], values["dst_addr"], values["src_port"], values["dst_port"], values["protocol"])
-    values["dedup_key"] = key
-    keep = [c for c in messages.columns if c not in values]
-    # a generator again: filters on what comes out are not expanded into all of the above
-    return out.select(*keep, F.inline_outer(F.array(F.struct(*(values[n].alias(n) for n in DECODED), reason.alias("reason")))))
+    key = N.natural_key(v("exporter_addr"), F.unix_micros(v("first_switched")), v("src_addr"), v("dst_addr"), v("src_port"), v("dst_port"), v("protocol"))
+    return _staged(m, keep, **{n: key if n == "dedup_key" else v(n) for n in DECODED}, reason=reason)
 
 
 def good(messages: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ add later can come in as a second stream; such a template counts only if it was
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
@@ -160,3 +162,24 @@ def share(spark: SparkSession, folder: str, sink, checkpoint: str, metrics, seco
             ingest.bound(sink, source)(last, batch_id)
 
     return ingest.start(learned(landed), {"templates": publish}, checkpoint, metrics, seconds, once, source="udp")
+
+
+def replayed(read: Callable[[], DataFrame], folder: str, seconds: float) -> DataFrame | None:
+    """The last envelope of each key of a shared log, read to its end as of now and kept under `folder` for a new stream to start from.
+
+    None if that takes longer than `seconds` or fails: then the stream starts without, and templates come as they are told.
+    """
+
+    def go() -> DataFrame:
+        log = read()
+        templates.latest(log, "timestamp").write.mode("overwrite").parquet(folder)
+        return log.sparkSession.read.schema(bus.MESSAGES).parquet(folder)
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(go).result(seconds)
+    except Exception as e:  # noqa: BLE001  sharing is a help, not a need
+        logging.getLogger(__name__).warning("shared templates were not replayed", extra={"fields": {"error": str(e) or type(e).__name__, "seconds": seconds}})
+        return None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
