@@ -24,9 +24,10 @@ def _split(address: str) -> tuple[str, int]:
 
 def _stores(settings: config.Config, spark) -> dict:
     from .sinks.messages import KafkaSink, MessageFolder
+    from .sinks.sql import SqlSink
     from .sinks.table import FlowTable
 
-    made = {"table": lambda: FlowTable(spark, settings.table_path), "folder": lambda: MessageFolder(settings.folder_path), "bus": lambda: KafkaSink(list(settings.bus_brokers), settings.bus_topic)}
+    made = {"sql": lambda: SqlSink(settings.sql_url), "table": lambda: FlowTable(spark, settings.table_path), "folder": lambda: MessageFolder(settings.folder_path), "bus": lambda: KafkaSink(list(settings.bus_brokers), settings.bus_topic)}
     stores = {name: made[name]() for name in settings.sinks}
     for s in stores.values():
         if hasattr(s, "migrate"):
@@ -75,7 +76,7 @@ def run(settings: config.Config, spark=None, stop: threading.Event | None = None
         landing.start(*_split(settings.udp_addr))
         # what others learned comes before what is heard, unless it takes too long
         known = shared and templated.replayed(shared, f"{own}/known-templates", settings.template_seconds)
-        queries.append(records_of(spark, settings.landing_path, sinks, f"{own}/udp", metrics, seconds, known=known, news=news and news(), delivery=settings.delivery))
+        queries.append(records_of(spark, bus.landed_stream(spark, settings.landing_path), sinks, f"{own}/udp", metrics, seconds, known=known, news=news and news(), delivery=settings.delivery))
         if publish:
             queries.append(templated.share(spark, settings.landing_path, publish.write_batch, f"{own}/templates", metrics, seconds))
     arriving = {f"{own}/bus": lambda: bus.kafka_stream(spark, list(settings.bus_brokers), settings.bus_topic)} if "bus" in settings.sources else {}

@@ -26,5 +26,13 @@ def folder_stream(spark: SparkSession, path: str, most_files: int = 100, schema:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).option("recursiveFileLookup", "true").parquet(path)
 
 
+def landed_stream(spark: SparkSession, path: str, most_files: int = 100) -> DataFrame:
+    """Datagrams of the landing daemon's files by the data source that goes by arrivals."""
+    from .landed import LandedSource
+
+    spark.dataSource.register(LandedSource)
+    return spark.readStream.format(LandedSource.name()).option("path", path).option("mostFiles", str(most_files)).load()
+
+
 def folder_table(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
