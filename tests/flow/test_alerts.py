@@ -5,8 +5,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewell.operators import alerts, stats
+from tidewell.operators import alerts, dedup, stats
 
 START = dt.datetime(2026, 3, 4, 10, 0, tzinfo=dt.UTC)
 
@@ -111,3 +112,10 @@ def test_firing(spark):
     rows = [("a", at(m), 0.6) for m in range(12)] + [("b", at(m), 0.6 if m != 5 else 0.4) for m in range(12)] + [("c", at(2 * m), 9.0) for m in range(9)]
     got = alerts.firing(spark.createDataFrame(rows, "sink string, window_end timestamp, quantile double"), ["sink"], 0.5, 600, 60).collect()
     assert [(r.sink, r.since.replace(tzinfo=dt.UTC), r.until.replace(tzinfo=dt.UTC)) for r in got] == [("a", at(0), at(11))]
+
+
+def test_collapsed(spark):
+    rows = [(START, k, v, n) for n, (k, v) in enumerate([(b"12345678a", 1), (b"12345678b", 2), (b"12345678b", 0), (b"short", 5), (b"short\0", 4), (None, 1), (None, 1), (b"", 3)])]
+    df = spark.createDataFrame(rows, "received_at timestamp, dedup_key binary, v int, n int")
+    assert sorted(r.n for r in dedup.collapsed(df, "v").collect()) == [1, 3, 5, 6, 7]
+    assert [r[0] for r in spark.createDataFrame([(b"\x01\x02",), (b"\xff" * 9,)], "k binary").select(dedup.key_seq(F.col("k"))).collect()] == [513, -1]

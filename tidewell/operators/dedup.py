@@ -6,9 +6,11 @@ shuffle, so a key that repeats without bound costs one row a task. Rows without
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.network import be_uint
+
 KEY = ["received_at", "dedup_key"]
 
 
@@ -26,3 +28,17 @@ def first_of_each(df: DataFrame, order: str, key: list[str] = KEY) -> DataFrame:
 def not_stored(batch: DataFrame, stored: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Rows whose key isn't in stored. Plain equality lets null keys through."""
     return batch.join(stored.select(*key), key, "left_anti")
+
+
+def key_seq(key: Column) -> Column:
+    """The number that the key's first eight bytes spell, the least significant first, as a bigint's bit pattern; a shorter key ends in zeros."""
+    wide = F.concat(key, F.lit(b"\0" * 8))
+    return be_uint(F.concat(*(F.substring(wide, i, 1) for i in range(8, 0, -1))))
+
+
+def collapsed(df: DataFrame, version: str) -> DataFrame:
+    """Merge on read: of keyed rows with one (received_at, key_seq) the one with the greatest `version`, as a store that replaces rows would have them
+    in the end; rows without a key all stay. Unlike first_of_each, a later delivery wins, and keys that begin alike are one."""
+    rest = [c for c in df.columns if c != "received_at"]
+    keyed = df.where(F.length("dedup_key") > 0).groupBy("received_at", key_seq(F.col("dedup_key")).alias("__seq")).agg(F.max_by(F.struct(*rest), F.col(version)).alias("__row"))
+    return keyed.select("received_at", "__row.*").select(*df.columns).unionByName(df.where(~F.coalesce(F.length("dedup_key") > 0, F.lit(False))))

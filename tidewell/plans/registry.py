@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network as N
+from ..functions.network import show_ip
 from ..obs import Metrics
 from ..operators import alerts, dedup, exporters, stats
 from ..operators import predicates as P
 from ..schema import DECODED, RECORD_DDL
 from ..session import scratch
 from ..sinks.messages import EnvelopeFolder, MessageFolder
+from ..sinks.sql import SqlSink
 from ..sinks.table import FlowTable
 from ..sources import bus, datagrams, templated, templates, wire
 from ..streaming import ingest
@@ -126,6 +128,14 @@ def dedup_mixed_redelivery(spark, sf_dir):
     return dedup.not_stored(f, f.where("seq % 3 = 0")).select("seq", "received_at", "dedup_key")
 
 
+@_register("dedup_final", "select seq, received_at, packets + 2 as packets, cast(" + " + ".join(f"case when length(dedup_key) < {i} then 0 else ascii(substr(dedup_key, {i}, 1)) end::bigint * {256 ** (i - 1)}" for i in range(1, 9)) + " as bigint) as key_seq from flows where dedup_key is not null union all select seq, received_at, packets + v, 0 from flows, (select unnest([0, 1, 2]) as v) where dedup_key is null")
+def dedup_final(spark, sf_dir):
+    """Three versions of each flow, read as a store that replaces rows by key leaves them: the last of a key, and all without one."""
+    f = flows(spark, sf_dir).withColumn("dedup_key", F.encode("dedup_key", "utf-8"))
+    versions = f.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("packets", F.col("packets") + F.col("v"))
+    return dedup.collapsed(versions, "v").select("seq", "received_at", "packets", F.coalesce(dedup.key_seq(F.col("dedup_key")), F.lit(0)).alias("key_seq"))
+
+
 @_register("stats_span", "select min(received_at) as first_at, max(received_at) as last_at, count(*) as n from flows")
 def stats_span(spark, sf_dir):
     return stats.span(flows(spark, sf_dir))
@@ -524,6 +534,46 @@ def stream_rewind(spark, sf_dir):
     return _delivered(spark, sf_dir, lambda table: {"flaky": flaky}, runs=2)
 
 
+@_register("landed_source", "select count(*) as n, min(seq) as first, max(seq) as last, cast(sum(seq) as bigint) as total from flows")
+def landed_source(spark, sf_dir):
+    """Datagrams as the landing daemon keeps them, read as a stream by arrival: each once, over runs of which the second finds only what came since."""
+    folder, checkpoint, out = scratch(spark, "landed"), scratch(spark, "checkpoint"), scratch(spark, "read")
+    packed = _packed_templates(_binary(flows(spark, sf_dir)), 256)
+    for late in (False, True):
+        half = packed.where(F.expr(f"arrival {'>=' if late else '<'} 4000"))
+        half.repartitionByRange(4, "arrival").sortWithinPartitions("arrival").mapInArrow(_land(folder), "n long").agg(F.sum("n")).collect()
+        query = bus.landed_stream(spark, folder.removeprefix("file://"), most_files=3).writeStream.option("checkpointLocation", checkpoint).start(out, "parquet")
+        query.processAllAvailable()
+        query.stop()
+    return spark.read.parquet(out).agg(F.count("*").alias("n"), F.min("arrival").alias("first"), F.max("arrival").alias("last"), F.sum("arrival").alias("total"))
+
+
+def _land(folder: str):
+    """Writes a partition's datagrams as the daemon does, one file named by its first arrival."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        table = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pylist([], pa.schema([("arrival", pa.int64())]))])
+        if table.num_rows:
+            pq.write_table(table, f"{folder.removeprefix('file://')}/{table['arrival'][0].as_py():020d}-flows.parquet")
+        yield pa.RecordBatch.from_pydict({"n": [table.num_rows]})
+
+    return run
+
+
+@_register("sql_store", _BY_EXPORTER)
+def sql_store(spark, sf_dir):
+    """Batches into a relational store, one of them twice, and all keyed rows again under another name: each flow is there once."""
+    sink, f = SqlSink(f"sqlite:{scratch(spark, 'store').removeprefix('file://')}/flows.db"), flows(spark, sf_dir)
+    sink.migrate()
+    for batch, rows, source in ((0, "seq % 2 = 0", "a"), (1, "seq % 2 = 1", "a"), (1, "seq % 2 = 1", "a"), (0, "dedup_key is not null", "b")):
+        sink.write_batch(_storable(f.where(rows)), batch, source)
+    found = [(show_ip(a), n, b) for a, n, b in sink.totals()]
+    return spark.createDataFrame(found, "exporter_addr string, n bigint, bytes bigint")
+
+
 @_register("public_projection", f"select {_BACK.replace('received_at', "strftime(received_at, '%Y-%m-%dT%H:%M:%S.%fZ') as received_at").replace('first_switched', "strftime(first_switched, '%Y-%m-%dT%H:%M:%S.%fZ') as first_switched").replace('last_switched', "strftime(last_switched, '%Y-%m-%dT%H:%M:%S.%fZ') as last_switched")} from flows where {IN_RANGE}")
 def public_projection(spark, sf_dir):
     shown = P.in_range(flows(spark, sf_dir), START, END).select(*_BACK.split(", "))

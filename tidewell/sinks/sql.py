@@ -133,5 +133,13 @@ class SqlSink:
         finally:
             con.close()
 
+    def totals(self) -> list[tuple]:
+        """Exporter, rows and bytes of each exporter, added up by the store."""
+        con = connect(self.url)
+        try:
+            return con.execute("SELECT exporter_addr, count(*), sum(bytes) FROM flows GROUP BY exporter_addr").fetchall()
+        finally:
+            con.close()
+
     def ping(self) -> None:
         connect(self.url).execute("SELECT 1 FROM flows LIMIT 1").fetchall()

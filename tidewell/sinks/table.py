@@ -196,13 +196,19 @@ class FlowTable:
         rows = rows.withColumns({"from_source": F.lit(number), "from_batch": F.lit(batch_id).cast("bigint"), "source": F.lit(number), "ingest_batch": F.lit(batch_id).cast("bigint")})
         rows = rows.hint("rebalance", "dt") if len(todo) > FEW_DAYS else rows
         placed = rows.sortWithinPartitions("dt", "received_at", "seq").select(*(f.name for f in self._schema))
-        seen = Observation()
+        seen, facts_of, few_days = Observation(), (("rows", F.count), ("first", F.min), ("last", F.max)), len(todo) <= FEW_DAYS
         of_day = lambda d: F.when(F.col("dt") == F.lit(d), F.unix_micros("received_at"))
-        placed = placed.observe(seen, *(f(of_day(d)).alias(f"{d} {n}") for d in todo for n, f in (("rows", F.count), ("first", F.min), ("last", F.max))))
+        if few_days:  # the write counts what it writes
+            placed = placed.observe(seen, *(f(of_day(d)).alias(f"{d} {n}") for d in todo for n, f in facts_of))
         bloom = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("exporter_id", "src_addr", "dst_addr")}
         placed.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **bloom).partitionBy("dt", "source", "ingest_batch").parquet(self.flows_path)
+        if few_days:
+            told = {d: [seen.get[f"{d} {n}"] for n, _ in facts_of] for d in todo}
+        else:
+            written = [p for d in todo if self._exists(p := self.flows.folder(f"dt={d}", number, batch_id))]
+            told = {r.dt: r[1:] for r in self._read(written).groupBy("dt").agg(*(f(F.unix_micros("received_at")).alias(n) for n, f in facts_of)).collect()}
         for d in todo:
-            rows, *span = (seen.get[f"{d} {n}"] for n in ("rows", "first", "last"))
+            rows, *span = told.get(d, (0, None, None))
             self.flows.commit(f"dt={d}", number, batch_id, rows, span if rows else None)
             new += rows
         return facts["n"], new
