@@ -69,10 +69,12 @@ def _directory(sizes: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return shards.select(F.explode(entries).alias(PLACE), "depth", "own", "shard_bytes")
 
 
-def _looked_up(rows: DataFrame, directory: DataFrame, high: int) -> DataFrame:
-    """rows with the entry of their prefix. Rows without bytes, which no limit bounds, are dealt over ZEROS copies of it."""
+def _looked_up(rows: DataFrame, directory: DataFrame, weightless: DataFrame, high: int) -> DataFrame:
+    """rows with the entry of their prefix. Rows without bytes, which no limit bounds, are dealt over ZEROS copies of it; only the prefixes
+    that hold such rows (`weightless`) are copied."""
     salt = F.when(F.col(BYTES) == 0, F.pmod(F.col(HASH), F.lit(ZEROS))).otherwise(F.lit(-1)).cast("int")
-    salted = directory.withColumn("__salt", F.explode(F.expr(f"sequence(-1, {ZEROS - 1})")))
+    copies = directory.join(weightless, PLACE, "left_semi").withColumn("__salt", F.explode(F.expr(f"sequence(0, {ZEROS - 1})")))
+    salted = directory.withColumn("__salt", F.lit(-1)).unionByName(copies)
     return rows.withColumns({PLACE: _prefix(high), "__salt": salt}).join(salted.hint("merge"), [PLACE, "__salt"]).drop("__salt")
 
 
@@ -106,11 +108,12 @@ def extendible_shards(docs: DataFrame, limit: int, key: tuple[str, ...] = ("doc_
     rest, total = keys, keys.agg(F.sum(BYTES)).first()[0] or 0
     low, high, out = 0, min(BITS, (-(-total // limit)).bit_length() + SPARE), []
     while True:
-        sizes = stash(rest.groupBy(_prefix(high).alias(PLACE)).agg(F.sum(BYTES).alias(BYTES), F.count("*").alias("n")))
+        sizes = stash(rest.groupBy(_prefix(high).alias(PLACE)).agg(F.sum(BYTES).alias(BYTES), F.count("*").alias("n"), F.count_if(F.col(BYTES) == 0).alias("zeros")))
         bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("own").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
-        found = _directory(sizes, low, high, limit)
+        found = _directory(sizes.drop("zeros"), low, high, limit)
         found = stash(found.select(PLACE, F.concat(F.lit("b"), bits).alias("__shard"), F.col("depth").alias("__depth"), F.col("shard_bytes").alias("__shard_bytes")))
-        out.append(_looked_up(rows, found, high).select(*carry, BYTES, "__shard", "__depth", "__shard_bytes"))
+        weightless = stash(sizes.where("zeros > 0").select(PLACE))
+        out.append(_looked_up(rows, found, weightless, high).select(*carry, BYTES, "__shard", "__depth", "__shard_bytes"))
         over = stash(sizes.where((F.col(BYTES) > limit) & (F.col("n") > 1)).select(PLACE))
         discard(sizes)
         if over.isEmpty():
