@@ -1,6 +1,7 @@
-"""Records for the tests of storage: office and lab traffic of two routers, told apart by a running number."""
+"""Records for the tests of storage: traffic drawn from a table of services by a generator that a record's number seeds."""
 
 import datetime as dt
+import random
 
 from pyspark.sql.types import _parse_datatype_string
 
@@ -17,21 +18,31 @@ def us(t):
 
 
 WINDOW = {"start": us(BASE) - HOUR, "end": us(BASE) + HOUR}
-#: What a record's kind decides: its format, transport, addresses' prefixes and next hop. Two of three are the first kind.
-OFFICE = {"flow_type": "netflow5", "protocol": 6, "tcp_flags": 18, "src": "172.30.4.{}", "dst": "10.99.7.{}", "next_hop": "172.20.0.1"}
-LAB = {"flow_type": "ipfix", "protocol": 17, "tcp_flags": 0, "src": "fd00:1ab::{}", "dst": "fd00:1ab:2::7", "next_hop": None}
+#: Services of an invented site: flow type, protocol, port, weight of the draw.
+SERVICES = {"mail": ("netflow5", 6, 993, 4), "names": ("netflow9", 17, 853, 3), "backup": ("ipfix", 6, 10_050, 2), "voice": ("ipfix", 17, 5061, 1), "tunnel": ("netflow9", 47, 0, 1)}
+#: Networks that clients and servers are drawn from.
+CLIENTS, SERVERS = ("172.30.{}.{}", "fd00:1ab:{:x}::{:x}"), ("10.99.{}.{}", "fd00:1ab:ff{:02x}::{:x}")
+#: A record's number is its source AS less this, the first of the private ones of 32 bits.
+FIRST_AS = 4_200_000_000
+
+
+def number(r):
+    return r["src_as"] - FIRST_AS
 
 
 def record(i, exporter=A, at=None, keyed=True):
-    kind = LAB if i % 3 == 2 else OFFICE
-    at = at or BASE + dt.timedelta(microseconds=i)
+    draw = random.Random(i)
+    kind, protocol, port, _ = draw.choices(list(SERVICES.values()), [s[-1] for s in SERVICES.values()])[0]
+    family, at = draw.randrange(2), at or BASE + dt.timedelta(microseconds=i)
+    seconds = draw.uniform(0.5, 40)
     values = {
-        "received_at": at, "exporter_addr": parse_ip(exporter), "flow_type": kind["flow_type"],
-        "first_switched": at - dt.timedelta(seconds=9), "last_switched": at - dt.timedelta(seconds=1),
-        "src_addr": parse_ip(kind["src"].format(1 + i % 250)), "dst_addr": parse_ip(kind["dst"].format(1 + i % 11)),
-        "src_port": 40000 + i, "dst_port": 8080, "protocol": kind["protocol"], "tcp_flags": kind["tcp_flags"],
-        "packets": 3 * i + 2, "bytes": 77 * i + 640, "sampling_rate": 64, "input_iface": 11, "output_iface": 12, "src_as": 65010, "dst_as": 65020,
-        "next_hop": kind["next_hop"] and parse_ip(kind["next_hop"]), "dedup_key": f"flow {i}".encode() if keyed else None,
+        "received_at": at, "exporter_addr": parse_ip(exporter), "flow_type": kind,
+        "first_switched": at - dt.timedelta(seconds=round(1 + seconds, 3)), "last_switched": at - dt.timedelta(seconds=1),
+        "src_addr": parse_ip(CLIENTS[family].format(draw.randrange(8), draw.randrange(1, 255))), "dst_addr": parse_ip(SERVERS[family].format(draw.randrange(3), draw.randrange(1, 9))),
+        "src_port": draw.randrange(1024, 65536) if port else 0, "dst_port": port, "protocol": protocol, "tcp_flags": draw.choice([0x12, 0x1B]) if protocol == 6 else 0,
+        "packets": draw.randrange(1, 1 << 12), "bytes": draw.randrange(64, 1 << 22), "sampling_rate": draw.choice([1, 128, 512]), "input_iface": draw.randrange(4), "output_iface": draw.randrange(4),
+        "src_as": FIRST_AS + i, "dst_as": draw.choice([65_010, 65_020, 65_030]),
+        "next_hop": draw.choice([None, parse_ip("172.20.0.1")]), "dedup_key": draw.randbytes(12) if keyed else None,
     }
     return tuple(values[c] for c in DECODED)
 

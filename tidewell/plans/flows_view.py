@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLOWS_SQL = """
 select ts as received_at, event_id as seq, user_id % 16 + 1 as exporter_id,
-  concat('192.0.2.', cast(user_id % 16 + 1 as varchar(3))) as exporter_addr,
-  case event_type when 'click' then 'netflow5' when 'signup' then 'netflow5' when 'view' then 'netflow9' else 'ipfix' end as flow_type,
-  ts - interval '2' second as first_switched, ts - interval '1' second as last_switched,
-  concat('10.0.', cast(user_id % 4 as varchar(3)), '.', cast(event_id % 256 as varchar(3))) as src_addr,
-  concat('198.51.100.', cast(user_id % 50 + 200 as varchar(3))) as dst_addr,
-  cast(40000 + event_id % 20000 as integer) as src_port, 443 as dst_port,
-  case when event_type = 'view' then 17 else 6 end as protocol, case when event_type = 'view' then 0 else 24 end as tcp_flags,
-  event_id % 97 + 1 as packets, (event_id % 1000 + 1) * 64 as bytes,
-  cast(case when event_type = 'error' then 1000 else 1 end as bigint) as sampling_rate,
-  cast(event_id % 8 as bigint) as input_iface, cast(event_id % 5 as bigint) as output_iface,
-  cast(64500 + user_id % 3 as bigint) as src_as, cast(64501 as bigint) as dst_as,
-  case when event_type = 'view' then null else '198.51.100.1' end as next_hop,
+  concat('203.0.113.', cast(user_id % 16 + 1 as varchar(3))) as exporter_addr,
+  case user_id % 5 when 0 then 'ipfix' when 1 then 'netflow9' when 2 then 'netflow9' else 'netflow5' end as flow_type,
+  ts - interval '1' second * (event_id % 29 + 3) as first_switched, ts - interval '3' second as last_switched,
+  concat('100.64.', cast(user_id % 32 as varchar(3)), '.', cast(event_id % 200 + 1 as varchar(3))) as src_addr,
+  concat('10.84.3.', cast(user_id % 40 + 11 as varchar(3))) as dst_addr,
+  cast(1024 + event_id * 31 % 60000 as integer) as src_port, case when event_id % 4 = 3 then 53 else 8883 end as dst_port,
+  case when event_id % 4 = 3 then 17 else 6 end as protocol, case when event_id % 4 = 3 then 0 else 27 end as tcp_flags,
+  event_id % 61 + 2 as packets, (event_id % 1400 + 1) * 53 as bytes,
+  cast(case when user_id % 6 = 0 then 256 else 1 end as bigint) as sampling_rate,
+  cast(user_id % 12 as bigint) as input_iface, cast(event_id % 7 as bigint) as output_iface,
+  cast(65100 + user_id % 9 as bigint) as src_as, cast(65190 + event_id % 3 as bigint) as dst_as,
+  case when event_id % 5 = 2 then null else concat('203.0.113.', cast(240 + user_id % 4 as varchar(3))) end as next_hop,
   case when event_type = 'error' then null else concat('k', cast(event_id as varchar(20))) end as dedup_key
 from events"""
 

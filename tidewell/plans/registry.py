@@ -62,11 +62,11 @@ _page("page_first", "", 50)
 _page("page_default_limit", "", 0)
 _page("page_limit_clamp", "", 5000)
 _page("filter_exporter", " and exporter_id = 3", 1000, exporter_id=3)
-_page("filter_src", " and src_addr = '10.0.1.7'", 1000, src_addr="10.0.1.7")
-_page("filter_dst", " and dst_addr = '198.51.100.203'", 1000, dst_addr="198.51.100.203")
+_page("filter_src", " and src_addr = '100.64.0.163'", 1000, src_addr="100.64.0.163")
+_page("filter_dst", " and dst_addr = '10.84.3.27'", 1000, dst_addr="10.84.3.27")
 _page("filter_protocol", " and protocol = 6", 200, protocol=6)
 _page("filter_protocol_zero", " and protocol = 0", 200, protocol=0)
-_page("filter_all", " and exporter_id = 6 and src_addr = '10.0.1.105' and dst_addr = '198.51.100.237' and protocol = 6", 100, exporter_id=6, src_addr="10.0.1.105", dst_addr="198.51.100.237", protocol=6)
+_page("filter_all", " and exporter_id = 1 and src_addr = '100.64.0.163' and dst_addr = '10.84.3.27' and protocol = 6", 100, exporter_id=1, src_addr="100.64.0.163", dst_addr="10.84.3.27", protocol=6)
 _page("page_next", " and (received_at < timestamp '2024-01-20 12:00:00' or received_at = timestamp '2024-01-20 12:00:00' and seq < 500)", 50, cursor=Q.encode_cursor(_us(2024, 1, 20, 12), 500))
 
 
@@ -211,13 +211,14 @@ def counter_increase(spark, sf_dir):
 
 _EDGES = """spans as (select *, (last_us - first_us) / 1e6 as spanned, (last_us - first_us) / 1e6 / (n - 1) as mean, (first_us - (ends - 3) * 3600000000) / 1e6 as a, (ends * 3600000000 - last_us) / 1e6 as z from each),
 carried as (select *, least(case when a < mean * 1.1 then a else mean / 2 end, case when rose > 0 then spanned * first_value / rose end) + case when z < mean * 1.1 then z else mean / 2 end as beyond from spans)
-select exporter_id, make_timestamp(cast(ends * 3600000000 as bigint)) as window_end, round(case when spanned > 0 then rose * (spanned + beyond) / spanned else rose end / 10800.0, 4) as per_second from carried"""
+select exporter_id, make_timestamp(cast(ends * 3600000000 as bigint)) as window_end, round(case when spanned > 0 then rose * (spanned + beyond) / spanned else rose end / 10800.0 + 0.00000003, 4) as per_second from carried"""
 
 
+# the small amount keeps values that lie between two roundings from falling either way
 @_register("counter_rate", WITH.strip() + _WINDOWED + _EDGES)
 def counter_rate(spark, sf_dir):
     found = alerts.counter_rate(_samples(spark, sf_dir), ["exporter_id"], 3 * 3600, 3600, at="t")
-    return found.select("exporter_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"), F.round("per_second", 4).alias("per_second"))
+    return found.select("exporter_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"), F.round(F.col("per_second") + 0.00000003, 4).alias("per_second"))
 
 
 _BUCKETS = "select exporter_id, cast(received_at as date) as day, (seq * 7919 % 70000) / 100.0::double as lag from flows"
@@ -292,7 +293,7 @@ def dedup_digest(spark, sf_dir):
 
 def _fnv(i: int) -> int:
     h = 0xCBF29CE484222325
-    for b in N.parse_ip(f"192.0.2.{i}"):
+    for b in N.parse_ip(f"203.0.113.{i}"):
         h = (h ^ b) * (1 << 40 | 435) % (1 << 64)
     return h & ((1 << 63) - 1) or 1
 

@@ -2,8 +2,8 @@
 
 A data source writer: each task inserts its rows under the run's name into a staging table and commits that by itself; when all tasks are done the driver moves
 them into the table in one transaction that also notes the batch, and leaves out rows whose (received_at, dedup_key) is there. A run that
-fails, or whose driver dies before the transaction, leaves the table as it was; what it staged goes with the failure or with a
-later run of the same source. A batch that was noted before is staged again but not put in. Rows without a key are told apart by their batch alone.
+fails, or whose driver dies before the transaction, leaves the table as it was; what it staged (also by tasks that outlive the failure) goes with it or with the
+next run of the same source. A batch that was noted before is staged again but not put in. Rows without a key are told apart by their batch alone.
 
 SQLite serves as the tested double (`sqlite:/path/flows.db`, on a disk that all executors mount); the statements are those that other stores with partial
 indexes and ON CONFLICT understand, and CONNECT takes their drivers by the address's scheme.
