@@ -63,7 +63,7 @@ _page("page_default_limit", "", 0)
 _page("page_limit_clamp", "", 5000)
 _page("filter_exporter", " and exporter_id = 3", 1000, exporter_id=3)
 _page("filter_src", " and src_addr = '100.64.0.163'", 1000, src_addr="100.64.0.163")
-_page("filter_dst", " and dst_addr = '10.84.3.27'", 1000, dst_addr="10.84.3.27")
+_page("filter_dst", " and dst_addr = '10.84.3.18'", 1000, dst_addr="10.84.3.18")
 _page("filter_protocol", " and protocol = 6", 200, protocol=6)
 _page("filter_protocol_zero", " and protocol = 0", 200, protocol=0)
 _page("filter_all", " and exporter_id = 1 and src_addr = '100.64.0.163' and dst_addr = '10.84.3.27' and protocol = 6", 100, exporter_id=1, src_addr="100.64.0.163", dst_addr="10.84.3.27", protocol=6)
