@@ -20,10 +20,14 @@ def be_uint(c: Column) -> Column:
     return F.conv(digits, 16, -10).cast("bigint")
 
 
+def be_hex(c: Column, width: int) -> Column:
+    """The hexadecimal digits of the last `width` bytes of an integer."""
+    return F.substring(F.lpad(F.hex(c.cast("bigint")), 16, "0"), 17 - 2 * width, 2 * width)
+
+
 def be_bytes(c: Column, width: int) -> Column:
     """The last `width` bytes of an integer, big-endian."""
-    digits = F.lpad(F.hex(c.cast("bigint")), 16, "0")
-    return F.unhex(F.substring(digits, 17 - 2 * width, 2 * width))
+    return F.unhex(be_hex(c, width))
 
 
 def narrow(c: Column, bits: int) -> Column:
@@ -89,16 +93,21 @@ def ip_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: known.get(b) if b is not None else None)
 
 
+#: IPv4 text: four numbers up to 255, written without leading zeros, and nothing else.
+IPV4 = r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|\z)){4}(?<!\.)\z"
+
+
 def ipv4_bytes(text: Column) -> Column:
-    """The mapped bytes of IPv4 text without leaving Catalyst; null for others. The text is split once, and an octet is one if its number is written as it is."""
+    """The mapped bytes of IPv4 text without leaving Catalyst; null for others. The text is matched and split once, without functions over each of its parts."""
 
     def joined(parts: Column) -> Column:
-        octets = F.transform(parts, lambda p: p.try_cast("int"))
-        sound = (F.size(parts) == 4) & F.forall(F.arrays_zip(parts.alias("p"), octets.alias("n")), lambda x: x["n"].between(0, 255) & (x["n"].cast("string") == x["p"]))
-        number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda s, n: s * 256 + n)
-        return F.when(sound, F.concat(F.lit(MAPPED_PREFIX), be_bytes(number, 4)))
+        number = F.lit(0xFFFF << 32).cast("bigint")
+        for i in range(4):
+            number = number + parts[i].cast("bigint") * (1 << 8 * (3 - i))
+        # the mapped prefix ends in ones, so the digits need no padding
+        return F.when(parts.isNotNull(), F.concat(F.lit(MAPPED_PREFIX[:10]), F.unhex(F.hex(number))))
 
-    return F.transform(F.array(F.split(text, r"\.")), joined)[0]
+    return F.transform(F.array(F.when(text.rlike(IPV4), F.split(text, r"\."))), joined)[0]
 
 
 def address_bytes(text: Column) -> Column:

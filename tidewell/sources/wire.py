@@ -28,7 +28,7 @@ def _time(c: Column) -> Column:
     return F.when(c.rlike(shape), cut.try_cast("timestamp"))
 
 
-def _staged(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+def staged(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """df's columns `keep` with new ones, behind a generator: what comes later reads them and doesn't have them computed anew at each use."""
     return df.select(*keep, F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
@@ -46,7 +46,7 @@ def decoded(messages: DataFrame) -> DataFrame:
     parsed = F.array(F.from_json("value", MESSAGE, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
     m = messages.select("*", F.inline_outer(parsed).alias(*(f"m_{n}" for n in names)))
     f = lambda name: F.col(f"m_{name}")
-    m = _staged(m, m.columns, **{f"t_{n}": _time(f(n)) for n in TIMES}, **{f"a_{n}": N.ipv4_bytes(f(n)) for n in ADDRESSES})
+    m = staged(m, m.columns, **{f"t_{n}": _time(f(n)) for n in TIMES}, **{f"a_{n}": N.ipv4_bytes(f(n)) for n in ADDRESSES})
     # only texts that aren't IPv4 go to Python
     other = {n: N.ip_bytes(F.when(F.col(f"a_{n}").isNull() & (f(n) != ""), f(n))) for n in ADDRESSES}
     m = m.withColumns({f"o_{n}": c for n, c in other.items()})
@@ -69,7 +69,7 @@ def decoded(messages: DataFrame) -> DataFrame:
     values["sampling_rate"] = F.greatest(values["sampling_rate"], F.lit(1))
     fault = F.when(F.col("value").isNull() | f("_corrupt").isNotNull(), "not a message").when(malformed, "malformed field")
     keep = [c for c in messages.columns if c not in DECODED]
-    m = _staged(m, keep, **{f"v_{n}": c for n, c in values.items()}, fault=fault)
+    m = staged(m, keep, **{f"v_{n}": c for n, c in values.items()}, fault=fault)
     v = lambda n: F.col(f"v_{n}")
     reason = (
         F.when(F.col("fault").isNotNull(), F.col("fault")).when(v("exporter_addr").isNull(), "no exporter").when(~known_flow_type(v("flow_type")), "no such flow type")
@@ -77,12 +77,15 @@ def decoded(messages: DataFrame) -> DataFrame:
         .when(v("first_switched").isNull() | v("last_switched").isNull(), "no first or last time").when(v("received_at").isNull(), "no time of receipt")
     )
     key = N.natural_key(v("exporter_addr"), F.unix_micros(v("first_switched")), v("src_addr"), v("dst_addr"), v("src_port"), v("dst_port"), v("protocol"))
-    return _staged(m, keep, **{n: key if n == "dedup_key" else v(n) for n in DECODED}, reason=reason)
+    return staged(m, keep, **{n: key if n == "dedup_key" else v(n) for n in DECODED}, reason=reason)
 
 
 def good(messages: DataFrame) -> DataFrame:
     """The records of messages that decode; their dedup_key is the natural key's digest."""
-    return decoded(messages).where("reason is null").select(*DECODED)
+    found = decoded(messages).where("reason is null")
+    # a good record has a time of receipt and a key, which the schema tells, so that deduplication doesn't decode anew for rows without
+    sure = {"received_at": F.timestamp_micros(F.lit(0)), "dedup_key": F.lit(b"")}
+    return found.select(*(F.coalesce(c, sure[c]).alias(c) if c in sure else c for c in DECODED))
 
 
 def quarantined(messages: DataFrame) -> DataFrame:
