@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from ..functions.network import NTP_OFFSET
 from ..schema import refusal
+from ..session import scratch
 from . import elements as E
 from . import fields as A
 
 SETS = "exporter binary, received_at timestamp, arrival bigint, set_no int, version int, domain bigint, boot bigint, template_id int, fields string, content binary, fault string"
 BUCKET = 4096
+#: Compressed bytes of a row group of kept sets, by which readers deal them over tasks.
+ROW_GROUP = 2 << 20
 KEY = ["exporter", "version", "domain", "template_id"]
 RECORD = (
     "received_at timestamp, exporter_addr binary, flow_type string, first_us bigint, last_us bigint, src_addr binary, dst_addr binary, src_port int, dst_port int, protocol smallint, "
@@ -200,8 +203,13 @@ def decoded_sets(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterat
 
 
 def decode_templated(datagrams: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects): records in decoded form with arrival, set_no and record_no; rejects exporter, arrival, reason."""
-    sets, schema = sets_of(datagrams), arrow_schema(RECORD)
+    """(records, rejects): records in decoded form with arrival, set_no and record_no; rejects exporter, arrival, reason.
+
+    The datagrams are read and parsed here and now, once, and their sets kept in a scratch folder, as the join goes over them several times.
+    """
+    spark, folder, schema = datagrams.sparkSession, scratch(datagrams.sparkSession, "sets"), arrow_schema(RECORD)
+    sets_of(datagrams).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(folder)
+    sets = spark.read.schema(SETS).parquet(folder)
     matched = with_templates(sets, known)
     unknown = matched.where("template is null").select("exporter", "arrival", F.lit("unknown template").alias("reason")).distinct()
     found = matched.where("template is not null").join(unknown.select("exporter", "arrival"), ["exporter", "arrival"], "left_anti").mapInArrow(lambda batches: decoded_sets(batches, schema), RECORD)
