@@ -16,6 +16,10 @@ from ..sources.templates import latest
 from .snapshots import Snapshot, Snapshots
 
 
+#: Compressed bytes of a row group in message files, some ten thousand messages: a reader deals a file over tasks by its row groups.
+ROW_GROUP = 1 << 20
+
+
 class MessageFolder:
     """One folder of message files per source and batch; writing a batch again replaces it."""
 
@@ -24,7 +28,7 @@ class MessageFolder:
 
     def write_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> None:
         if not batch.isEmpty():
-            wire.encoded(batch).write.mode("overwrite").parquet(f"{self.path}/source={source}/batch={batch_id}")
+            wire.encoded(batch).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/source={source}/batch={batch_id}")
 
     def ping(self) -> None:
         pass
