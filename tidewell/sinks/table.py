@@ -143,14 +143,20 @@ class FlowTable:
         folders, kinds = self.sights.folders("exporters"), _parse_datatype_string(EXPORTER_DDL)
         return exporters.merged(self.spark.read.schema(kinds).parquet(*folders) if folders else self.spark.createDataFrame([], kinds))
 
-    def write_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> int:
+    def write_batch(self, batch: DataFrame, batch_id: int, source: str = "direct", held: bool = False) -> int:
         """Stores decoded records; returns how many were new. An empty batch does nothing."""
-        return self.store_batch(batch, batch_id, source)[1]
+        return self.store_batch(batch, batch_id, source, held)[1]
 
-    def store_batch(self, batch: DataFrame, batch_id: int, source: str = "direct") -> tuple[int, int]:
-        """How many records came, and how many of them were new. Batches of several streams take turns, so that one sees the keys of the other."""
+    def store_batch(self, batch: DataFrame, batch_id: int, source: str = "direct", held: bool = False) -> tuple[int, int]:
+        """How many records came, and how many of them were new. Batches of several streams take turns, so that one sees the keys of the other. held: the caller caches the batch, which is else done here, as it is read several times."""
         with _lock:
-            return self._store(batch, batch_id, source)
+            if held:
+                return self._store(batch, batch_id, source)
+            batch = batch.select(*DECODED).persist()
+            try:
+                return self._store(batch, batch_id, source)
+            finally:
+                batch.unpersist()
 
     def _store(self, batch: DataFrame, batch_id: int, source: str) -> tuple[int, int]:
         number = self.source_number(source)

@@ -41,8 +41,10 @@ def identity(spark: SparkSession, checkpoint: str) -> str:
 
 
 def bound(sink: Sink, source: str) -> Sink:
-    """The sink for one source's batches; sinks that don't tell sources apart stay as they are."""
-    return partial(sink, source=source) if "source" in inspect.signature(sink).parameters else sink
+    """The sink for one source's batches, which are cached; sinks that ask for neither stay as they are."""
+    told = {"source": source, "held": True}
+    told = {k: v for k, v in told.items() if k in inspect.signature(sink).parameters}
+    return partial(sink, **told) if told else sink
 
 
 class SinkFailure(RuntimeError):
@@ -165,7 +167,7 @@ def stored(table, metrics: Metrics) -> Sink:
     """The table's sink, counting the rows that were stored before."""
 
     def sink(batch: DataFrame, batch_id: int, source: str = "direct") -> None:
-        came, new = table.store_batch(batch, batch_id, source)
+        came, new = table.store_batch(batch, batch_id, source, held=True)
         metrics.count("deduped_rows", came - new)
 
     return sink
