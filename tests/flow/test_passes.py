@@ -10,7 +10,9 @@ from tidewell.plans import registry
 from tidewell.plans.flows_view import flows
 from tidewell.sinks import messages, sql
 from tidewell.sinks.table import FlowTable
-from tidewell.sources import templated, wire
+from tidewell.sources import bus, templated, wire
+from tidewell.sources.datagrams import DATAGRAM_DDL
+from tidewell.streaming import templated as streamed
 
 from .records import batch
 from .test_decoding import data_set, landed, template_set, v9
@@ -41,6 +43,21 @@ def test_datagrams_are_parsed_once(spark):
     assert seen.value == 7
 
 
+def test_streamed_datagrams_are_parsed_once(spark, tmp_path):
+    """Also where some are malformed or of unknown template: faults don't take a second reading."""
+    landed(spark, v9(template_set()), *[v9(data_set())] * 5, v9(data_set(number=300)), v9(data_set())[:-3]).write.parquet(f"{tmp_path}/in")
+    datagrams, seen = counted(bus.folder_stream(spark, f"{tmp_path}/in", schema=DATAGRAM_DDL))
+    streamed.decode_stream(datagrams).writeStream.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out", "parquet").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.where("reason is null").count() == 5 and sorted(r.reason for r in found.where("reason is not null").collect()) == ["set is cut off", "unknown template"]
+    assert seen.value == 8
+
+
+def test_the_stream_query_does_not_shuffle_its_records(spark):
+    plan = plan_of(registry.v9_stream(spark, SF))
+    assert "Aggregate" not in plan and "Deduplicate" not in plan
+
+
 def test_a_batch_is_computed_once_for_the_table(spark, tmp_path):
     table = FlowTable(spark, str(tmp_path / "t"))
     table.migrate()

@@ -7,6 +7,8 @@ import struct
 import threading
 import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tidewell.functions.network import parse_ip
@@ -284,6 +286,35 @@ def test_stream_decodes_as_the_batch_does(spark, tmp_path):
     assert refused == plain(bad, "exporter", "arrival", "reason") and len(refused) >= 2 * 4
 
 
+class Known(dict):
+    """A share's map of templates outside Spark."""
+
+    containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+
+def test_blocks_are_cut_where_the_template_changes(monkeypatch):
+    """Sets of one template in few rows: those before a new template take the state's, those of a rejected datagram go, and large blocks are cut."""
+    fields = lambda f: json.dumps([[*x, 0] for x in f])
+    longer = [*SHORT, (1, 4)]
+    rows = [{"arrival": 10 * i, "set_no": 0, "template_id": 256, "content": bytes(8) + i.to_bytes(4) + bytes(12)} for i in range(12)]
+    rows.insert(6, {"arrival": 55, "set_no": 0, "template_id": 256, "fields": fields(longer)})
+    rows += [{"arrival": 30, "set_no": 1, "template_id": 300, "content": b"1234"}, {"arrival": 33, "set_no": 0, "fault": "set is cut off"}]
+    base = {"exporter": parse_ip("192.0.2.7"), "received_at": BASE, "version": 9, "domain": 100, "boot": 0}
+    sets = pa.RecordBatch.from_pylist([base | r for r in reversed(rows)], batch_decoder.arrow_schema(batch_decoder.SETS))
+    for size, many in ((templated.BLOCK, 2), (48, 7)):
+        monkeypatch.setattr(templated, "BLOCK", size)
+        known = Known({(256,): (fields(SHORT), 0)})
+        blocks = pa.Table.from_batches(templated.blocks_of(sets, batch_decoder.arrow_schema(templated.BLOCKS)))
+        assert blocks.filter(pc.is_valid(blocks["content"])).num_rows == many
+        matched = list(templated.match_share((base["exporter"], 9, 100, 0), iter([blocks.to_pandas()]), known))
+        schema = batch_decoder.arrow_schema(templated.MATCHED)
+        found = [r for m in matched for b in templated.block_records(pa.RecordBatch.from_pandas(m, schema, preserve_index=False), batch_decoder.arrow_schema(batch_decoder.RECORD)) for r in b.to_pylist()]
+        assert sorted((r["arrival"], r["fault"]) for r in found if r["fault"]) == [(30, "unknown template"), (33, "set is cut off")]
+        records = sorted((r["arrival"], r["record_no"], r["first_us"]) for r in found if not r["fault"])
+        assert records == sorted([(10 * i, n, 1000 * i if not n else 0) for i in range(6) if i != 3 for n in (0, 1)] + [(10 * i, 0, 1000 * i) for i in range(6, 12)])
+        assert json.loads(known[256,][0]) == [[*x, 0] for x in longer] and {r["received_at"].replace(tzinfo=None) for r in found} == {BASE.replace(tzinfo=None)}
+
+
 def test_templates_of_others_arrive_while_the_stream_runs(spark, tmp_path):
     """A later template of the log replaces the state's, an earlier one doesn't; poison envelopes are passed over."""
     log = EnvelopeFolder(str(tmp_path / "log"))
