@@ -10,10 +10,12 @@ import time
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.functions.network import parse_ip
 from tidewell.obs import Metrics, StreamWatch
 from tidewell.plans import query as Q
+from tidewell.plans import registry
 from tidewell.sinks.messages import EnvelopeFolder, MessageFolder
 from tidewell.sinks.table import FlowTable
 from tidewell.sources import bus, templates, wire
@@ -26,6 +28,8 @@ from tidewell.streaming.datagrams import records_of
 from .records import BASE, WINDOW, batch, number
 from .test_decoding import REC_A, REC_B, data_set, landed, template_set, v5, v9
 
+SF = "/root/testdata/sf0.001"
+
 
 def table_at(spark, path):
     t = FlowTable(spark, str(path))
@@ -79,6 +83,43 @@ def test_drop_on_error_goes_on(spark, tmp_path):
     assert metrics.value("batch_write_errors", sink="broken") == 1
 
 
+@pytest.mark.parametrize(("good", "dropped", "visible"), [((), 3, 0), (("good",), 0, 3)])
+def test_rows_that_no_sink_took_are_dropped(spark, good, dropped, visible):
+    def broken(df, batch_id):
+        raise RuntimeError("always")
+
+    metrics = Metrics()
+    ingest.fan_out({"broken": broken} | {n: lambda df, i: df.count() for n in good}, metrics, drop_on_error=True)(batch(spark, 3), 0)
+    assert metrics.value("records_dropped", reason="at_most_once") == dropped and metrics.value("visibility_lag_seconds_count") == visible
+
+
+def failing_at(monkeypatch, *which):
+    """The table refuses its calls of these numbers."""
+    stored, calls = FlowTable.write_batch, []
+
+    def refusing(self, *args, **named):
+        calls.append(1)
+        if len(calls) in which:
+            raise RuntimeError("the disk is full")
+        return stored(self, *args, **named)
+
+    monkeypatch.setattr(FlowTable, "write_batch", refusing)
+
+
+def test_stream_dedup_fails_with_its_table(spark, monkeypatch):
+    failing_at(monkeypatch, 1)
+    with pytest.raises(Exception, match="table failed"):
+        registry.queries()["stream_dedup"](spark, SF)
+
+
+def test_stream_dedup_fails_where_messages_do_not_decode(spark, tmp_path):
+    """A flow without a time is a message that is refused, which would be missing from the result."""
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 50")
+    events.withColumn("ts", F.when(F.col("event_id") != 7, F.col("ts"))).write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(RuntimeError, match="2 didn't decode"):
+        registry.queries()["stream_dedup"](spark, str(tmp_path))
+
+
 def test_at_most_once_loses_the_begun_batch_alone(spark, tmp_path, monkeypatch):
     """The process fails in its second batch: when it starts again that batch is counted as lost, what follows is taken, and what was taken isn't again."""
     messages, metrics, seen = MessageFolder(str(tmp_path / "bus")), Metrics(), []

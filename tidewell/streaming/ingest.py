@@ -90,7 +90,7 @@ def fan_out(sinks: dict[str, Sink], metrics: Metrics, drop_on_error: bool = Fals
     """The foreachBatch function. source: udp or bus, for the counters.
 
     Rows with a `reason` are counted as refused and go to quarantine, where there is one; sinks get the others. drop_on_error: a sink that fails loses the batch
-    instead of stopping the stream. started: at most once, that is, a batch that was begun before is counted as lost and passed over.
+    instead of stopping the stream; rows that no sink took count as dropped, not as visible. started: at most once, that is, a batch that was begun before is counted as lost and passed over.
     """
 
     def attempt(name: str, sink: Sink, batch: DataFrame, batch_id: int) -> Exception | None:
@@ -125,7 +125,10 @@ def fan_out(sinks: dict[str, Sink], metrics: Metrics, drop_on_error: bool = Fals
                 raise SinkFailure(f"batch {batch_id}: {', '.join(sorted(failed))} failed") from next(iter(failed.values()))
             # a batch that comes again is counted then
             metrics.count("decode_errors", found["refused"], source=source)
-            count_lag(metrics, found["n"] - found["refused"], found["times"], time.time())
+            if sinks and failed.keys() >= sinks.keys():
+                metrics.count("records_dropped", found["n"] - found["refused"], reason="at_most_once")
+            else:
+                count_lag(metrics, found["n"] - found["refused"], found["times"], time.time())
         finally:
             batch.unpersist()
 
